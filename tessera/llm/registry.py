@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from tessera.llm.exact_topk import OP8_SQL, op8_exact_topk
+from tessera.llm.simhash import op3_simhash
 from tessera.llm.token_shards import op10_token_shards
 
 QUERIES = {
+    "op3_simhash": op3_simhash,
+    "op8_exact_topk": op8_exact_topk,
     "op10_token_shards": op10_token_shards,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op8_exact_topk": OP8_SQL,
+}
