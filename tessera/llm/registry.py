@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from tessera.llm.exact_topk import OP8_SQL, op8_exact_topk
+from tessera.llm.line_dedup import OP2_SQL, op2_line_dedup
 from tessera.llm.simhash import op3_simhash
 from tessera.llm.token_shards import op10_token_shards
 
 QUERIES = {
+    "op2_line_dedup": op2_line_dedup,
     "op3_simhash": op3_simhash,
     "op8_exact_topk": op8_exact_topk,
     "op10_token_shards": op10_token_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_line_dedup": OP2_SQL,
     "op8_exact_topk": OP8_SQL,
 }
