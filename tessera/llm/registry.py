@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.bpe import op6_bpe
 from tessera.llm.exact_topk import OP8_SQL, op8_exact_topk
 from tessera.llm.line_dedup import OP2_SQL, op2_line_dedup
+from tessera.llm.packing import op5_packing
 from tessera.llm.quality import op9_quality
 from tessera.llm.simhash import op3_simhash
 from tessera.llm.token_shards import op10_token_shards
@@ -12,6 +13,7 @@ from tessera.llm.token_shards import op10_token_shards
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_simhash": op3_simhash,
+    "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
     "op8_exact_topk": op8_exact_topk,
     "op9_quality": op9_quality,
