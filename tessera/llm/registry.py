@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.bpe import op6_bpe
 from tessera.llm.exact_topk import OP8_SQL, op8_exact_topk
+from tessera.llm.lang_id import op7_language_id, pages_language_id
 from tessera.llm.line_dedup import OP2_SQL, op2_line_dedup
 from tessera.llm.packing import op5_packing
 from tessera.llm.quality import op9_quality
@@ -15,6 +16,8 @@ QUERIES = {
     "op3_simhash": op3_simhash,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
+    "op7_language_id": op7_language_id,
+    "pages_language_id": pages_language_id,
     "op8_exact_topk": op8_exact_topk,
     "op9_quality": op9_quality,
     "op10_token_shards": op10_token_shards,
