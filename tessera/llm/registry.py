@@ -5,6 +5,7 @@ from __future__ import annotations
 from tessera.llm.bpe import op6_bpe
 from tessera.llm.exact_topk import OP8_SQL, op8_exact_topk
 from tessera.llm.lang_id import op7_language_id, pages_language_id
+from tessera.llm.license_scan import OP1_SQL, op1_license_scan
 from tessera.llm.line_dedup import OP2_SQL, op2_line_dedup
 from tessera.llm.packing import op5_packing
 from tessera.llm.quality import op9_quality
@@ -12,6 +13,7 @@ from tessera.llm.simhash import op3_simhash
 from tessera.llm.token_shards import op10_token_shards
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
     "op3_simhash": op3_simhash,
     "op5_packing": op5_packing,
@@ -24,6 +26,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": OP1_SQL,
     "op2_line_dedup": OP2_SQL,
     "op8_exact_topk": OP8_SQL,
 }
