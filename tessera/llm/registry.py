@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.ann import op4_ann
 from tessera.llm.bpe import op6_bpe
 from tessera.llm.exact_topk import OP8_SQL, op8_exact_topk
 from tessera.llm.lang_id import op7_language_id, pages_language_id
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_line_dedup": op2_line_dedup,
     "op3_simhash": op3_simhash,
+    "op4_ann": op4_ann,
     "op5_packing": op5_packing,
     "op6_bpe": op6_bpe,
     "op7_language_id": op7_language_id,
