@@ -1,9 +1,62 @@
-"""A corpus pipeline of five stages."""
+"""A corpus pipeline: quality classifier, language ID, line dedup, SimHash near-dedup, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return
+the columns of documents; the last returns the packed pieces. run() writes each stage's result as Parquet
+in the shared folder and reads it back as the next one's docs.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import common, lang_id, line_dedup, packing, quality, simhash
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, taught by labels of the documents at hand, does not reject."""
+    labels = common.table(spark, sf_dir, "labels", "doc_id", "quality")
+    scored = quality.with_score(docs, quality.fit(docs, labels))
+    return scored.where(F.col("score") >= quality.THRESHOLD).select(docs.columns)
+
+
+def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the evidence settles; lang is what they declare, source their host."""
+    return lang_id.identify(docs, "doc_id", F.col("text"), F.col("lang"), F.col("source")).where("lang_kept").select(docs.columns)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later copies of repeated runs of lines; a document of which nothing is left goes. n_chars follows the text."""
+    left = line_dedup.dedup_lines(docs).where((F.col("n_removed") == 0) | (F.trim(F.translate("text", "\n", " ")) != ""))
+    return left.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType))).select(docs.columns)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: that of smallest doc_id."""
+    first = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    return docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 1)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("language ID", keep_language),
+    ("line dedup", dedup_lines),
+    ("SimHash near-dedup", dedup_near),
+    ("packing", pack),
+]
+
+#: The classifier, the trigram model and the linear program are beyond SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = common.save(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
     return docs
