@@ -33,8 +33,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: that of smallest doc_id."""
-    first = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi").dropDuplicates(["doc_id"])
+    groups = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).count()
+    first = common.save(groups, "first-of-group")
+    repeated = common.save(first.where("count > 1"), "repeated-ids")  # few or none, as a rule: a table whose size is known
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
+    return docs.join(first.where("count = 1"), same, "left_semi").unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
