@@ -3,18 +3,27 @@
 Text is lower-cased, every run of other characters than letters and digits becomes a space. What is compared
 are a document's lines, its paragraphs of several lines (blank lines part them), and, if it has several
 paragraphs, the whole of it. A unit of n bigrams, repeats included, can reach THRESHOLD with a template of m
-only if n lies within m * THRESHOLD / (2 - THRESHOLD) and m * (2 - THRESHOLD) / THRESHOLD: the join on n admits no
-other pair, and a unit beyond every bound is dropped before it is cut into bigrams. The coefficient is twice the
+only if n lies within m * THRESHOLD / (2 - THRESHOLD) and m * (2 - THRESHOLD) / THRESHOLD: templates are listed by the
+sizes that they admit, and a unit of a size that none admits is dropped before it is cut into bigrams. The coefficient is twice the
 bigrams in common, repeats counted as often as both have them, over those of both.
 
 One row per row of the input; rows with one doc_id share its findings. Null, empty and one-word texts have none.
 A unit's licence is the template of highest coefficient, ties to the first name. An empty table gives an empty
-result; other columns are ignored. The templates are a parameter and are the only thing broadcast.
+result; other columns are ignored. The templates are a parameter and are all that tasks
+are sent; each document is gone through where it is read, and only findings are shuffled.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import math
+import re
+from collections import Counter
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
+import regex
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common
@@ -60,48 +69,78 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 
-def normal(text: Column) -> Column:
-    """Lower case, lines kept apart, everything else that is no letter or digit a single space."""
-    return F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\n]+", " ")
-
-
-def bigrams(unit: Column) -> Column:
-    """The word pairs of a normalised unit; the second of equal ones has a 2 behind it, and so on."""
-    words = F.split(unit, " ")
-    pairs = F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words)), lambda a, b: F.concat_ws(" ", a, b))
-    return pairs
+_ASCII, _ANY = re.compile(r"[^a-z0-9\n]+"), regex.compile(r"[^\p{L}\p{N}\n]+")
 
 
-def numbered(pairs: Column) -> Column:
-    again = F.transform(pairs, lambda x, i: F.concat(x, F.lit(" "), F.size(F.filter(F.slice(pairs, 1, i + 1), lambda y: y == x)).cast("string")))
-    return F.when(F.size(F.array_distinct(pairs)) == F.size(pairs), F.transform(pairs, lambda x: F.concat(x, F.lit(" 1")))).otherwise(again)
-
-
-def units(docs: DataFrame) -> DataFrame:
-    """doc_id, line (from 0; null for what spans several) and the normalised unit."""
-    lines = docs.select("doc_id", F.transform(F.split(normal(F.col("text").cast("string")), "\n", -1), lambda x: F.trim(x)).alias("lines"))
-    lines = lines.select("doc_id", "lines", F.split(F.array_join("lines", "\n"), "\n\n+").alias("paragraphs"))
-    wide = F.transform(F.filter("paragraphs", lambda p: F.trim(p, F.lit("\n")).contains("\n")), lambda p: F.struct(F.lit(None).cast("int").alias("line"), F.translate(F.trim(p, F.lit("\n")), "\n", " ").alias("unit")))
-    whole = F.when(F.size("paragraphs") > 1, F.array(F.struct(F.lit(None).cast("int").alias("line"), F.array_join(F.filter("lines", lambda x: x != ""), " ").alias("unit")))).otherwise(F.array().cast("array<struct<line:int,unit:string>>"))
-    own = F.transform("lines", lambda x, i: F.struct(i.cast("int").alias("line"), x.alias("unit")))
-    return lines.select("doc_id", F.explode(F.concat(own, wide, whole)).alias("u")).select("doc_id", "u.line", "u.unit")
+def normal(text: str) -> str:
+    """Lower case, lines kept apart, everything else that is no letter or digit a single space."""
+    return (_ASCII if text.isascii() else _ANY).sub(" ", text.lower())
+
+
+def units(text: str) -> Iterator[tuple[int | None, str]]:
+    """line (from 0; None for what spans several) and the normalised unit."""
+    lines = [x.strip(" ") for x in normal(text).split("\n")]
+    yield from enumerate(lines)
+    paragraphs = re.split("\n\n+", "\n".join(lines))
+    for p in paragraphs:
+        if "\n" in (p := p.strip("\n")):
+            yield None, p.replace("\n", " ")
+    if len(paragraphs) > 1:
+        yield None, " ".join([x for x in lines if x])
+
+
+def bigrams(unit: str) -> list[tuple[str, str]]:
+    words = unit.split(" ")
+    return list(zip(words, words[1:]))
+
+
+class Templates:
+    """Licence templates as counted bigrams, and for each size of a unit those that its bounds admit."""
+
+    def __init__(self, templates: list[tuple[str, str]], threshold: float) -> None:
+        self.threshold = threshold
+        self.admitted: dict[int, list[tuple[str, int, Counter]]] = {}
+        self.pairs: set[tuple[str, str]] = set()
+        for name, text in templates:
+            own = Counter(bigrams(normal(text).replace("\n", " ").strip(" ")))
+            self.pairs.update(own)
+            m = own.total()
+            low, high = math.ceil(m * threshold / (2 - threshold) - 1e-9), math.floor(m * (2 - threshold) / threshold + 1e-9)
+            for n in range(max(1, low), high + 1):
+                self.admitted.setdefault(n, []).append((name, m, own))
+
+    def best(self, unit: str) -> tuple[float, str] | None:
+        """The highest coefficient that reaches the threshold, and whose it is."""
+        n = unit.count(" ")
+        if n not in self.admitted:
+            return None
+        pairs = bigrams(unit)
+        if self.pairs.isdisjoint(pairs):
+            return None
+        have = Counter(pairs)
+        scored = [(-2.0 * (own & have).total() / (n + m), name) for name, m, own in self.admitted[n]]
+        minus, name = min(scored)
+        return (-minus, name) if -minus >= self.threshold else None
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, line, license, dice for every unit that reaches the threshold."""
-    spark = docs.sparkSession
-    known = spark.createDataFrame([(i, *t) for i, t in enumerate(templates or TEMPLATES)], "template int, license string, text string")
-    known = known.select("template", "license", numbered(bigrams(F.trim(F.translate(normal(F.col("text")), "\n", " ")))).alias("own")).where(F.size("own") > 0)
-    low, high = F.ceil(F.size("own") * threshold / (2 - threshold) - 1e-9), F.floor(F.size("own") * (2 - threshold) / threshold + 1e-9)
-    admitted = known.select("template", F.explode(F.sequence(low.cast("int"), high.cast("int"))).alias("n"))
-    least, most = admitted.agg(F.min("n"), F.max("n")).first()
-    n = F.octet_length("unit") - F.octet_length(F.replace("unit", F.lit(" "), F.lit("")))
-    sized = units(docs).withColumn("n", n).where(F.col("n").between(least or 0, most or -1))
-    cut = sized.join(F.broadcast(admitted), "n").join(F.broadcast(known), "template")  # both hold the templates alone
-    common_pairs = F.size(F.array_intersect(numbered(bigrams(F.col("unit"))), "own"))
-    scored = cut.select("doc_id", "line", "unit", "license", (2.0 * common_pairs / (F.col("n") + F.size("own"))).alias("dice")).where(F.col("dice") >= threshold)
-    best = scored.groupBy("doc_id", "line", "unit").agg(F.min(F.struct((-F.col("dice")).alias("minus"), "license")).alias("b"))
-    return best.select("doc_id", "line", F.col("b.license").alias("license"), (-F.col("b.minus")).alias("dice"))
+    wanted = templates or TEMPLATES
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Templates(wanted, threshold)
+        for batch in batches:
+            found = []
+            for i, text in enumerate(batch["text"]):
+                for line, unit in units(text.as_py() or ""):
+                    if got := known.best(unit):
+                        found.append((i, line, xxhash.xxh64_intdigest(unit) - (1 << 63), got[1], got[0]))
+            at, line, unit, name, dice = zip(*found) if found else [[]] * 5
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(pa.array(at, pa.int64())), pa.array(line, pa.int32()), pa.array(unit, pa.int64()), pa.array(name, pa.string()), pa.array(dice, pa.float64())], names=["doc_id", "line", "unit", "license", "dice"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, line int, unit long, license string, dice double")
+    return found.distinct().drop("unit")
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
