@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tessera.functions.semantics import ieee_div
 from tessera.operators.contacts import mirror
 
-EIGEN_MOST = 20_000
+EIGEN_MOST = 2_000
 
 
 def pearson(oe: DataFrame, dim: int) -> DataFrame:

@@ -100,7 +100,7 @@ def value_at_z(z: Column, mean: Column, std: Column) -> Column:
 def tier_group(position: Column) -> Column:
     """Positions counted from 0 fall into tiers of ten groups, a group of the next tier being five times as long."""
     p = position.cast("double")
-    tier = F.floor(F.log(F.lit(5.0), 4 * p / 10 + 1) + 1e-9)
+    tier = F.floor(F.ln(4 * p / 10 + 1) / F.ln(F.lit(5.0)) + 1e-9)
     start = 10 * (F.pow(F.lit(5.0), tier) - 1) / 4
     return (10 * tier + F.floor((p - start) / F.pow(F.lit(5.0), tier))).cast("int")
 
@@ -197,21 +197,27 @@ class LogSpline:
 
 
 class ZSpline:
-    """Mean and deviation of ln(1 + c) over ln(1 + d), each a spline through the log buckets' values."""
+    """Mean and deviation of ln(1 + c) over the mean ln(1 + d) of each log bucket, as splines."""
 
     def __init__(self, contacts: DataFrame, max_bin: int) -> None:
         dist = F.abs(F.col("bin_x") - F.col("bin_y"))
-        logs = contacts.where(dist < max_bin).select(log_bucket(dist).alias("bucket"), F.log1p(F.col("counts").cast("double")).alias("v"))
-        rows = [r for r in moments(logs, "bucket", "v").orderBy("bucket").collect() if r["n"]]  # a row a bucket
-        x = np.array([0.0 if r["bucket"] == 0 else r["bucket"] - 0.5 for r in rows])
+        logs = contacts.where(dist < max_bin).select(log_bucket(dist).alias("bucket"), dist.alias("d"), F.log1p(dist.cast("double")).alias("x"), F.log1p(F.col("counts").cast("double")).alias("v"))
+        far = logs.groupBy("bucket").agg(F.avg("x").alias("x"), F.max("d").alias("d"))
+        rows = moments(logs, "bucket", "v").join(far, "bucket").orderBy("bucket").collect()  # a row a bucket
+        x = np.array([r["x"] for r in rows])
         self.mean, self.std = Spline(x, np.array([r["mean"] for r in rows])), Spline(x, np.array([r["std"] for r in rows]))
+        farthest = max(int(np.expm1(x.max())), max(r["d"] for r in rows))
+        self.highest = float(int(np.log1p(min(max_bin, farthest))))
+
+    def _at(self, dist: Column) -> Column:
+        return F.least(F.log1p(dist.cast("double")), F.lit(self.highest))
 
     def z(self, observed: Column, dist: Column) -> Column:
-        x = F.log1p(dist.cast("double"))
+        x = self._at(dist)
         return zscore(F.log1p(observed.cast("double")), self.mean.at(x), self.std.at(x))
 
     def value(self, z: Column, dist: Column) -> Column:
-        x = F.log1p(dist.cast("double"))
+        x = self._at(dist)
         return F.expm1(value_at_z(z, self.mean.at(x), self.std.at(x)))
 
     def expected(self, dist: Column) -> Column:

@@ -6,11 +6,14 @@ A rectangle's color and attributes may be missing; a 1-D feature is one with bot
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.plans.lineage import checkpointed
+
 BOUNDS = ["chr1_idx", "start1", "end1", "chr2_idx", "start2", "end2"]
 KEY = ["chr1_idx", "chr2_idx"]
 COLUMNS = "feature_id long, feature_type string, chr1 string, chr1_idx int, start1 long, end1 long, chr2 string, chr2_idx int, start2 long, end2 long, color struct<r:int,g:int,b:int>, attributes map<string,string>"
@@ -68,19 +71,32 @@ def dedup(features: DataFrame) -> DataFrame:
     return features.join(kept.select("feature_id"), "feature_id", "left_semi")
 
 
-def overlap(a: DataFrame, b: DataFrame, tile: int = 1 << 17) -> DataFrame:
-    """Features of a that some feature of b falls into: b's midpoints within a's midpoints, give or take half a's widths.
-
-    Both are dealt to tiles: b to that of its first midpoint, a to all that its reach covers; so the join has an
-    equal key, and the exact test follows.
-    """
+def _reach(features: DataFrame) -> DataFrame:
+    """lo1, hi1, lo2, hi2: the midpoints give or take half the widths."""
     half1, half2 = F.expr("(end1 - start1) div 2"), F.expr("(end2 - start2) div 2")
     m1, m2 = midpoint(F.col("start1"), F.col("end1")), midpoint(F.col("start2"), F.col("end2"))
-    reach = a.select("feature_id", *KEY, (m1 - half1).alias("lo1"), (m1 + half1).alias("hi1"), (m2 - half2).alias("lo2"), (m2 + half2).alias("hi2"))
-    reach = reach.select("*", F.explode(F.sequence(F.floor(F.col("lo1") / tile), F.floor(F.col("hi1") / tile))).alias("tile"))
-    points = b.select(*KEY, m1.alias("m1"), m2.alias("m2"), F.floor(m1 / tile).alias("tile")).distinct()
-    hit = reach.join(points, [*KEY, "tile"]).where("m1 BETWEEN lo1 AND hi1 AND m2 BETWEEN lo2 AND hi2").select("feature_id").distinct()
-    return a.join(hit, "feature_id", "left_semi")
+    return features.withColumns({"lo1": m1 - half1, "hi1": m1 + half1, "lo2": m2 - half2, "hi2": m2 + half2})
+
+
+def _tiled(features: DataFrame, low: str, high: str, tile: int) -> DataFrame:
+    return features.withColumn("tile", F.explode(F.sequence(F.floor(F.col(low) / tile), F.floor(F.col(high) / tile))))
+
+
+def hits(a: DataFrame, b: DataFrame, tile: int = 1 << 17) -> DataFrame:
+    """(feature_id, other_id): features of a whose midpoint lies in a rectangle of b widened by half of a's widths.
+
+    Both are dealt to the tiles that they cover on the first axis; so the join has an equal key, and the exact
+    test follows.
+    """
+    mine = _tiled(_reach(a).select("feature_id", *KEY, "lo1", "hi1", "lo2", "hi2"), "lo1", "hi1", tile)
+    other = _tiled(b.select(F.col("feature_id").alias("other_id"), *KEY, "start1", "end1", "start2", "end2"), "start1", "end1", tile)
+    meet = (F.col("hi1") >= F.col("start1")) & (F.col("lo1") <= F.col("end1")) & (F.col("hi2") >= F.col("start2")) & (F.col("lo2") <= F.col("end2"))
+    return mine.join(other, [*KEY, "tile"]).where(meet).select("feature_id", "other_id")
+
+
+def overlap(a: DataFrame, b: DataFrame, tile: int = 1 << 17) -> DataFrame:
+    """Features of a that overlap some feature of b."""
+    return a.join(hits(a, b.dropDuplicates(BOUNDS), tile).select("feature_id").distinct(), "feature_id", "left_semi")
 
 
 def intersection(a: DataFrame, b: DataFrame, tolerance: int = 0) -> DataFrame:
@@ -95,35 +111,31 @@ def intersection(a: DataFrame, b: DataFrame, tolerance: int = 0) -> DataFrame:
 
 
 def add_unique(a: DataFrame, b: DataFrame) -> DataFrame:
-    """a, and those of b (by feature_id) that do not overlap what is there by then; a key that a lacks takes all of b's.
+    """a, and those of b that do not overlap what is there by then, in the order of feature_id; a key that a lacks takes all of b's.
 
-    What is accepted shuts out later ones, so a key (a pair of chromosomes) is gone through in order.
+    What is accepted shuts out later ones. That is settled in rounds: a feature of which no earlier rival is
+    undecided is accepted, and then shuts out its later rivals; the rounds are as many as the longest chain of
+    rivals, and each is two joins on the pairs of rivals.
     """
     columns = ["feature_id", *BOUNDS]
     have = a.select(*KEY).distinct()
     free = b.join(have, KEY, "left_anti").select(columns)
-
-    def accept(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
-        def parts(f):
-            s1, e1, s2, e2 = (f[c].to_numpy(np.int64) for c in ("start1", "end1", "start2", "end2"))
-            return s1 + (e1 - s1) // 2, s2 + (e2 - s2) // 2, (e1 - s1) // 2, (e2 - s2) // 2
-
-        right = right.sort_values("feature_id")
-        there = list(zip(*parts(left)))
-        m1, m2, h1, h2 = (np.array([t[i] for t in there] + [0] * len(right)) for i in range(4))
-        n, kept = len(there), []
-        for i, (x, y, u, v) in enumerate(zip(*parts(right))):
-            if not ((np.abs(m1[:n] - x) <= h1[:n]) & (np.abs(m2[:n] - y) <= h2[:n])).any():
-                m1[n], m2[n], h1[n], h2[n] = x, y, u, v
-                n += 1
-                kept.append(i)
-        return right.iloc[kept][columns]
-
-    schema = ", ".join(f"{c} {'int' if c.startswith('chr') else 'long'}" for c in columns)
-    taken = a.select(columns).groupBy(*KEY).cogroup(b.join(have, KEY, "left_semi").select(columns).groupBy(*KEY)).applyInPandas(accept, schema)
-    return a.select(columns).unionByName(free).unionByName(taken)
+    left = b.join(have, KEY, "left_semi").select(columns)
+    left = checkpointed(left.join(hits(left, a).select("feature_id").distinct(), "feature_id", "left_anti"))
+    rivals = checkpointed(hits(left, left).where("other_id < feature_id").distinct())  # the other one is the earlier
+    taken = []
+    while True:
+        ready = left.select("feature_id").join(rivals.select("feature_id").distinct(), "feature_id", "left_anti")
+        ready = checkpointed(ready)
+        taken.append(ready)
+        if rivals.isEmpty():
+            break
+        out = rivals.join(ready.select(F.col("feature_id").alias("other_id")), "other_id", "left_semi").select("feature_id").distinct()
+        left = checkpointed(left.join(out.unionByName(ready), "feature_id", "left_anti"))
+        live = rivals.join(out, "feature_id", "left_anti").join(out.withColumnRenamed("feature_id", "other_id"), "other_id", "left_anti")
+        rivals = checkpointed(live.select("feature_id", "other_id"))
+    accepted = reduce(DataFrame.unionByName, taken)
+    return a.select(columns).unionByName(free).unionByName(b.select(columns).join(accepted, "feature_id", "left_semi"))
 
 
 def containing(features: DataFrame, points: DataFrame, tile: int = 1 << 17) -> DataFrame:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from tessera.plans import contact_queries, decay_queries, feature_queries, genome_queries, matrix_queries  # noqa: F401  they register themselves
+from tessera.plans.register import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
