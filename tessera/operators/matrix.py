@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.semantics import clamp, ieee_div, signum_clean
 
-V = F.col("value")
+
+def _v() -> Column:
+    return F.col("value")
 
 
 def filled(spark: SparkSession, rows: int, cols: int, value: float = 0.0) -> DataFrame:
@@ -59,31 +61,31 @@ def symmetric_from_upper(m: DataFrame) -> DataFrame:
 
 def multiply_cells(a: DataFrame, b: DataFrame) -> DataFrame:
     """Over the shape that both have."""
-    return a.join(b.withColumnRenamed("value", "other"), ["row", "col"]).select("row", "col", (V * F.col("other")).alias("value"))
+    return a.join(b.withColumnRenamed("value", "other"), ["row", "col"]).select("row", "col", (_v() * F.col("other")).alias("value"))
 
 
 def divide_cells(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.join(b.withColumnRenamed("value", "other"), ["row", "col"]).select("row", "col", ieee_div(V, F.col("other")).alias("value"))
+    return a.join(b.withColumnRenamed("value", "other"), ["row", "col"]).select("row", "col", ieee_div(_v(), F.col("other")).alias("value"))
 
 
 def nan_to(m: DataFrame, value: float = 0.0) -> DataFrame:
-    return m.withColumn("value", F.nanvl(V, F.lit(value)))
+    return m.withColumn("value", F.nanvl(_v(), F.lit(value)))
 
 
 def replace(m: DataFrame, old: float, new: float) -> DataFrame:
-    return m.withColumn("value", F.when(V == old, F.lit(new)).otherwise(V))
+    return m.withColumn("value", F.when(_v() == old, F.lit(new)).otherwise(_v()))
 
 
 def sign(m: DataFrame) -> DataFrame:
-    return m.withColumn("value", signum_clean(V))
+    return m.withColumn("value", signum_clean(_v()))
 
 
 def threshold_upper(m: DataFrame, most: float) -> DataFrame:
-    return m.withColumn("value", F.when(V > most, F.lit(most)).otherwise(V))
+    return m.withColumn("value", F.when(_v() > most, F.lit(most)).otherwise(_v()))
 
 
 def threshold_both(m: DataFrame, limit: float) -> DataFrame:
-    return m.withColumn("value", clamp(V, -limit, limit))
+    return m.withColumn("value", clamp(_v(), -limit, limit))
 
 
 def _numbers(m: DataFrame) -> DataFrame:
@@ -92,13 +94,13 @@ def _numbers(m: DataFrame) -> DataFrame:
 
 def measures(m: DataFrame) -> DataFrame:
     """Sum and mean over all cells, least and greatest number, and the least above zero (0 if there is none)."""
-    number = F.when(~F.isnan("value"), V)
+    number = F.when(~F.isnan("value"), _v())
     return m.agg(F.sum("value").alias("sum"), F.avg("value").alias("mean"), F.min(number).alias("min"), F.max(number).alias("max"), F.coalesce(F.min(F.when(number > 0, number)), F.lit(0.0)).alias("min_positive"))
 
 
 def divide_by_max(m: DataFrame) -> DataFrame:
     most = _numbers(m).agg(F.max("value").alias("most"))
-    return m.join(F.broadcast(most), F.lit(True)).select("row", "col", ieee_div(V, F.col("most")).alias("value"))  # one row
+    return m.join(F.broadcast(most), F.lit(True)).select("row", "col", ieee_div(_v(), F.col("most")).alias("value"))  # one row
 
 
 def row_sums(m: DataFrame) -> DataFrame:
@@ -115,7 +117,7 @@ def row_medians(m: DataFrame) -> DataFrame:
 
 def normalise_by_sums(m: DataFrame, by: str = "row") -> DataFrame:
     """Whole numbers over their row's or column's sum, in whole numbers; a sum of zero is an error."""
-    sums = m.groupBy(by).agg(F.sum(V.cast("long")).alias("s"))
+    sums = m.groupBy(by).agg(F.sum(_v().cast("long")).alias("s"))
     return m.join(sums, by).select("row", "col", F.expr("cast(value as long) div s").alias("value"))
 
 
@@ -135,7 +137,7 @@ def percentile_bounds(m: DataFrame, low: float = 5.0, high: float = 95.0) -> Dat
         pos = p * (n + 1) / 100
         k = min(max(1, int(pos)), n)
         d = 0.0 if pos < 1 or pos >= n else pos - int(pos)
-        pick = lambda r: F.min(F.when(F.col("last") >= r, V))
+        pick = lambda r: F.min(F.when(F.col("last") >= r, _v()))
         return pick(k) + (pick(min(n, k + 1)) - pick(k)) * d
 
     return upto.agg(at(low).alias("lower"), at(high).alias("upper"))
@@ -166,15 +168,15 @@ def composite(a: DataFrame, x: DataFrame, b: DataFrame, n: int) -> DataFrame:
 
 def label_region(m: DataFrame, r1: int, r2: int, c1: int, c2: int) -> DataFrame:
     """1 within the region (ends excluded)."""
-    return m.withColumn("value", F.when(F.col("row").between(r1, r2 - 1) & F.col("col").between(c1, c2 - 1), 1.0).otherwise(V))
+    return m.withColumn("value", F.when(F.col("row").between(r1, r2 - 1) & F.col("col").between(c1, c2 - 1), 1.0).otherwise(_v()))
 
 
 def label_above_average(m: DataFrame, source: DataFrame, r1: int, r2: int, c1: int, c2: int) -> DataFrame:
     """1 in m where source, within the region, is above its average there."""
     inside = source.where(F.col("row").between(r1, r2 - 1) & F.col("col").between(c1, c2 - 1))
     mean = inside.agg(F.avg("value").alias("mean"))
-    hit = inside.join(F.broadcast(mean), V > F.col("mean")).select("row", "col", F.lit(1).alias("hit"))  # one row
-    return m.join(hit, ["row", "col"], "left").select("row", "col", F.when(F.col("hit") == 1, 1.0).otherwise(V).alias("value"))
+    hit = inside.join(F.broadcast(mean), _v() > F.col("mean")).select("row", "col", F.lit(1).alias("hit"))  # one row
+    return m.join(hit, ["row", "col"], "left").select("row", "col", F.when(F.col("hit") == 1, 1.0).otherwise(_v()).alias("value"))
 
 
 def _ahead(k: int) -> Column:
@@ -183,14 +185,14 @@ def _ahead(k: int) -> Column:
 
 def derivative(m: DataFrame) -> DataFrame:
     """Each cell less its right neighbour; a column fewer."""
-    return m.withColumn("value", V - _ahead(1)).where("value IS NOT NULL")
+    return m.withColumn("value", _v() - _ahead(1)).where("value IS NOT NULL")
 
 
 def convolve(m: DataFrame, kernel: list[float]) -> DataFrame:
     """The kernel over each row where it lies wholly within."""
     total = None
     for k, w in enumerate(kernel):
-        term = (V if k == 0 else _ahead(k)) * F.lit(float(w))
+        term = (_v() if k == 0 else _ahead(k)) * F.lit(float(w))
         total = term if total is None else total + term
     return m.withColumn("value", total).where("value IS NOT NULL")
 
@@ -219,24 +221,24 @@ def relevant_derivative(m: DataFrame, scale: float, limit: float, positive: bool
     d = derivative(m)
     finish = lambda x: clamp(x * scale, -limit, limit)
     if discrete:
-        d = d.withColumn("value", F.round(finish(V)))
+        d = d.withColumn("value", F.round(finish(_v())))
     live = d.groupBy("col").agg(F.sum(F.abs("value")).alias("s")).where("s > 0")
     at = live.select("col", (F.row_number().over(Window.orderBy("col")) - 1).alias("to"))  # a row a column
     kept = d.join(at, "col").select("row", F.col("to").alias("col"), "value")
-    value = V if discrete else finish(V)
+    value = _v() if discrete else finish(_v())
     return kept.withColumn("value", value + (limit if positive else 0.0))
 
 
 def over_row_statistic(m: DataFrame, statistic: str, limit: float) -> DataFrame:
     """Cells over their row's mean or median, held at limit."""
     per = row_medians(m) if statistic == "median" else m.groupBy("row").agg(F.avg("value").alias("value"))
-    return threshold_upper(m.join(per.withColumnRenamed("value", "s"), "row").select("row", "col", ieee_div(V, F.col("s")).alias("value")), limit)
+    return threshold_upper(m.join(per.withColumnRenamed("value", "s"), "row").select("row", "col", ieee_div(_v(), F.col("s")).alias("value")), limit)
 
 
 def normed(m: DataFrame, v1: DataFrame, v2: DataFrame) -> DataFrame:
     """value / (v1[row] * v2[col]) where that product is above zero, otherwise 0."""
     both = m.join(v1.select(F.col("bin").alias("row"), F.col("value").alias("a")), "row").join(v2.select(F.col("bin").alias("col"), F.col("value").alias("b")), "col")
-    return both.select("row", "col", F.when(F.col("a") * F.col("b") > 0, V / (F.col("a") * F.col("b"))).otherwise(0.0).alias("value"))
+    return both.select("row", "col", F.when(F.col("a") * F.col("b") > 0, _v() / (F.col("a") * F.col("b"))).otherwise(0.0).alias("value"))
 
 
 def partitions(n: int, size: int) -> list[tuple[int, int]]:

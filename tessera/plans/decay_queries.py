@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import semantics
@@ -11,7 +11,9 @@ from tessera.plans.register import query
 from tessera.sources import derived
 from tessera.sources.derived import CONTACTS, EXPECTED
 
-DIST = F.abs(F.col("bin_x") - F.col("bin_y"))
+
+def _dist() -> Column:
+    return F.abs(F.col("bin_x") - F.col("bin_y"))
 
 
 def _vector(spark: SparkSession, d: str) -> DataFrame:
@@ -66,13 +68,13 @@ _MOMENTS = "SELECT bucket, count(*) AS n, avg(counts) AS mean, CASE WHEN count(*
 
 @query(f"WITH {_BUCKETS} SELECT bucket, n, round(mean, 6) AS mean, round(std, 6) AS std, min, max, max - min AS range FROM ({_MOMENTS})")
 def welford_by_bucket(spark: SparkSession, d: str) -> DataFrame:
-    got = decay.moments(derived.intra(spark, d).withColumn("bucket", decay.log_bucket(DIST)), "bucket", "counts")
+    got = decay.moments(derived.intra(spark, d).withColumn("bucket", decay.log_bucket(_dist())), "bucket", "counts")
     return got.withColumns({"mean": F.round("mean", 6), "std": F.round("std", 6)})
 
 
 @query(f"WITH {_BUCKETS}, s AS ({_MOMENTS}) SELECT chr1_idx, bin_x, bin_y, CASE WHEN std > 0 THEN round((counts - mean) / std, 6) END AS z FROM b JOIN s USING (bucket)")
 def zscore(spark: SparkSession, d: str) -> DataFrame:
-    own = derived.intra(spark, d).withColumn("bucket", decay.log_bucket(DIST))
+    own = derived.intra(spark, d).withColumn("bucket", decay.log_bucket(_dist()))
     stats = decay.moments(own, "bucket", "counts").select("bucket", "mean", "std")
     z = decay.zscore(F.col("counts"), F.col("mean"), F.col("std"))
     return own.join(F.broadcast(stats), "bucket").select("chr1_idx", "bin_x", "bin_y", F.when(F.col("std") > 0, F.round(z, 6)).alias("z"))  # a row a bucket, which are logarithms of the distance
@@ -96,15 +98,15 @@ def spline_expected(spark: SparkSession, d: str) -> DataFrame:
     """The log spline's expected counts and percent contact of every record."""
     own = derived.intra(spark, d)
     model = decay.LogSpline(own, 90)
-    return own.select("chr1_idx", "bin_x", "bin_y", F.round(model.expected(DIST), 6).alias("expected"), F.round(model.percent_contact(F.col("counts"), DIST), 6).alias("percent_contact"))
+    return own.select("chr1_idx", "bin_x", "bin_y", F.round(model.expected(_dist()), 6).alias("expected"), F.round(model.percent_contact(F.col("counts"), _dist()), 6).alias("percent_contact"))
 
 
 @query()
 def spline_zscore(spark: SparkSession, d: str) -> DataFrame:
     own = derived.intra(spark, d)
     model = decay.ZSpline(own, 90)
-    z = model.z(F.col("counts"), DIST)
-    return own.select("chr1_idx", "bin_x", "bin_y", F.round(z, 6).alias("z"), F.round(model.expected(DIST), 6).alias("expected"))
+    z = model.z(F.col("counts"), _dist())
+    return own.select("chr1_idx", "bin_x", "bin_y", F.round(z, 6).alias("z"), F.round(model.expected(_dist()), 6).alias("expected"))
 
 
 @query(
