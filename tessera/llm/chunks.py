@@ -26,8 +26,8 @@ ODD = (
 )
 MARK = "\x1f"
 #: Chunks kept in a worker; beyond that the store starts anew.
-KEPT_CHUNKS = 1_500_000
-BATCH_CHARS = 12_000_000
+KEPT_CHUNKS = 400_000
+BATCH_CHARS = 2_000_000
 
 
 def byte_letters() -> list[str]:

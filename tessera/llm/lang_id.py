@@ -35,7 +35,7 @@ MOST_LANGUAGES = 64
 TEMPER = 50
 STRENGTH = 20.0  # texts that a prior one level up counts as
 KEEP = 0.6
-PIECE = 4_000_000
+PIECE = 500_000
 SPACE = 0x20
 
 

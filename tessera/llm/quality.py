@@ -32,6 +32,7 @@ PLACES = 1 << 18
 KINDS = 5
 SAMPLE = 6000
 THRESHOLD = 0.3
+PIECE = 1_000_000  # bytes of text at once
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -49,7 +50,7 @@ _known: dict[str, tuple[int, int]] = {}
 def _word(word: str) -> tuple[int, int]:
     got = _known.get(word)
     if got is None:
-        if len(_known) > 200_000:
+        if len(_known) > 100_000:
             _known.clear()
         got = _known[word] = (xxhash.xxh64_intdigest(word.lower()), xxhash.xxh64_intdigest(_shape(word)))
     return got
@@ -120,7 +121,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in pieces_of(whole):
+            for batch in pieces_of(whole, PIECE):
                 places, values = [], []
                 kinds = features(batch["text"])
                 for i in range(batch.num_rows):
@@ -143,7 +144,7 @@ def with_score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        parts = [scores(b["text"], shared.value) for b in pieces_of(pa.RecordBatch.from_arrays([texts], names=["text"]))]
+        parts = [scores(b["text"], shared.value) for b in pieces_of(pa.RecordBatch.from_arrays([texts], names=["text"]), PIECE)]
         return pa.array(np.concatenate(parts) if parts else np.empty(0))
 
     return docs.withColumn("score", score(F.col("text").cast("string")))
