@@ -8,7 +8,7 @@ The inner product becomes a distance by one more component that brings every vec
 Lists: every row goes to its nearest centroid and, being near a boundary, to others up to BOUNDARY times as far,
 REPLICAS in all. A query takes all lists whose centroids are up to a ratio as far as its nearest one (LEAST_PROBED
 at least). The ratio is what finds TARGET of the true neighbours within the sample; neighbours among all rows are
-nearer than those, so recall is higher there. On the test tables recall against brute force is above 0.9 (README).
+nearer than those, so recall is higher there. Recall is tested against brute force.
 
 A list is dealt into blocks of bounded size, and so are the queries that take it, so that neither a hot list nor
 a hot query is one task's. In a block scores are a matrix product; the best are scored anew, each row by itself in
