@@ -1,4 +1,4 @@
-"""A corpus pipeline: quality classifier, language ID, line dedup, SimHash near-dedup, packing.
+"""A corpus pipeline: quality classifier, language ID, line dedup, near-dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return
 the columns of documents; the last returns the packed pieces. run() writes each stage's result as Parquet
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import common, lang_id, line_dedup, packing, quality, simhash
+from tessera.llm import common, lang_id, line_dedup, near_dups, packing, quality
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,12 +32,12 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: that of smallest doc_id."""
-    groups = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("__id")).count()
-    first = common.save(groups, "first-of-group")
-    repeated = common.save(first.where("count > 1"), "repeated-ids")  # few or none, as a rule: a table whose size is known
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))
-    return docs.join(first.where("count = 1"), same, "left_semi").unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id"]))
+    """The first document of each group of near-duplicates: five-word shingles of Jaccard similarity 0.8 or more."""
+    each = common.save(near_dups.near_duplicates(docs).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), "copies", "is_first"), "groups")
+    gone = each.where("NOT is_first OR copies > 1").select("__id", "__t")
+    repeated = each.where("is_first AND copies > 1").select("__id", "__t")  # few or none, as a rule
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("__t"))
+    return docs.join(gone, same, "left_anti").unionByName(docs.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ STAGES = [
     ("quality classifier", keep_quality),
     ("language ID", keep_language),
     ("line dedup", dedup_lines),
-    ("SimHash near-dedup", dedup_near),
+    ("near-dedup", dedup_near),
     ("packing", pack),
 ]
 
