@@ -6,6 +6,11 @@ grams in a row the one of smallest hash is a fingerprint; a line of RUN_WORDS wo
 copies of a run share a fingerprint if the run holds a line of RUN_WORDS words or three whole grams in a
 row from its first line on. Each fingerprint's places are joined to the first of them (by doc_id, text
 and line) and the match is extended both ways, line by line, as far as the next fingerprint may be.
+So that no run is missed (a run may hold no three grams, or its fingerprints may first occur elsewhere without the
+rest of it), spans are matched as well: from each line on, and back from each line, the fewest lines that hold
+RUN_WORDS words. Each place of a span but the first is a match. A repeated run of RUN_WORDS words consists of
+such spans, so all its lines are found. Spans pass over lines without words.
+
 Matches that touch are one run, and a run of RUN_WORDS words or more is deleted where it is the later one.
 The first place of every line stays: each match leads to an earlier place.
 
@@ -37,6 +42,26 @@ def hash60(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
+def spans(lines: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
+    """The lines of spans that are at an earlier place too: d, t, line, words."""
+    in_order = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    full = lines.where("n > 0").withColumn("upto", F.sum("n").over(in_order)).withColumn("before", F.col("upto") - F.col("n"))
+    ahead = Window.partitionBy("row").orderBy("before").rangeBetween(0, run_words - 1)
+    back = Window.partitionBy("row").orderBy("upto").rangeBetween(1 - run_words, 0)
+    here = F.struct("h", "pos", "n")
+    found = full.select("d", "t", F.collect_list(here).over(ahead).alias("ahead"), F.collect_list(here).over(back).alias("back"))
+    found = found.select("d", "t", F.explode(F.array("ahead", "back")).alias("s"))
+    found = found.where(F.aggregate("s.n", F.lit(0).cast("long"), lambda a, x: a + x) >= run_words)
+    found = found.select(hash60(F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["h"].cast("string"), x["n"].cast("string"))), ",")).alias("g"), "d", "t", F.get("s.pos", F.lit(0)).alias("pos"), F.col("s.pos").alias("ps"), F.col("s.n").alias("ns"))
+    found = common.save(found, "line-spans")
+    place = F.struct("d", "t", "pos")
+    firsts = found.groupBy("g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("g", "first")
+    later = found.join(firsts, "g").where(place > F.col("first"))
+    covered = later.select("d", "t", "ps", "ns", F.explode(F.sequence("pos", F.element_at("ps", -1))).alias("line"))
+    words = F.when(F.array_contains("ps", F.col("line")), F.get("ns", (F.array_position("ps", F.col("line")) - 1).cast("int"))).otherwise(0)
+    return covered.select("d", "t", "line", words.cast("int").alias("words"))
+
+
 def matches(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """The lines that a match covers: d (doc_id), t (hash of the text), line (from 0), words."""
     line = F.trim("line")
@@ -80,7 +105,8 @@ def matches(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
 
     extended = later.select("d", "t", "pos", "m", "ns", run(lambda i: F.lit(REACH - 1 - i)).alias("before"), run(lambda i: F.col("m") + REACH + i).alias("after"))
     covered = extended.select("d", "t", "pos", "ns", F.explode(F.sequence(-F.col("before"), F.col("m") + F.col("after") - 1)).alias("o"))
-    return covered.select("d", "t", (F.col("pos") + F.col("o")).alias("line"), F.get("ns", F.col("o") + REACH).alias("words")).distinct()
+    covered = covered.select("d", "t", (F.col("pos") + F.col("o")).alias("line"), F.get("ns", F.col("o") + REACH).alias("words"))
+    return covered.unionByName(spans(lines, run_words)).distinct()
 
 
 def later_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
