@@ -29,3 +29,18 @@ def test_short_runs_in_different_surroundings(spark, sizes):
     got = removed(spark, rows)
     assert {d: n for d, (n, _) in got.items() if n} == want
     assert all(len(got[d][1].split("\n")) == 4 for d in want)
+
+
+def test_run_around_lines_known_from_elsewhere(spark):
+    rows, want = [(0, "")], {}
+    for i in range(1, 60, 3):
+        run = [line(20) for _ in range(4)]
+        for k, known in enumerate(run):  # each line first occurs by itself in an earlier document
+            rows.append((-4 * i - k, "\n".join([line(15), known, line(15)])))
+        for d in (i, i + 1):
+            rows.append((d, "\n".join([line(15), *run[:2], run[2], run[3], line(15)])))
+        want[i + 1] = 4
+    got = removed(spark, rows)
+    assert {d: got[d][0] for d in want} == want
+    only = removed(spark, [(1, "\n".join([line(15), a := line(26), line(15)])), (2, "\n".join([b := line(25), a])), (3, "\n".join([line(9), b, a]))])
+    assert {d: n for d, (n, _) in only.items()} == {1: 0, 2: 0, 3: 2}
