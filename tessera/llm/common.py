@@ -42,10 +42,10 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_saved(df: DataFrame) -> None:
-    """Deletes the files of a table that save() returned, once nothing reads it any more."""
-    spark = df.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+def drop_saved(*tables: DataFrame) -> None:
+    """Deletes the files of tables that save() returned, once nothing reads them any more."""
+    spark = tables[0].sparkSession
+    for folder in {f.rsplit("/", 1)[0] for df in tables for f in df.inputFiles()}:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

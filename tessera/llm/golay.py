@@ -4,6 +4,9 @@ Every word of 23 bits lies within three bits of exactly one of the 4096 codeword
 the indices of all codewords within four bits of it: the nearest one, and, when that is three bits
 away, the five that are four bits away. A word one bit off lies within four bits of the first word's
 nearest codeword, so two words that differ in one bit or none always share a key.
+
+Where more is known of each bit than its sign, nearest() takes the codewords of highest correlation with the
+bits' margins instead: unsure bits weigh little, so words that differ in several unsure bits still meet.
 """
 
 from __future__ import annotations
@@ -52,3 +55,23 @@ def keys(words: np.ndarray) -> np.ndarray:
     words = words.astype(np.int64)
     errors = patterns[low[words & 0xFFF] ^ high[words >> 12]]
     return np.where(errors < 0, -1, (words[:, None] ^ errors) >> 11)
+
+
+@cache
+def codewords() -> np.ndarray:
+    """All codewords in the order of their indices, a row each, bits as 1 and -1."""
+    words = np.array([(m << 11) ^ remainder(m << 11) for m in range(1 << 12)], np.int64)
+    return (2 * (words[:, None] >> np.arange(23) & 1) - 1).astype(np.float32)
+
+
+def nearest(margins: np.ndarray, k: int) -> np.ndarray:
+    """Indices of the k codewords of highest correlation with each row of 23 margins, best first."""
+    found = np.empty((len(margins), k), np.int64)
+    for first in range(0, len(margins), 1024):
+        some = margins[first : first + 1024].astype(np.float32) @ codewords().T
+        rows = np.arange(len(some))
+        for i in range(k):
+            best = some.argmax(axis=1)
+            found[first : first + len(some), i] = best
+            some[rows, best] = -np.inf
+    return found

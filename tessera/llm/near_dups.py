@@ -1,23 +1,27 @@
-"""Near-duplicates by true Jaccard similarity of word shingles: all pairs of LEAST or more, none below.
-
-A document is its set of shingles of SHINGLE_WORDS words (64-bit hashes; a shorter text is one shingle). Shingles
-have one order for all documents, rare ones first. Two sets of similarity s or more share one of the first
-n - ceil(s n) + 1 shingles of each, n being a set's size (prefix filtering), so the sets that share such a shingle are
-all candidates there can be; each is then compared in full. Which shingles are common is learnt from SAMPLE documents:
-the order decides how many candidates there are, never which pairs are found.
-
-Equal sets are one from the start. Sets that share a shingle are compared with the smallest of them, then, where more
-than PAIRED share one, with a few others of them; last, all that are still in different groups are compared pair by
-pair. A pair is left out only if links already join it, so groups are those of all similar pairs.
-
-Texts without words are one group. Rows that share doc_id and text are one document; rows that share only doc_id are
-different ones. A group's first document is that of smallest doc_id (null last), then of smallest text hash.
+"""SimHash near-duplicates of true Jaccard similarity LEAST or more, found by Golay-code fuzzy hashing.
+
+A document is its set of shingles of SHINGLE_WORDS words (64-bit hashes; a shorter text is one shingle). Its sketch is
+a wide SimHash: for each of SEGMENTS x 23 places how far the ones and zeros of the shingles' hashes are apart. Each
+segment is decoded to its NEAREST codewords of the Golay code, margins counted, and a key is made of the codewords of
+every TOGETHER segments. Errors cannot be in all segments alike: two sets of similarity 0.8 share a codeword in more
+than half of their segments, as a rule, and TOGETHER are enough. Expected recall is 0.98 at similarity 0.8, 0.995 at 0.85
+and above that at 0.9 (README). Sketches of candidates are compared, then the shingle sets in full, so no pair below LEAST is
+linked. A pair of similarity 0.8 has sketches of cosine 0.889 or more, give or take 0.016; ALIKE is seven times that below.
+
+Equal sets are one from the start. Where PAIRED sets or fewer share a key all pairs are candidates. Where more do, they
+are compared with the smallest of them, then with a few others; last, all of that key that are still in different
+groups are compared pair by pair. A pair is left out only if links already join it, so groups are those of all
+candidates.
+
+Texts without words are one group. Sets of three shingles or fewer are similar to equal ones only and have no keys. Rows
+that share doc_id and text are one document; rows that share only doc_id are different ones. A group's first document is that
+of smallest doc_id (null last), then of smallest text hash. An empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterable, Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +29,28 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm import common
+from tessera.llm import common, golay
 from tessera.llm.chunks import pieces_of
 from tessera.llm.components import components
 
 SHINGLE_WORDS = 5
 LEAST = 0.8
 SEED = 42
-SAMPLE = 20_000
-COMMON = 200_000  # shingles known as common, most frequent first
-PAIRED = 64
+SEGMENTS, NEAREST, TOGETHER = 7, 2, 2
+PLACES = SEGMENTS * 23
+ALIKE = 0.78
+PAIRED = 32
 LEADERS = 3
+FANOUT = 1000  # pairs of one set that are compared in one task
 PIECE = 1_000_000
+#: For each byte a word with its bits in eight lanes of a byte.
+LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
+
+
+def mixed(h: np.ndarray, salt: int) -> np.ndarray:
+    h = (h + np.uint64(salt)) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(31))
 
 
 def shingles(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
@@ -46,15 +60,41 @@ def shingles(text: str | None, width: int = SHINGLE_WORDS) -> np.ndarray:
         return np.empty(0, np.uint64)
     hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
     n = max(1, len(words) - width + 1)
-    mixed = np.full(n, SEED, np.uint64)
+    whole = np.full(n, SEED, np.uint64)
     for i in range(min(width, len(words))):
-        mixed = (mixed ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
-        mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
-
-
-def prefix_size(n: int, least: float) -> int:
-    return n - math.ceil(least * n - 1e-9) + 1 if n else 0
+        whole = (whole ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        whole ^= whole >> np.uint64(29)
+    return np.unique(whole)
+
+
+def sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of PLACES margins (-127 to 127) for each set: ones minus zeros among its hashes' bits, scaled down if need be."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    out = np.zeros((len(sets), PLACES), np.float32)
+    some = np.flatnonzero(sizes)
+    if len(some):
+        flat = np.concatenate(sets)
+        words = np.stack([mixed(flat, i) for i in range(-(-PLACES // 64))], axis=1)
+        ends = np.cumsum(sizes[some])
+        # sums of up to 255 rows fit a lane
+        parts = [np.arange(e - n, e, 255) for e, n in zip(ends.tolist(), sizes[some].tolist())]
+        lanes = np.add.reduceat(LANES[words.view(np.uint8)], np.concatenate(parts), axis=0).view(np.uint8)
+        first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))[:-1]])
+        margins = 2 * np.add.reduceat(lanes, first, axis=0, dtype=np.int64)[:, :PLACES] - sizes[some, None]
+        out[some] = np.rint(margins * np.minimum(1, 127 / np.maximum(1, np.abs(margins).max(axis=1, keepdims=True))))
+    return out.astype(np.int8)
+
+
+def fuzzy_keys(margins: np.ndarray) -> np.ndarray:
+    """A row of keys for each sketch: which segments, and a codeword for each."""
+    at = golay.nearest(margins.reshape(-1, 23), NEAREST).reshape(len(margins), SEGMENTS, NEAREST)
+    found = []
+    for number, chosen in enumerate(combinations(range(SEGMENTS), TOGETHER)):
+        keys = np.full((len(margins), 1), number, np.int64)
+        for segment in chosen:
+            keys = (keys[:, :, None] << 12 | at[:, segment, None, :]).reshape(len(margins), -1)
+        found.append(keys)
+    return np.concatenate(found, axis=1)
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -62,48 +102,34 @@ def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both + 1e-9 >= least * (len(a) + len(b) - both)
 
 
-def common_shingles(docs: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles found in several of the sampled documents, in order, and in how many."""
-
+def _sketched(width: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces_of(whole, PIECE):
                 sets = [shingles(t.as_py(), width) for t in batch["text"]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["s"])
+                keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                sizes = pa.array(np.fromiter(map(len, sets), np.int32, len(sets)))
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["t"], pa.array(keys), sizes, pa.array([m.tobytes() for m in sketches(sets)], pa.binary())], names=["doc_id", "t", "key", "n", "sketch"])
 
-    chosen = docs.select("doc_id", "t").distinct().orderBy(F.xxhash64("doc_id", "t"), "doc_id", "t").limit(SAMPLE)
-    chosen = common.save(chosen.select(F.col("doc_id").alias("d"), F.col("t").alias("dt")), "sampled-documents")
-    sampled = docs.join(F.broadcast(chosen), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt"))).select("text")  # SAMPLE ids at most
-    counted = sampled.mapInArrow(run, "s long").groupBy("s").count().where("count > 2").orderBy(F.desc("count"), "s").limit(COMMON).toArrow()
-    s, n = np.asarray(counted["s"]).view(np.uint64), np.asarray(counted["count"])
-    order = np.argsort(s)
-    return s[order], n[order]
+    return run
 
 
-def prefixes(docs: DataFrame, width: int, least: float) -> DataFrame:
-    """doc_id, t, key (a hash of the set), n (its size), prefix."""
-    shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, width))  # COMMON shingles at most
+def _margins(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, PLACES)
 
-    def prefix(own: np.ndarray) -> np.ndarray:
-        known, counts = shared.value
-        often = np.zeros(len(own), np.int64)
-        if len(known) and len(own):
-            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            often = np.where(known[at] == own, counts[at], 0)
-        return own[np.lexsort((own, often))[: prefix_size(len(own), least)]]
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in pieces_of(whole, PIECE):
-                sets = [shingles(t.as_py(), width) for t in batch["text"]]
-                firsts = [prefix(s) for s in sets]
-                keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-                ends = np.concatenate([[0], np.cumsum([len(f) for f in firsts])]).astype(np.int32)
-                listed = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(firsts).view(np.int64)))
-                sizes = pa.array(np.fromiter(map(len, sets), np.int32, len(sets)))
-                yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["t"], pa.array(keys), sizes, listed], names=["doc_id", "t", "key", "n", "prefix"])
+def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = fuzzy_keys(_margins(batch["sketch"]))
+        every = pa.array(np.repeat(np.arange(batch.num_rows), found.shape[1]))
+        yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), batch["key"].take(every), batch["n"].take(every)], names=["s", "key", "n"])
+
 
-    return docs.mapInArrow(run, "doc_id long, t long, key long, n int, prefix array<long>")
+def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = _margins(batch["x"]).astype(np.float32), _margins(batch["y"]).astype(np.float32)
+        cosine = (x * y).sum(axis=1) / np.maximum(1e-9, np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1)))
+        yield batch.select(["a", "b"]).filter(pa.array(cosine >= ALIKE))
 
 
 def _sets(width: int) -> Callable:
@@ -124,58 +150,78 @@ def _compare(least: float) -> Callable:
     return run
 
 
-def links(entries: DataFrame, sets: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
-    """Pairs (a, b) of similar sets whose components are those of all such pairs. entries: s (a shingle of the prefix), key, n; sets: key, own, for a table of keys."""
-    shared = entries.groupBy("s").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("s")
-    buckets = common.save(entries.join(shared, "s").distinct(), "shared-shingles")
-    owned = common.save(sets(buckets.select("key").distinct()), "shingle-sets")
+def _valued(pairs: DataFrame, side: str, values: DataFrame, name: str) -> DataFrame:
+    """pairs and the value of that side's set; values: key, value. A set of very many pairs is dealt over tasks."""
+    deals = pairs.groupBy(side).agg(F.ceil(F.count("*") / FANOUT).cast("int").alias("deals"))
+    dealt = pairs.join(deals, side).withColumn("deal", F.pmod(F.hash("a", "b"), "deals")).drop("deals")
+    owned = values.join(deals, F.col("key") == F.col(side)).select(side, F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("value").alias(name))
+    return dealt.join(owned, [side, "deal"]).drop("deal")
+
+
+def _both(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """a, b, x, y: pairs with the values of both sides."""
+    return _valued(_valued(pairs, "a", values, "x"), "b", values, "y").select("a", "b", "x", "y")
+
+
+def links(sets: DataFrame, shingled: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """Pairs (a, b) of similar sets whose components are those of all candidates. sets: key, n, sketch, each key once; shingled: key, value for a table of keys."""
+    fuzzy = common.save(sets.where("n > 3").select("sketch", "key", "n").mapInArrow(_keyed, "s long, key long, n int"), "fuzzy-keys")
+    shared = common.save(fuzzy.groupBy("s").agg(F.count("*").alias("size")).where("size > 1"), "shared-keys")
     fits = (F.col("an") >= F.col("bn") * least - 1e-6) & (F.col("bn") >= F.col("an") * least - 1e-6)
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        first, second = owned.select(F.col("key").alias("a"), F.col("own").alias("x")), owned.select(F.col("key").alias("b"), F.col("own").alias("y"))
-        return common.save(pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(_compare(least), "a long, b long"), "similar-pairs")
+    def verified(pairs: DataFrame) -> DataFrame:
+        near = common.save(_both(pairs, sets.select("key", F.col("sketch").alias("value"))).mapInArrow(_alike, "a long, b long"), "alike-pairs")
+        owned = common.save(shingled(near.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "shingle-sets")
+        found = common.save(_both(near, owned).mapInArrow(_compare(least), "a long, b long"), "similar-pairs")
+        common.drop_saved(near, owned)
+        return found
 
     def to_leader(rows: DataFrame, order) -> DataFrame:
-        """Each row's set with the one of its bucket that order puts first, unless they are in one group already."""
+        """Each row's set with the one of its key that order puts first, unless they are in one group already."""
         leader = rows.groupBy("s").agg(F.min(F.struct(order.alias("o"), "key", "n", "root")).alias("l")).select("s", "l.*").drop("o")
         leader = leader.toDF("s", "a", "an", "aroot")
         both = rows.select("s", F.col("key").alias("b"), F.col("n").alias("bn"), "root").join(leader, "s").where(F.col("root") != F.col("aroot")).where(fits)
         return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    tried = common.save(to_leader(buckets.withColumn("root", F.col("key")), F.col("key")), "compared-pairs")
-    found = verify(tried)
+    few = fuzzy.join(shared.where(f"size <= {PAIRED}").select("s"), "s").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("all"))
+    few = few.select("all", F.posexplode("all").alias("i", "one")).select("one", F.explode(F.slice("all", F.col("i") + 2, PAIRED)).alias("two"))
+    few = few.select(F.col("one.key").alias("a"), F.col("one.n").alias("an"), F.col("two.key").alias("b"), F.col("two.n").alias("bn")).where(fits).select("a", "b").distinct()
+    many = common.save(fuzzy.join(shared.where(f"size > {PAIRED}").select("s"), "s"), "hot-keys")
+    tried = common.save(few.unionByName(to_leader(many.withColumn("root", F.col("key")), F.col("key"))).distinct(), "compared-pairs")
+    common.drop_saved(fuzzy, shared)
+    found = verified(tried)
     for i in range(LEADERS + 1):
-        rows = buckets.join(components(found), F.col("key") == F.col("node"), "left").select("s", "key", "n", F.coalesce("root", "key").alias("root"))
+        rows = many.join(components(found), F.col("key") == F.col("node"), "left").select("s", "key", "n", F.coalesce("root", "key").alias("root"))
         rows = common.save(rows, "grouped-sets")
-        still = rows.groupBy("s").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("size > 2 AND lo <> hi")
-        still = common.save(still.select("s", "size"), "open-shingles")
-        large = still.where(f"size > {PAIRED}").select("s")
-        if i < LEADERS and not large.isEmpty():
-            more = to_leader(rows.join(large, "s"), F.xxhash64("key", F.lit(i)))
-        else:
-            left = rows.join(still.select("s"), "s")
+        still = rows.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
+        if i == LEADERS:
+            left = rows.join(still, "s")
             one = left.select("s", F.col("key").alias("a"), F.col("n").alias("an"), F.col("root").alias("aroot"))
             two = left.select("s", F.col("key").alias("b"), F.col("n").alias("bn"), "root")
             more = one.join(two, "s").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("aroot"))).where(fits).select("a", "b").distinct()
+        else:
+            more = to_leader(rows.join(still, "s"), F.xxhash64("key", F.lit(i)))
         more = common.save(more.join(tried, ["a", "b"], "left_anti"), "compared-pairs")
-        tried, found = tried.unionByName(more), found.unionByName(verify(more))
-        if i == LEADERS or large.isEmpty():
-            return found
+        if not more.isEmpty():
+            tried, found = tried.unionByName(more), found.unionByName(verified(more))
+        elif still.isEmpty():
+            break
+    return found
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, least: float = LEAST) -> DataFrame:
     """doc_id, t (xxhash64 of the text), copies (rows of that doc_id and text), is_first, and the group's first: first_id, first_t; one row a document."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("t"), F.col("text").cast("string").alias("text"))
-    rows = common.save(prefixes(docs, width, least), "shingle-prefixes")
+    rows = common.save(docs.mapInArrow(_sketched(width), "doc_id long, t long, key long, n int, sketch binary"), "sketches")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")
-    groups = common.save(rows.groupBy("key").agg(F.min(place).alias("first")), "different-sets")
+    groups = common.save(rows.groupBy("key").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "different-sets")
 
-    def sets(keys: DataFrame) -> DataFrame:
+    def shingled(keys: DataFrame) -> DataFrame:
         wanted = groups.join(keys, "key").select("key", F.col("first.doc_id").alias("d"), F.col("first.t").alias("dt"))
         texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt"))).select("key", "text")
-        return texts.dropDuplicates(["key"]).mapInArrow(_sets(width), "key long, own binary")
+        return texts.mapInArrow(_sets(width), "key long, value binary").dropDuplicates(["key"])
 
-    linked = components(links(rows.select(F.explode("prefix").alias("s"), "key", "n"), sets, least)).withColumnRenamed("node", "key")
+    linked = components(links(groups, shingled, least)).withColumnRenamed("node", "key")
     named = groups.join(linked, "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     firsts = named.groupBy("root").agg(F.min("first").alias("of_group"))
     named = common.save(named.join(firsts, "root").select("key", "of_group"), "named-sets")
