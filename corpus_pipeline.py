@@ -1,4 +1,4 @@
-"""A corpus pipeline: quality classifier, language ID, line dedup, near-dedup, packing.
+"""A corpus pipeline: quality classifier, language ID, line dedup, SimHash near-dedup, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return
 the columns of documents; the last returns the packed pieces. run() writes each stage's result as Parquet
@@ -32,7 +32,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates: five-word shingles of Jaccard similarity 0.8 or more."""
+    """The first document of each group of near-duplicates: SimHash candidates whose five-word shingles have a Jaccard similarity of 0.8 or more."""
     each = common.save(near_dups.near_duplicates(docs).select(F.col("doc_id").alias("__id"), F.col("t").alias("__t"), "copies", "is_first"), "groups")
     gone = each.where("NOT is_first OR copies > 1").select("__id", "__t")
     repeated = each.where("is_first AND copies > 1").select("__id", "__t")  # few or none, as a rule
@@ -50,7 +50,7 @@ STAGES = [
     ("quality classifier", keep_quality),
     ("language ID", keep_language),
     ("line dedup", dedup_lines),
-    ("near-dedup", dedup_near),
+    ("SimHash near-dedup", dedup_near),
     ("packing", pack),
 ]
 
