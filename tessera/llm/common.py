@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -52,3 +53,22 @@ def drop_saved(*tables: DataFrame) -> None:
 
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
+
+
+def apart(df: DataFrame, *values: Column) -> DataFrame:
+    """df's rows as one column, row, beside values: no name of df's can clash with one used on the way."""
+    return df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"), *values)
+
+
+def together(df: DataFrame, columns: list[str], *added: str) -> DataFrame:
+    """The columns of row and the columns added, which replace those of their names."""
+    return df.select(*(F.col(f"row.`{c}`").alias(c) for c in columns if c not in added), *added)
+
+
+def sums_of(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The sum of values from each place in at to the next, as double. It does not depend on what else is in values."""
+    out = np.zeros((len(at) - 1, *values.shape[1:]))
+    some = np.flatnonzero(np.diff(at))
+    if len(some):
+        out[some] = np.add.reduceat(values, at[:-1][some], axis=0, dtype=np.float64)
+    return out

@@ -1,130 +1,99 @@
 """Line dedup by winnowing over line hashes, with DataFrame functions only.
 
-A line is what lies between line feeds, compared without spaces at its ends. A gram is a line of
-GRAM_WORDS words, or as many lines on from a line as hold that many, GRAM_LINES at most. Of every three
-grams in a row the one of smallest hash is a fingerprint; a line of RUN_WORDS words is one always. So two
-copies of a run share a fingerprint if the run holds a line of RUN_WORDS words or three whole grams in a
-row from its first line on. Each fingerprint's places are joined to the first of them (by doc_id, text
-and line) and the match is extended both ways, line by line, as far as the next fingerprint may be.
-So that no run is missed (a run may hold no three grams, or its fingerprints may first occur elsewhere without the
-rest of it), spans are matched as well: from each line on, and back from each line, the fewest lines that hold
-RUN_WORDS words. Each place of a span but the first is a match. A repeated run of RUN_WORDS words consists of
-such spans, so all its lines are found. Spans pass over lines without words.
-
-Matches that touch are one run, and a run of RUN_WORDS words or more is deleted where it is the later one.
-The first place of every line stays: each match leads to an earlier place.
+A line is what lies between line feeds, compared without spaces at its ends; lines without words are passed over. A gram
+is the fewest lines on from a line that hold GRAM_WORDS words, a span the fewest lines on from a line, or back from
+it, that hold RUN_WORDS words. A line's window are the grams that begin within the first RUN_WORDS - GRAM_WORDS words from it on;
+all of them lie within its span. The gram of smallest hash in each window is a fingerprint. Copies of a run of
+RUN_WORDS words have a span, so its window, so its fingerprint in common, however the words are dealt to lines and whatever
+stands around them.
+
+Fingerprints found at more than one place are joined to the spans that they were chosen for. Such spans are compared
+whole: each place of a span but the first (by doc_id, text hash and line) repeats it. A repeated run consists of such
+spans: those on from its lines and those back from its lines cover all of it, so matches are extended both ways to
+its ends by joining spans that overlap or touch. All later places of a run are found, also where its lines first
+occur elsewhere without the rest of it. They are deleted; the first place of every span stays.
 
 Words are counted as spaces within a line plus one. Lines are equal if 60 bits of their MD5 and their
 word counts are. Rows that share doc_id and text are one document and are treated alike; rows that share
 only doc_id are different ones. A null doc_id comes before all others. Null texts stay null, empty ones
-empty; a document of which every line goes has an empty text. Other columns are kept as they are; an
-empty table gives an empty one. A key's places are never gathered: they are counted and joined, and a hot
-fingerprint costs a row for each of its places.
+empty; a document of which every line goes has an empty text. The result has the input's columns and n_removed, which
+replaces one of that name; an empty table gives an empty one. A key's places are never gathered: they are counted and joined,
+and a hot fingerprint costs a row for each of its places.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common
 
 GRAM_WORDS = 12
-GRAM_LINES = 4
-WINDOW_GRAMS = 3
 RUN_WORDS = 50
-REACH = 4  # lines that a match is extended by on each side: fingerprints are no further apart
 
 
 def hash60(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
-def spans(lines: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """The lines of spans that are at an earlier place too: d, t, line, words."""
-    in_order = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    full = lines.where("n > 0").withColumn("upto", F.sum("n").over(in_order)).withColumn("before", F.col("upto") - F.col("n"))
-    ahead = Window.partitionBy("row").orderBy("before").rangeBetween(0, run_words - 1)
-    back = Window.partitionBy("row").orderBy("upto").rangeBetween(1 - run_words, 0)
-    here = F.struct("h", "pos", "n")
-    found = full.select("d", "t", F.collect_list(here).over(ahead).alias("ahead"), F.collect_list(here).over(back).alias("back"))
-    found = found.select("d", "t", F.explode(F.array("ahead", "back")).alias("s"))
-    found = found.where(F.aggregate("s.n", F.lit(0).cast("long"), lambda a, x: a + x) >= run_words)
-    found = found.select(hash60(F.array_join(F.transform("s", lambda x: F.concat_ws(":", x["h"].cast("string"), x["n"].cast("string"))), ",")).alias("g"), "d", "t", F.get("s.pos", F.lit(0)).alias("pos"), F.col("s.pos").alias("ps"), F.col("s.n").alias("ns"))
-    found = common.save(found, "line-spans")
-    place = F.struct("d", "t", "pos")
-    firsts = found.groupBy("g").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("g", "first")
-    later = found.join(firsts, "g").where(place > F.col("first"))
-    covered = later.select("d", "t", "ps", "ns", F.explode(F.sequence("pos", F.element_at("ps", -1))).alias("line"))
-    words = F.when(F.array_contains("ps", F.col("line")), F.get("ns", (F.array_position("ps", F.col("line")) - 1).cast("int"))).otherwise(0)
-    return covered.select("d", "t", "line", words.cast("int").alias("words"))
-
-
-def matches(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
-    """The lines that a match covers: d (doc_id), t (hash of the text), line (from 0), words."""
+def lines_of(docs: DataFrame) -> DataFrame:
+    """d (doc_id), t (hash of the text), row, pos (from 0), h (the line's hash), n (its words); lines without words are left out."""
     line = F.trim("line")
     lines = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64("text").alias("t"), F.monotonically_increasing_id().alias("row"), "text")
-    lines = lines.select("d", "t", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    words = F.when(line == "", 0).otherwise(F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1)
-    lines = lines.select("d", "t", "row", "pos", hash60(line).alias("h"), words.alias("n"))
-
-    there = Window.partitionBy("row").orderBy("pos")
-    ahead = GRAM_LINES + REACH
-    around = lambda c: F.array(*(F.lag(c, -o).over(there) for o in range(-REACH, ahead)))
-    near = lines.select("*", around("h").alias("hs"), around("n").alias("ns"))
-    in_gram = [F.get("ns", F.lit(REACH + i)) for i in range(GRAM_LINES)]
-    size = F.when(in_gram[0] >= GRAM_WORDS, 1)
-    for i in range(1, GRAM_LINES):
-        so_far = reduce(lambda a, b: a + b, in_gram[: i + 1])
-        size = size.when(so_far >= GRAM_WORDS if i < GRAM_LINES - 1 else so_far.isNotNull(), i + 1)
-    near = near.withColumn("m", size)
-    gram = F.concat_ws(",", F.col("m").cast("string"), *(F.when(F.col("m") > i, F.get("hs", F.lit(REACH + i)).cast("string")) for i in range(GRAM_LINES)))
-    near = near.withColumn("g", F.when(F.col("m").isNotNull(), hash60(gram)))
-    least = F.least("g", *(F.lead("g", i).over(there) for i in range(1, WINDOW_GRAMS)))
-    near = near.withColumn("least", F.when(F.col("n") >= run_words, F.col("g")).otherwise(least))
-    chosen = reduce(lambda a, b: a | b, (F.coalesce(F.col("g") == F.lag("least", i).over(there), F.lit(False)) for i in range(WINDOW_GRAMS)))
-    seeds = common.save(near.withColumn("chosen", chosen).where("chosen").select("g", "d", "t", "pos", "m", "hs", "ns"), "line-fingerprints")
-
-    place = F.struct("d", "t", "pos")
-    firsts = seeds.groupBy("g").agg(F.min(place).alias("first"), F.count("*").alias("places")).where("places > 1").select("g", "first")
-    repeated = common.save(seeds.join(firsts, "g"), "repeated-fingerprints")
-    first_lines = repeated.where(place.eqNullSafe(F.col("first"))).groupBy("g").agg(F.min(F.struct("hs", "ns")).alias("f"))
-    later = repeated.where(place > F.col("first")).join(first_lines, "g")
-
-    def same(i: Column) -> Column:
-        return F.coalesce((F.get("hs", i) == F.get("f.hs", i)) & (F.get("ns", i) == F.get("f.ns", i)), F.lit(False))
-
-    def run(at) -> Column:
-        """How many lines in a row are the same, REACH at most."""
-        chain = F.when(~same(at(0)), 0)
-        for i in range(1, REACH):
-            chain = chain.when(~same(at(i)), i)
-        return chain.otherwise(REACH)
-
-    extended = later.select("d", "t", "pos", "m", "ns", run(lambda i: F.lit(REACH - 1 - i)).alias("before"), run(lambda i: F.col("m") + REACH + i).alias("after"))
-    covered = extended.select("d", "t", "pos", "ns", F.explode(F.sequence(-F.col("before"), F.col("m") + F.col("after") - 1)).alias("o"))
-    covered = covered.select("d", "t", (F.col("pos") + F.col("o")).alias("line"), F.get("ns", F.col("o") + REACH).alias("words"))
-    return covered.unionByName(spans(lines, run_words)).distinct()
+    lines = lines.select("d", "t", "row", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line")).where(line != "")
+    words = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+    return lines.select("d", "t", "row", "pos", hash60(line).alias("h"), words.alias("n"))
+
+
+def spans(docs: DataFrame, run_words: int = RUN_WORDS, gram_words: int = GRAM_WORDS) -> DataFrame:
+    """d, t, first, last (lines), span (its hash), g and at (the fingerprint of its first line's window, and where that is)."""
+    in_order = Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines_of(docs).withColumn("upto", F.sum("n").over(in_order)).withColumn("before", F.col("upto") - F.col("n"))
+    on = Window.partitionBy("row").orderBy("before")
+    back = Window.partitionBy("row").orderBy("upto").rangeBetween(1 - run_words, 0)
+    ahead = on.rangeBetween(0, run_words - 1)
+    words = F.concat_ws(":", F.col("h").cast("string"), F.col("n").cast("string"))
+    hashed = lambda frame: hash60(F.array_join(F.collect_list(words).over(frame), ","))
+    lines = lines.withColumn("g", hashed(on.rangeBetween(0, gram_words - 1)))
+    lines = lines.withColumn("f", F.min(F.struct("g", "pos")).over(on.rangeBetween(0, run_words - gram_words)))
+    found = lines.select(
+        "d",
+        "t",
+        F.struct(F.col("pos").alias("first"), F.max("pos").over(ahead).alias("last"), hashed(ahead).alias("span"), "f", F.sum("n").over(ahead).alias("n")).alias("ahead"),
+        F.struct(F.min("pos").over(back).alias("first"), F.col("pos").alias("last"), hashed(back).alias("span"), F.first("f").over(back).alias("f"), F.sum("n").over(back).alias("n")).alias("back"),
+    )
+    each = found.select("d", "t", F.explode(F.array("ahead", "back")).alias("s")).where(F.col("s.n") >= run_words)
+    return each.select("d", "t", "s.first", "s.last", "s.span", F.col("s.f.g").alias("g"), F.col("s.f.pos").alias("at"))
 
 
 def later_runs(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """d, t, runs: for each document with repeated runs to delete their first and last lines."""
-    in_order = Window.partitionBy("d", "t").orderBy("line")
-    islands = matches(docs, run_words).withColumn("island", F.col("line") - F.row_number().over(in_order))
-    runs = islands.groupBy("d", "t", "island").agg(F.min("line").alias("start"), F.max("line").alias("end"), F.sum("words").alias("words")).where(F.col("words") >= run_words)
+    every = common.save(spans(docs, run_words), "line-spans")
+    where = F.xxhash64("d", "t", "at")
+    repeated = every.groupBy("g").agg(F.min(where).alias("one"), F.max(where).alias("other")).where("one <> other").select("g")
+    met = every.join(repeated, "g", "left_semi").select("span", "d", "t", "first", "last")
+    place = F.struct("d", "t", "first", "last")
+    firsts = met.groupBy("span").agg(F.min(place).alias("one"), F.max(place).alias("other")).where("one <> other").select("span", "one")
+    later = met.join(firsts, "span").where(place > F.col("one")).select("d", "t", "first", "last").distinct()
+
+    in_order = Window.partitionBy("d", "t").orderBy("first", "last")
+    reached = F.max("last").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    begins = later.withColumn("begins", F.when(F.col("first") <= reached + 1, 0).otherwise(1))
+    runs = begins.withColumn("run", F.sum("begins").over(in_order.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("d", "t", "run").agg(F.min("first").alias("start"), F.max("last").alias("end"))
     return runs.groupBy("d", "t").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("runs"))
 
 
 def dedup_lines(docs: DataFrame, run_words: int = RUN_WORDS) -> DataFrame:
     """docs with the later copies of repeated runs deleted from text, and n_removed, the lines that went."""
-    runs = later_runs(docs, run_words).alias("r")
-    own = docs.withColumn("__t", F.xxhash64("text")).alias("o")
-    joined = own.join(runs, F.col("o.doc_id").cast("long").eqNullSafe(F.col("r.d")) & (F.col("o.__t") == F.col("r.t")), "left")
-    kept = F.filter(F.split(F.col("o.text"), "\n", -1), lambda _, i: ~F.exists("r.runs", lambda r: (i >= r["start"]) & (i <= r["end"])))
-    removed = F.aggregate("r.runs", F.lit(0), lambda n, r: n + (r["end"] - r["start"] + 1).cast("int"))
-    columns = [F.when(F.col("r.runs").isNull(), F.col("o.text")).otherwise(F.array_join(kept, "\n")).alias("text") if c == "text" else F.col(f"o.`{c}`") for c in docs.columns]
+    own = common.apart(docs, F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("own"))
+    runs = later_runs(docs, run_words)
+    joined = own.join(runs, F.col("id").eqNullSafe(F.col("d")) & (F.col("own") == F.col("t")), "left")
+    text = F.col("row.text")
+    kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.exists("runs", lambda r: (i >= r["start"]) & (i <= r["end"])))
+    removed = F.aggregate("runs", F.lit(0), lambda n, r: n + (r["end"] - r["start"] + 1).cast("int"))
+    text = F.when(F.col("runs").isNull(), text).otherwise(F.array_join(kept, "\n")).alias("text")
+    columns = [text if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c != "n_removed"]
     return joined.select(*columns, F.coalesce(removed, F.lit(0)).alias("n_removed"))
 
 
@@ -132,56 +101,32 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_lines(common.table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+#: What must go, without fingerprints: every line of a span that is at an earlier place too.
 OP2_SQL = """
 WITH lines AS (
   SELECT doc_id AS d, u.pos - 1 AS pos, trim(u.line) AS line
   FROM documents, LATERAL (SELECT unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS pos) u
+), counted AS (
+  SELECT d, pos, line, strlen(line) - strlen(replace(line, ' ', '')) + 1 AS n FROM lines WHERE line <> ''
+), summed AS (
+  SELECT *, sum(n) OVER (PARTITION BY d ORDER BY pos)::BIGINT AS upto, (sum(n) OVER (PARTITION BY d ORDER BY pos) - n)::BIGINT AS before FROM counted
+), spans AS (
+  SELECT d, pos AS first_line, max(pos) OVER w AS last_line, list(line) OVER w AS span, sum(n) OVER w AS n
+  FROM summed WINDOW w AS (PARTITION BY d ORDER BY before RANGE BETWEEN CURRENT ROW AND 49 FOLLOWING)
+  UNION ALL
+  SELECT d, min(pos) OVER w, pos, list(line) OVER w, sum(n) OVER w
+  FROM summed WINDOW w AS (PARTITION BY d ORDER BY upto RANGE BETWEEN 49 PRECEDING AND CURRENT ROW)
 ), hashed AS (
-  SELECT d, pos, ('0x' || substr(md5(line), 1, 15))::BIGINT AS h,
-    CASE WHEN line = '' THEN 0 ELSE strlen(line) - strlen(replace(line, ' ', '')) + 1 END AS n
-  FROM lines
-), near AS (
-  SELECT *, lead(h, 1) OVER w AS h1, lead(h, 2) OVER w AS h2, lead(h, 3) OVER w AS h3,
-    lead(n, 1) OVER w AS n1, lead(n, 2) OVER w AS n2, lead(n, 3) OVER w AS n3
-  FROM hashed WINDOW w AS (PARTITION BY d ORDER BY pos)
-), sized AS (
-  SELECT *, CASE WHEN n >= 12 THEN 1 WHEN n + n1 >= 12 THEN 2 WHEN n + n1 + n2 >= 12 THEN 3 WHEN n + n1 + n2 + n3 IS NOT NULL THEN 4 END AS m FROM near
-), grams AS (
-  SELECT d, pos, n, m, CASE WHEN m IS NOT NULL THEN ('0x' || substr(md5(concat_ws(',', m::VARCHAR, h::VARCHAR,
-    CASE WHEN m > 1 THEN h1::VARCHAR END, CASE WHEN m > 2 THEN h2::VARCHAR END, CASE WHEN m > 3 THEN h3::VARCHAR END)), 1, 15))::BIGINT END AS g
-  FROM sized
-), minima AS (
-  SELECT *, CASE WHEN n >= 50 THEN g ELSE least(g, lead(g, 1) OVER w, lead(g, 2) OVER w) END AS lo
-  FROM grams WINDOW w AS (PARTITION BY d ORDER BY pos)
-), windowed AS (
-  SELECT *, lag(lo, 1) OVER w AS lo1, lag(lo, 2) OVER w AS lo2 FROM minima WINDOW w AS (PARTITION BY d ORDER BY pos)
-), seeds AS (
-  SELECT d, pos, m, g FROM windowed WHERE g = lo OR g = lo1 OR g = lo2
+  SELECT d, first_line, last_line, md5(array_to_string(span, chr(10))) AS span FROM spans WHERE n >= 50
 ), placed AS (
-  SELECT *, first_value(d) OVER w AS fd, first_value(pos) OVER w AS fpos, row_number() OVER w AS place
-  FROM seeds WINDOW w AS (PARTITION BY g ORDER BY d, pos)
-), steps AS (
-  SELECT s.d, s.pos, s.m, o.o, (a.h = b.h AND a.n = b.n) AS same
-  FROM placed s CROSS JOIN (SELECT unnest(range(-4, 8)) AS o) o
-  LEFT JOIN hashed a ON a.d = s.d AND a.pos = s.pos + o.o
-  LEFT JOIN hashed b ON b.d = s.fd AND b.pos = s.fpos + o.o
-  WHERE s.place > 1 AND o.o < s.m + 4
-), reach AS (
-  SELECT d, pos, m, coalesce(max(o) FILTER (WHERE o < 0 AND same IS NOT TRUE), -5) AS lo,
-    coalesce(min(o) FILTER (WHERE o >= m AND same IS NOT TRUE), m + 4) AS hi
-  FROM steps GROUP BY d, pos, m
-), covered AS (
-  SELECT DISTINCT d, pos + o AS pos FROM (SELECT d, pos, unnest(range(lo + 1, hi)) AS o FROM reach)
-), islands AS (
-  SELECT c.d, c.pos, h.n, c.pos - row_number() OVER (PARTITION BY c.d ORDER BY c.pos) AS island
-  FROM covered c JOIN hashed h ON h.d = c.d AND h.pos = c.pos
-), runs AS (
-  SELECT d, min(pos) AS first_line, max(pos) AS last_line FROM islands GROUP BY d, island HAVING sum(n) >= 50
+  SELECT *, first_value((d, first_line, last_line)) OVER (PARTITION BY span ORDER BY d, first_line, last_line) AS one FROM hashed
 ), gone AS (
-  SELECT d, flatten(list(range(first_line, last_line + 1))) AS lines FROM runs GROUP BY d
+  SELECT d, list(DISTINCT pos) AS gone FROM (
+    SELECT d, unnest(range(first_line, last_line + 1)) AS pos FROM placed WHERE (d, first_line, last_line) <> one
+  ) GROUP BY d
 )
-SELECT doc_id, CASE WHEN lines IS NULL THEN text
-    ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(lines, i - 1)), chr(10)) END AS text,
-  coalesce(len(lines), 0)::INTEGER AS n_removed
+SELECT doc_id, CASE WHEN gone IS NULL THEN text
+    ELSE array_to_string(list_filter(string_split(text, chr(10)), lambda x, i: NOT list_contains(gone, i - 1)), chr(10)) END AS text,
+  coalesce(len(gone), 0)::INTEGER AS n_removed
 FROM documents LEFT JOIN gone ON d = doc_id
 """
