@@ -9,9 +9,9 @@ and above that at 0.9 (README). Sketches of candidates are compared, then the sh
 linked. A pair of similarity 0.8 has sketches of cosine 0.889 or more, give or take 0.016; ALIKE is seven times that below.
 
 Equal sets are one from the start. Where PAIRED sets or fewer share a key all pairs are candidates. Where more do, they
-are compared with the smallest of them, then with a few others; last, all of that key that are still in different
-groups are compared pair by pair. A pair is left out only if links already join it, so groups are those of all
-candidates.
+are compared with the smallest of them, then those of other groups with one more; last, each set of that key outside its
+largest group is compared with all that are in another group than its own. A pair is left out only if links already
+join it, so groups are those of all candidates.
 
 Texts without words are one group. Sets of three shingles or fewer are similar to equal ones only and have no keys. Rows
 that share doc_id and text are one document; rows that share only doc_id are different ones. A group's first document is that
@@ -40,7 +40,6 @@ SEGMENTS, NEAREST, TOGETHER = 7, 2, 2
 PLACES = SEGMENTS * 23
 ALIKE = 0.78
 PAIRED = 32
-LEADERS = 3
 FANOUT = 1000  # pairs of one set that are compared in one task
 PIECE = 1_000_000
 #: For each byte a word with its bits in eight lanes of a byte.
@@ -176,12 +175,20 @@ def links(sets: DataFrame, shingled: Callable[[DataFrame], DataFrame], least: fl
         common.drop_saved(near, owned)
         return found
 
+    def ordered(pairs: DataFrame) -> DataFrame:
+        return pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
     def to_leader(rows: DataFrame, order) -> DataFrame:
         """Each row's set with the one of its key that order puts first, unless they are in one group already."""
         leader = rows.groupBy("s").agg(F.min(F.struct(order.alias("o"), "key", "n", "root")).alias("l")).select("s", "l.*").drop("o")
         leader = leader.toDF("s", "a", "an", "aroot")
-        both = rows.select("s", F.col("key").alias("b"), F.col("n").alias("bn"), "root").join(leader, "s").where(F.col("root") != F.col("aroot")).where(fits)
-        return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return ordered(rows.select("s", F.col("key").alias("b"), F.col("n").alias("bn"), "root").join(leader, "s").where(F.col("root") != F.col("aroot")))
+
+    def across_groups(rows: DataFrame) -> DataFrame:
+        """All pairs of a key's sets that are in different groups: the sets outside the key's largest group with all others."""
+        largest = rows.groupBy("s", "root").count().groupBy("s").agg(F.max(F.struct("count", "root")).alias("l")).select("s", F.col("l.root").alias("main"))
+        outside = rows.join(largest, "s").where(F.col("root") != F.col("main")).select("s", F.col("key").alias("a"), F.col("n").alias("an"), F.col("root").alias("aroot"))
+        return ordered(outside.join(rows.select("s", F.col("key").alias("b"), F.col("n").alias("bn"), "root"), "s").where(F.col("root") != F.col("aroot")))
 
     few = fuzzy.join(shared.where(f"size <= {PAIRED}").select("s"), "s").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("all"))
     few = few.select("all", F.posexplode("all").alias("i", "one")).select("one", F.explode(F.slice("all", F.col("i") + 2, PAIRED)).alias("two"))
@@ -190,22 +197,16 @@ def links(sets: DataFrame, shingled: Callable[[DataFrame], DataFrame], least: fl
     tried = common.save(few.unionByName(to_leader(many.withColumn("root", F.col("key")), F.col("key"))).distinct(), "compared-pairs")
     common.drop_saved(fuzzy, shared)
     found = verified(tried)
-    for i in range(LEADERS + 1):
+    if many.isEmpty():
+        return found
+    for step in (lambda rows: to_leader(rows, F.xxhash64("key")), across_groups):
         rows = many.join(components(found), F.col("key") == F.col("node"), "left").select("s", "key", "n", F.coalesce("root", "key").alias("root"))
         rows = common.save(rows, "grouped-sets")
         still = rows.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
-        if i == LEADERS:
-            left = rows.join(still, "s")
-            one = left.select("s", F.col("key").alias("a"), F.col("n").alias("an"), F.col("root").alias("aroot"))
-            two = left.select("s", F.col("key").alias("b"), F.col("n").alias("bn"), "root")
-            more = one.join(two, "s").where((F.col("a") < F.col("b")) & (F.col("root") != F.col("aroot"))).where(fits).select("a", "b").distinct()
-        else:
-            more = to_leader(rows.join(still, "s"), F.xxhash64("key", F.lit(i)))
-        more = common.save(more.join(tried, ["a", "b"], "left_anti"), "compared-pairs")
+        more = common.save(step(rows.join(still, "s")).join(tried, ["a", "b"], "left_anti"), "compared-pairs")
+        common.drop_saved(rows)
         if not more.isEmpty():
             tried, found = tried.unionByName(more), found.unionByName(verified(more))
-        elif still.isEmpty():
-            break
     return found
 
 
