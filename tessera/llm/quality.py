@@ -8,9 +8,10 @@ with the weights, which needs no grouping: it is the mean weight of each kind's
 
 Training takes SAMPLE labelled rows at most, those of smallest hashed doc_id, so it costs the same at any
 size of the corpus; scoring reads whole texts of all documents. Rows whose crc32 of the doc_id modulo five is
-zero are held out. If a doc_id has several labels, the lowest holds; if it has several rows, each is an
-example. Without any usable label every score is 0.5. Null and empty texts are scored by their length
-alone. Only text enters a score. Other columns stay as they are.
+zero are held out. If a doc_id has several labels, the lowest holds; if it has several rows, that of the
+smallest text hash is the example, so there are SAMPLE examples at most however often an id repeats. Without any
+usable label every score is 0.5. Null and empty texts are scored by their length alone; equal texts have
+equal scores. Only text enters a score. The result has the input's columns and score, which replaces one of that name.
 """
 
 from __future__ import annotations
@@ -87,13 +88,12 @@ def features(texts: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
 def scores(texts: pa.Array, weights: np.ndarray) -> np.ndarray:
     total = np.full(len(texts), float(weights[PLACES]))
     for places, at in features(texts):
-        sums = np.concatenate([[0.0], np.cumsum(weights[places], dtype=np.float64)])
-        total += (sums[at[1:]] - sums[at[:-1]]) / np.maximum(1, np.diff(at))
+        total += common.sums_of(weights[places], at) / np.maximum(1, np.diff(at))
     return 1 / (1 + np.exp(-np.clip(total, -30, 30)))
 
 
 def train(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS) -> np.ndarray:
-    """Weights (the last is the bias) from (places, values, label) examples, in their order."""
+    """Weights (the last is the bias) from (places, values, label) examples, in their order; each has the bias besides."""
     z, n = np.zeros(PLACES + 1), np.zeros(PLACES + 1)
 
     def weight(i: np.ndarray) -> np.ndarray:
@@ -101,6 +101,7 @@ def train(examples: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOC
 
     for _ in range(epochs):
         for places, values, label in examples:
+            places, values = np.append(places, PLACES), np.append(values, np.float32(1)).astype(np.float64)
             w = weight(places)
             g = (1 / (1 + np.exp(-np.clip(w @ values, -30, 30))) - label) * values
             step = (np.sqrt(n[places] + g * g) - np.sqrt(n[places])) / ALPHA
@@ -115,9 +116,10 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> np.ndarray:
     """Weights learnt from at most sample labelled rows that are not held out."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy(F.col("doc_id").cast("long").alias("__id")).agg(F.min(label).cast("int").alias("__label"))
-    chosen = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.join(F.broadcast(chosen), F.col("doc_id") == F.col("__id")).select("__id", "__label", F.col("text").cast("string").alias("text"))  # sample rows of two numbers at most
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label")).where("label IS NOT NULL AND id IS NOT NULL")
+    chosen = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    rows = own.join(F.broadcast(chosen), "id")  # sample rows of two numbers at most
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -128,13 +130,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
                     got = [np.unique(p[at[i] : at[i + 1]], return_counts=True) for p, at in kinds]
                     places.append(np.concatenate([p for p, _ in got]).astype(np.int32))
                     values.append(np.concatenate([c / max(1, c.sum()) for _, c in got]).astype(np.float32))
-                yield pa.RecordBatch.from_arrays([batch["__id"], batch["__label"], pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["id", "label", "places", "values"])
+                hashes = pa.array([xxhash.xxh64_intdigest(t.as_py() or "") - (1 << 63) for t in batch["text"]], pa.int64())
+                yield pa.RecordBatch.from_arrays([batch["id"], batch["label"], hashes, pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["id", "label", "t", "places", "values"])
 
-    table = rows.mapInArrow(extract, "id long, label int, places array<int>, values array<float>").toArrow()
+    each = rows.mapInArrow(extract, "id long, label int, t long, places array<int>, values array<float>")
+    each = each.groupBy("id", "label").agg(F.min_by(F.struct("places", "values"), "t").alias("f")).select("id", "label", "f.places", "f.values")
+    table = each.toArrow()  # sample rows at most
     places, values = (c.combine_chunks() if len(c.chunks) != 1 else c.chunk(0) for c in (table["places"], table["values"]))
     ids, given = np.asarray(table["id"]), np.asarray(table["label"])
     order = sorted(range(len(ids)), key=lambda i: (xxhash.xxh64_intdigest(str(ids[i])), i))
-    examples = [(np.append(np.asarray(places[i].values), PLACES).astype(np.int64), np.append(np.asarray(values[i].values, np.float64), 1.0), int(given[i] > 0)) for i in order]
+    examples = [(np.asarray(places[i].values), np.asarray(values[i].values), int(given[i] > 0)) for i in order]
     return train(examples)
 
 
