@@ -8,11 +8,14 @@ The evidence for a language is fused as log probabilities:
             towards the whole corpus; counts are sums of the text's own probabilities, by grouped aggregation
 A text whose language stays below KEEP, or that has no letter, is rejected.
 
-The trigram model is fitted on SAMPLE rows at most, those of smallest hashed key, taking the declared language
-as the label (languages of LEAST_SHARE of the sample or more, MOST_LANGUAGES at most); all counts and priors are
-over all rows. Without declared languages no row has a language and all are rejected. Missing declarations, hosts
-and suffixes are no evidence; a null or empty text is rejected. Rows are judged each for itself, so repeated
-rows agree. The priors are a table of one row a host, joined as its size allows. Other columns stay as they are.
+A language is the first part of a declaration, of two or three letters ("de" of "de-AT"), so there are 18,252 at most;
+other declarations are one more kind of declaration and no language. The trigram model is fitted on SAMPLE rows
+at most of each language, those of smallest hashed key, however rare it is; all counts and priors are over all rows. The
+model has MODEL numbers at most: many languages share fewer trigram places. Without declared languages
+no row has a language and all are rejected. Missing declarations, hosts and suffixes are no evidence; a null or empty text
+is rejected. Texts have a space before and after them, so a single letter is a trigram. Rows are judged each for
+itself, so repeated rows agree. The priors are a table of one row a host, joined as its size allows. The result has the input's
+columns and lang_id, lang_posterior and lang_kept, which replace those of their names.
 """
 
 from __future__ import annotations
@@ -22,21 +25,21 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common
 from tessera.llm.chunks import pieces_of
 
 BITS = 16
-SAMPLE = 20_000
-LEAST_SHARE = 0.002
-MOST_LANGUAGES = 64
+SAMPLE = 4_000
+MODEL = 1 << 24
 TEMPER = 50
 STRENGTH = 20.0  # texts that a prior one level up counts as
 KEEP = 0.6
 PIECE = 500_000
 SPACE = 0x20
+ADDED = ("lang_id", "lang_posterior", "lang_kept")
 
 
 def _letters() -> np.ndarray:
@@ -53,6 +56,8 @@ LETTERS = _letters()
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The hashed trigrams of all texts, text after text, and where each text's begin (one more at the end)."""
     texts = pc.utf8_lower(pc.fill_null(texts, "").cast(pa.large_string()))
+    space, nothing = pa.scalar(" ", pa.large_string()), pa.scalar("", pa.large_string())
+    texts = pc.binary_join_element_wise(space, texts, space, nothing)
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = texts.buffers()[2]
     c = LETTERS[np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]]] if data is not None and offsets[-1] > offsets[0] else np.empty(0, np.uint32)
@@ -68,36 +73,40 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return hashed[good].astype(np.int64), before[np.minimum(offsets, len(good))]
 
 
-def fit_text(docs: DataFrame, key: str, text: Column, declared: Column, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
-    """The languages and, for each trigram place, their log probabilities."""
-    rows = docs.select(F.col(key).cast("string").alias("__key"), declared.alias("__lang"), text.alias("text")).where("__lang IS NOT NULL")
-    chosen = rows.select("__key").orderBy(F.xxhash64("__key"), "__key").limit(sample).distinct()
-    picked = rows.join(F.broadcast(chosen), "__key")  # sample keys at most
+def declared_language(declared: Column) -> Column:
+    """The language a declaration names; null if it names none."""
+    return F.nullif(F.regexp_extract(F.lower(F.trim(declared)), "^([a-z]{2,3})(?:[-_].*)?$", 1), F.lit(""))
+
+
+def fit_text(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
+    """The languages and, for each of them, the log probabilities of all trigram places. rows: key, lang, text."""
+    rows = rows.where("lang IS NOT NULL")
+    in_order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
+    chosen = rows.select("key", "lang").distinct().withColumn("at", F.row_number().over(in_order)).where(F.col("at") <= sample).select("key", "lang")
+    picked = rows.join(chosen, ["key", "lang"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
-        texts: dict[str, int] = {}
         for whole in batches:
             for batch in pieces_of(whole, PIECE):
-                langs = np.asarray(batch["__lang"].to_pylist(), object)
+                langs = np.asarray(batch["lang"].to_pylist(), object)
                 for lang in set(langs):
-                    own = batch["text"].filter(pa.array(langs == lang))
-                    places, _ = trigrams(own)
+                    places, _ = trigrams(batch["text"].filter(pa.array(langs == lang)))
                     totals[lang] = totals.get(lang, 0) + np.bincount(places, minlength=1 << BITS)
-                    texts[lang] = texts.get(lang, 0) + len(own)
         for lang, n in totals.items():
             at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array([-1, *at.tolist()], pa.int32()), pa.array([texts[lang], *n[at].tolist()], pa.int64())], names=["lang", "place", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1)), pa.array([-1, *at.tolist()], pa.int32()), pa.array([0, *n[at].tolist()], pa.int64())], names=["lang", "place", "n"])
 
-    counted = picked.select("__lang", "text").mapInArrow(count, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n"))
-    texts = {r["lang"]: r["n"] for r in counted.where("place = -1").orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
-    languages = sorted(k for k, n in texts.items() if n >= LEAST_SHARE * sum(texts.values()))
-    table = counted.where(F.col("lang").isin(languages) & (F.col("place") >= 0)).toPandas()
-    n = np.zeros((1 << BITS, len(languages)))
-    for i, lang in enumerate(languages):
-        own = table[table["lang"] == lang]
-        n[own["place"], i] = own["n"]
-    return languages, np.log((n + 0.5) / (n + 0.5).sum(axis=0)).astype(np.float32)
+    counted = common.save(picked.select("lang", "text").mapInArrow(count, "lang string, place int, n long").groupBy("lang", "place").agg(F.sum("n").alias("n")), "trigram-counts")
+    languages = sorted(r[0] for r in counted.where("place = -1").select("lang").collect())  # of two or three letters each
+    bits = min(BITS, int(np.log2(MODEL / max(1, len(languages)))))
+    numbers = F.create_map(*(F.lit(x) for i, lang in enumerate(languages) for x in (lang, i))) if languages else F.lit(None)
+    places = counted.where("place >= 0").select(numbers[F.col("lang")].alias("lang") if languages else F.lit(0).alias("lang"), F.col("place").bitwiseAND((1 << bits) - 1).alias("place"), "n")
+    table = places.groupBy("lang", "place").agg(F.sum("n").alias("n")).toArrow()  # MODEL rows at most
+    common.drop_saved(counted)
+    n = np.zeros((1 << bits, len(languages)))
+    n[np.asarray(table["place"]), np.asarray(table["lang"])] = np.asarray(table["n"])
+    return languages, np.ascontiguousarray(np.log((n + 0.5) / (n + 0.5).sum(axis=0)).astype(np.float32).T)
 
 
 def _fuse(texts: pa.Array, model: np.ndarray, prior: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -106,12 +115,12 @@ def _fuse(texts: pa.Array, model: np.ndarray, prior: np.ndarray) -> tuple[np.nda
     for piece in pieces_of(pa.RecordBatch.from_arrays([texts], names=["text"]), PIECE):
         places, at = trigrams(piece["text"])
         n = np.diff(at)
-        sums = np.stack([np.concatenate([[0.0], np.cumsum(model[places, i], dtype=np.float64)]) for i in range(model.shape[1])], axis=1)
-        mean = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(1, n)[:, None]
+        places &= model.shape[1] - 1
+        mean = np.stack([common.sums_of(own[places], at) for own in model], axis=1) / np.maximum(1, n)[:, None]
         out.append(mean * np.minimum(n, TEMPER)[:, None])
         letters.append(n > 0)
     if not out:
-        return np.empty((0, model.shape[1])), np.empty(0, bool)
+        return np.empty((0, len(model))), np.empty(0, bool)
     total = np.concatenate(out) + prior
     total = np.exp(total - total.max(axis=1, keepdims=True))
     return total / total.sum(axis=1, keepdims=True), np.concatenate(letters)
@@ -119,13 +128,14 @@ def _fuse(texts: pa.Array, model: np.ndarray, prior: np.ndarray) -> tuple[np.nda
 
 def identify(docs: DataFrame, key: str, text: Column, declared: Column, host: Column) -> DataFrame:
     """docs with lang_id (null if there is none), lang_posterior and lang_kept."""
-    spark = docs.sparkSession
+    spark, columns = docs.sparkSession, docs.columns
     text, declared, host = text.cast("string"), F.nullif(F.lower(F.trim(declared.cast("string"))), F.lit("")), host.cast("string")
-    languages, model = fit_text(docs, key, text, declared)
+    languages, model = fit_text(docs.select(F.col(key).cast("string").alias("key"), declared_language(declared).alias("lang"), text.alias("text")))
     n = len(languages)
+    docs = common.apart(docs, text.alias("text"), declared.alias("declared"), declared_language(declared).alias("lang"), host.alias("host"))
     if not n:
-        return docs.select("*", F.lit(None).cast("string").alias("lang_id"), F.lit(0.0).alias("lang_posterior"), F.lit(False).alias("lang_kept"))
-    shared = spark.sparkContext.broadcast(model)  # 2^16 places for 64 languages at most
+        return common.together(docs.select("row", F.lit(None).cast("string").alias("lang_id"), F.lit(0.0).alias("lang_posterior"), F.lit(False).alias("lang_kept")), columns, *ADDED)
+    shared = spark.sparkContext.broadcast(model)  # MODEL numbers at most
     index = {lang: i for i, lang in enumerate(languages)}
 
     @F.arrow_udf("array<double>")
@@ -133,12 +143,12 @@ def identify(docs: DataFrame, key: str, text: Column, declared: Column, host: Co
         p, letters = _fuse(texts, shared.value, np.zeros(n))
         return pa.FixedSizeListArray.from_arrays(pa.array((p * letters[:, None]).ravel()), n).cast(pa.list_(pa.float64()))
 
-    suffix = F.regexp_extract(host, r"\.([A-Za-z]+)(?::\d+)?$", 1)
+    suffix = F.regexp_extract("host", r"\.([A-Za-z]+)(?::\d+)?$", 1)
     sums = [F.sum(F.get("p", F.lit(i))).alias(f"n{i}") for i in range(n)]
     again = [F.sum(f"n{i}").alias(f"n{i}") for i in range(n)]
-    first = docs.select(host.alias("host"), suffix.alias("suffix"), declared.alias("declared"), by_text(text).alias("p"))
-    known = F.when(F.col("declared").isin(languages), F.col("declared")).when(F.col("declared").isNotNull(), F.lit("?"))
-    counts = common.save(first.groupBy("suffix", "host", known.alias("declared")).agg(*sums), "language-counts")
+    known = F.coalesce("lang", F.when(F.col("declared").isNotNull(), F.lit("?")))
+    first = docs.select("host", suffix.alias("suffix"), known.alias("declared"), by_text("text").alias("p"))
+    counts = common.save(first.groupBy("suffix", "host", "declared").agg(*sums), "language-counts")
     by_suffix = counts.groupBy(F.coalesce("suffix", F.lit("")).alias("suffix")).agg(*again)
     said = {r["declared"]: np.array([r[f"n{i}"] for i in range(n)]) for r in counts.where("declared IS NOT NULL").groupBy("declared").agg(*again).collect()}  # a row a language
     whole = counts.agg(*again).first()
@@ -155,7 +165,7 @@ def identify(docs: DataFrame, key: str, text: Column, declared: Column, host: Co
 
     suffixes = by_suffix.select("suffix", smoothed(lambda i: F.lit(float(everywhere[i]))).alias("up"))
     hosts = counts.where("host IS NOT NULL").groupBy("suffix", "host").agg(*again).join(suffixes, "suffix")
-    priors = common.save(hosts.select("host", smoothed(lambda i: F.get("up", F.lit(i))).alias("__prior")), "language-priors").withColumnRenamed("host", "__host")
+    priors = common.save(hosts.select("host", smoothed(lambda i: F.get("up", F.lit(i))).alias("prior")), "language-priors")
 
     @F.arrow_udf("lang_id string, lang_posterior double, lang_kept boolean")
     def judge(texts: pa.Array, declared: pa.Array, prior: pa.Array) -> pa.Array:
@@ -170,8 +180,8 @@ def identify(docs: DataFrame, key: str, text: Column, declared: Column, host: Co
         names = pa.array(np.array(languages, object)[best], pa.string(), mask=~letters) if len(p) else pa.array([], pa.string())
         return pa.StructArray.from_arrays([names, pa.array(np.where(letters, most, 0.0)), pa.array(letters & (most >= KEEP))], names=["lang_id", "lang_posterior", "lang_kept"])
 
-    joined = docs.join(priors, host == F.col("__host"), "left")
-    return joined.withColumn("__got", judge(text, declared, F.col("__prior"))).select(*(F.col(f"`{c}`") for c in docs.columns), "__got.lang_id", "__got.lang_posterior", "__got.lang_kept")
+    joined = docs.join(priors, "host", "left").withColumn("known", known)
+    return common.together(joined.select("row", judge("text", "known", "prior").alias("got")).select("row", "got.*"), columns, *ADDED)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
