@@ -5,7 +5,8 @@ cell the candidates become postings (for each term, which rows have it and with
 sparse query row adds its weighted postings into a dense score array, and the cell's best k are
 taken by partition selection. The cells' lists are then merged for each query.
 
-Every candidate is scored. Blocks are dealt round robin, so equal ids or vectors never gather in one.
+Every candidate is scored. Blocks are dealt by a hash of the row's number, so equal ids or vectors never gather in one.
+Rows are copied once for each block of the other side, so blocks grow with the table, up to LARGEST_CELL rows.
 Rows without an id, null vectors and vectors with null or non-finite components take no part; a
 shorter vector has zero for the terms it lacks. Rows that bear the query's id are the query's own and
 are no candidates of it; of repeated rows each is a candidate. Scores beyond a long are held at its
@@ -22,7 +23,8 @@ from pyspark.sql import functions as F
 from tessera.llm import common, vectors
 
 CANDIDATES_A_CELL = 4096
-QUERIES_A_CELL = 2048
+LARGEST_CELL = 65_536
+MANY_BLOCKS = 256  # enough for all executors; with more, blocks are larger instead
 FOUND = "qrow long, query_id long, vec_id long, score long"
 
 
@@ -42,11 +44,13 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int, scale: float
     floor(scale * x), or floor(x) without scale.
     """
     n_cand, n_query = candidates.count(), queries.count()
-    cand_blocks, query_blocks = max(1, -(-n_cand // CANDIDATES_A_CELL)), max(1, -(-n_query // QUERIES_A_CELL))
+    cand_blocks = max(1, min(MANY_BLOCKS, -(-n_cand // CANDIDATES_A_CELL)), -(-n_cand // LARGEST_CELL))
+    query_blocks = max(1, -(-n_query // LARGEST_CELL))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     row = F.monotonically_increasing_id()
-    left = queries.select("id", "v", row.alias("qrow")).select("id", "v", "qrow", (F.col("qrow") % query_blocks).cast("int").alias("qb"), every(cand_blocks).alias("cb"))
-    right = candidates.select("id", "v", (row % cand_blocks).cast("int").alias("cb")).select("id", "v", "cb", every(query_blocks).alias("qb"))
+    dealt = lambda n: F.pmod(F.xxhash64("row"), F.lit(n)).cast("int")
+    left = queries.select("id", "v", row.alias("row")).select("id", "v", F.col("row").alias("qrow"), dealt(query_blocks).alias("qb"), every(cand_blocks).alias("cb"))
+    right = candidates.select("id", "v", row.alias("row")).select("id", "v", dealt(cand_blocks).alias("cb"), every(query_blocks).alias("qb"))
 
     def cell(q: pa.Table, c: pa.Table) -> pa.Table:
         found: list[tuple] = []
