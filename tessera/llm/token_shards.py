@@ -16,7 +16,8 @@ the sparse index and one over the block's whole keys.
 
 Tasks write a file each under a name of their own and report it in a manifest; a task that is run
 again writes another file, and files that no manifest names do not count. Rows with one doc_id are
-all kept, in order of their text. A null text is the empty document. Further columns are ignored.
+all kept, in order of their text's hash, so that a doc_id of very many rows may fill several shards. A null text is the
+empty document. An empty table gives no shards. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ RESTART = 8
 BLOCK_BYTES = 64 << 10
 BITS_A_KEY, HASHES = 10, 7
 SHARD_BYTES = 32 << 20  # of text
-MANIFEST = "shard int, path string, n_docs long, n_tokens long"
+MANIFEST = "shard int, path string, first_key binary, last_key binary, n_docs long, n_tokens long"
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -60,6 +61,12 @@ def _bits(key: bytes, n_bits: int) -> list[int]:
     return [(one + i * two) % n_bits for i in range(HASHES)]
 
 
+def file_system(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path and the path there; Hadoop's names of object stores are known too."""
+    scheme, _, rest = path.partition(":")
+    return fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}:{rest}" if rest else path)
+
+
 class ShardWriter:
     """Writes entries that come in ascending key order."""
 
@@ -109,7 +116,7 @@ class Shard:
     """Reads one shard by ranges: the footer, index and filter on opening, then blocks as they are asked for."""
 
     def __init__(self, path: str) -> None:
-        system, inner = fs.FileSystem.from_uri(path)
+        system, inner = file_system(path)
         self.file = system.open_input_file(inner)
         end = self.file.size()
         index_at, index_size, bloom_at, bloom_size, self.n_docs, self.n_tokens, width, magic = FOOTER.unpack(self.file.read_at(FOOTER.size, end - FOOTER.size))
@@ -170,38 +177,39 @@ class Shard:
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encodes docs (doc_id, text), appends end_id to each, and writes them to folder in ascending doc_id order.
 
-    Returns the manifest (shard, path, n_docs, n_tokens), one row for each shard that has documents; it is
-    kept as a table, so the work is done once. Documents are dealt to shards by ranges of doc_id.
+    Returns the manifest (shard, path, first and last key, n_docs, n_tokens), one row for each shard that has documents;
+    it is kept as a table, so the work is done once. Documents are dealt to shards by ranges of doc_id and the text's hash.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("t"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    system, inner = fs.FileSystem.from_uri(folder)
+    system, inner = file_system(folder)
     system.create_dir(inner, recursive=True)
 
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer)
         width = 2 if max(encoder.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        dtype, out, path = np.dtype(f"<u{width}"), None, ""
+        dtype, out, path, keys = np.dtype(f"<u{width}"), None, "", []
         end = np.array([end_id], dtype).tobytes()
         for whole in batches:
             for batch in pieces_of(whole):
                 if out is None and batch.num_rows:
                     path = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst"
-                    system, inner = fs.FileSystem.from_uri(path)
+                    system, inner = file_system(path)
                     out = ShardWriter(system.open_output_stream(inner), width)
                 ids, counts = encoder.encode(batch["text"])
                 data, ends = memoryview(ids.astype(dtype).tobytes()), np.cumsum(counts) * width
-                first = 0
-                for doc_id, last in zip(batch["doc_id"].to_pylist(), ends.tolist()):
+                first, doc_ids = 0, batch["doc_id"].to_pylist()
+                keys = [*keys[:1], key_of(doc_ids[0]), key_of(doc_ids[-1])]
+                for doc_id, last in zip(doc_ids, ends.tolist()):
                     out.add(key_of(doc_id), bytes(data[first:last]) + end)
                     first = last
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [path], "n_docs": [out.n_docs], "n_tokens": [out.n_tokens]})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [path], "first_key": [keys[0]], "last_key": [keys[-1]], "n_docs": [out.n_docs], "n_tokens": [out.n_tokens]})
 
-    in_order = rows.repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id").sortWithinPartitions("doc_id", "text")
-    return common.save(in_order.mapInArrow(write, MANIFEST), "token-shards-manifest")
+    in_order = rows.repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id", "t").sortWithinPartitions("doc_id", "t")
+    return common.save(in_order.select("doc_id", "text").mapInArrow(write, MANIFEST), "token-shards-manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
@@ -229,17 +237,34 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def lookup(manifest: DataFrame, doc_ids: DataFrame) -> DataFrame:
-    """The documents of some doc_ids (one column, doc_id): doc_id, ids. Every shard is asked for those it may hold."""
-    wanted = [r[0] for r in doc_ids.select("doc_id").distinct().collect()]
+    """The documents of some doc_ids (one column, doc_id): doc_id, ids. A shard is asked only for ids within its keys."""
+    rows = manifest.select("path", "first_key", "last_key").orderBy("shard").toArrow()  # a row a shard
+    paths, firsts, lasts = ([x if isinstance(x, str) else bytes(x) for x in rows[c].to_pylist()] for c in ("path", "first_key", "last_key"))
+    ranges = manifest.sparkSession.sparkContext.broadcast((paths, firsts, lasts))
 
-    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def route(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        paths, firsts, lasts = ranges.value
         for batch in batches:
-            for path in batch["path"].to_pylist():
-                with Shard(path) as shard:
-                    got = [(d, v.tolist()) for d in wanted for v in shard.get(d)]
-                yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in got], pa.int64()), pa.array([v for _, v in got], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+            keys = [key_of(d) for d in batch["doc_id"].to_pylist()]
+            asked = [(i, path) for i, key in enumerate(keys) for path in paths[bisect_left(lasts, key) : bisect_right(firsts, key)]]
+            at = pa.array([i for i, _ in asked], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["doc_id"].take(at), pa.array([path for _, path in asked], pa.string())], names=["doc_id", "path"])
 
-    return manifest.select("path").mapInArrow(find, "doc_id long, ids array<long>")
+    def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, of = None, None
+        for batch in batches:
+            for doc_id, path in zip(batch["doc_id"].to_pylist(), batch["path"].to_pylist()):
+                if path != of:
+                    if shard is not None:
+                        shard.__exit__(None, None, None)
+                    shard, of = Shard(path).__enter__(), path
+                got = shard.get(doc_id)
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(got), pa.int64()), pa.array([v.tolist() for v in got], pa.list_(pa.int64()))], names=["doc_id", "ids"])
+        if shard is not None:
+            shard.__exit__(None, None, None)
+
+    wanted = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().mapInArrow(route, "doc_id long, path string")
+    return wanted.repartition("path", F.pmod(F.xxhash64("doc_id"), F.lit(16))).sortWithinPartitions("path", "doc_id").mapInArrow(find, "doc_id long, ids array<long>")
 
 
 def op10_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
