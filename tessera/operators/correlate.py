@@ -1,58 +1,180 @@
-"""Pearson correlation of the rows of a symmetric map, without making it dense, and its eigenvectors."""
+"""Pearson correlation of the rows of symmetric maps, without making them dense, and its eigenvectors."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.semantics import ieee_div
 from tessera.operators.contacts import mirror
+from tessera.plans.lineage import checkpointed
+
+TILE = 512
+BLOCK = 8
+MOST_STEPS = 100
+
+
+def _dim(dims: int | dict[int, int]) -> Column:
+    if isinstance(dims, int):
+        return F.lit(dims)
+    return F.create_map(*(F.lit(x) for item in dims.items() for x in item))[F.col("c")]
+
+
+def _cells(oe: DataFrame) -> DataFrame:
+    """c, i, k, a: both triangles; cells that are NaN are left out."""
+    both = mirror(oe.select("chr1_idx", "chr2_idx", "bin_size", "bin_x", "bin_y", F.col("oe").alias("counts")))
+    return both.select(F.col("chr1_idx").alias("c"), F.col("bin_x").alias("i"), F.col("bin_y").alias("k"), F.col("counts").alias("a")).where(~F.isnan("a"))
+
 
-EIGEN_MOST = 2_000
+def _centred(a: DataFrame, dims: int | dict[int, int]) -> tuple[DataFrame, DataFrame]:
+    """Columns (c, k, m), their means over all rows; and rows (c, i, s, q): sum and sum of squares once the means are taken off."""
+    m = a.groupBy("c", "k").agg((F.sum("a") / F.first(_dim(dims))).alias("m"))
+    total = m.groupBy("c").agg(F.sum("m").alias("sm"), F.sum(F.col("m") * F.col("m")).alias("smm"))
+    rows = a.join(m, ["c", "k"]).groupBy("c", "i").agg(F.sum("a").alias("sa"), F.sum(F.col("a") * F.col("m")).alias("sam"), F.sum(F.col("a") * F.col("a")).alias("q"))
+    rows = rows.join(total, "c").select("c", "i", "sam", "smm", (F.col("sa") - F.col("sm")).alias("s"), (F.col("q") - 2 * F.col("sam") + F.col("smm")).alias("q"))
+    return m, rows
 
 
-def pearson(oe: DataFrame, dim: int) -> DataFrame:
-    """(row, col, value) over rows that have any record. oe: contacts of one intra map with a column oe.
+def pearson(oe: DataFrame, dims: int | dict[int, int], tile: int = TILE) -> DataFrame:
+    """(chr_idx, row, col, value) over rows that have any record. oe: contacts of intra maps with a column oe; dims: bins of a map, for all or by chromosome.
 
-    Each row is centred by the columns' means over all dim rows, then rows are correlated. Everything comes from
+    Each row is centred by the columns' means over all rows, then rows are correlated. Everything comes from
     sums of products over shared columns: a sparse self-join on the column, whose size is what the product of
-    the matrix with itself costs, and two aggregates of a row a bin.
+    the matrix with itself costs. Every pair of rows has a value, so pairs are formed in tiles of rows, which are
+    the keys of the join.
     """
-    a = mirror(oe.select("chr1_idx", "chr2_idx", "bin_size", "bin_x", "bin_y", F.col("oe").alias("counts"))).select(F.col("bin_x").alias("i"), F.col("bin_y").alias("k"), F.col("counts").alias("a")).where(~F.isnan("a"))
-    m = a.groupBy("k").agg((F.sum("a") / dim).alias("m"))
-    total = m.agg(F.sum("m").alias("sm"), F.sum(F.col("m") * F.col("m")).alias("smm"))
-    rows = a.join(m, "k").groupBy("i").agg(F.sum("a").alias("sa"), F.sum(F.col("a") * F.col("m")).alias("sam"))
-    products = a.alias("l").join(a.alias("r"), "k").where("l.i <= r.i").groupBy(F.col("l.i").alias("row"), F.col("r.i").alias("col")).agg(F.sum(F.col("l.a") * F.col("r.a")).alias("aa"))
-    every = rows.select(F.col("i").alias("row"), F.col("sa").alias("sa1"), F.col("sam").alias("sam1")).join(rows.select(F.col("i").alias("col"), F.col("sa").alias("sa2"), F.col("sam").alias("sam2")), F.col("row") <= F.col("col"))
-    own = a.groupBy("i").agg(F.sum(F.col("a") * F.col("a")).alias("q"))
-    full = every.join(products, ["row", "col"], "left").join(own.select(F.col("i").alias("row"), F.col("q").alias("q1")), "row").join(own.select(F.col("i").alias("col"), F.col("q").alias("q2")), "col").join(F.broadcast(total))  # total: one row
-    s = lambda aa, x, y: aa - x - y + F.col("smm")
-    s1, s2 = F.col("sa1") - F.col("sm"), F.col("sa2") - F.col("sm")
-    s12 = s(F.coalesce("aa", F.lit(0.0)), F.col("sam1"), F.col("sam2"))
-    spread = F.sqrt(F.greatest(F.lit(0.0), dim * s(F.col("q1"), F.col("sam1"), F.col("sam1")) - s1 * s1)) * F.sqrt(F.greatest(F.lit(0.0), dim * s(F.col("q2"), F.col("sam2"), F.col("sam2")) - s2 * s2))
-    value = F.when(F.col("row") == F.col("col"), F.lit(1.0)).otherwise(ieee_div(dim * s12 - s1 * s2, spread))
-    upper = full.select("row", "col", value.alias("value"))
-    return upper.unionByName(upper.where("row < col").select(F.col("col").alias("row"), F.col("row").alias("col"), "value"))
-
-
-def eigenvector(correlations: DataFrame, which: int = 0) -> DataFrame:
-    """(bin, value): the which-th eigenvector by falling eigenvalue, its component of largest size being positive.
-
-    A dense decomposition of one chromosome's matrix on the driver, of EIGEN_MOST rows at most.
+    a = _cells(oe)
+    _, rows = _centred(a, dims)
+    products = a.alias("l").join(a.alias("r"), ["c", "k"]).where("l.i <= r.i").groupBy("c", F.col("l.i").alias("row"), F.col("r.i").alias("col")).agg(F.sum(F.col("l.a") * F.col("r.a")).alias("aa"))
+    own = F.floor(F.col("i") / tile)
+    tiles = F.floor((F.lit(_dim(dims)) - 1) / tile)
+    first = rows.select("c", F.col("i").alias("row"), "smm", F.col("s").alias("s1"), F.col("q").alias("q1"), F.col("sam").alias("sam1"), own.alias("t1"), F.explode(F.sequence(own, F.greatest(own, tiles))).alias("t2"))
+    second = rows.select("c", F.col("i").alias("col"), F.col("s").alias("s2"), F.col("q").alias("q2"), F.col("sam").alias("sam2"), own.alias("t2"), F.explode(F.sequence(F.lit(0), own)).alias("t1"))
+    every = first.join(second, ["c", "t1", "t2"]).where("row <= col")
+    full = every.join(products, ["c", "row", "col"], "left").withColumn("n", _dim(dims))
+    s12 = F.coalesce("aa", F.lit(0.0)) - F.col("sam1") - F.col("sam2") + F.col("smm")
+    spread = lambda i: F.sqrt(F.greatest(F.lit(0.0), F.col("n") * F.col(f"q{i}") - F.col(f"s{i}") * F.col(f"s{i}")))
+    value = F.when(F.col("row") == F.col("col"), F.lit(1.0)).otherwise(ieee_div(F.col("n") * s12 - F.col("s1") * F.col("s2"), spread(1) * spread(2)))
+    upper = full.select(F.col("c").alias("chr_idx"), "row", "col", value.alias("value"))
+    return upper.unionByName(upper.where("row < col").select("chr_idx", F.col("col").alias("row"), F.col("row").alias("col"), "value"))
+
+
+def _by_chromosome(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    c = np.asarray(batch["c"])
+    for one in np.unique(c).tolist():
+        yield one, np.flatnonzero(c == one)
+
+
+def _rows(column: pa.Array, at: np.ndarray) -> np.ndarray:
+    return np.asarray(column.take(pa.array(at)).flatten(), np.float64).reshape(len(at), -1)
+
+
+def _products(table: DataFrame, both: Callable[[int, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]) -> dict[int, np.ndarray]:
+    """For each chromosome the transpose of one matrix times another, both made of the columns q and w: as many numbers as their widths make."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, at in _by_chromosome(batch):
+                left, right = both(c, _rows(batch["q"], at), _rows(batch["w"], at))
+                total[c] = total.get(c, 0) + left.T @ right
+        for c, m in total.items():
+            yield pa.RecordBatch.from_pydict({"c": pa.array([c] * m.size, pa.int32()), "at": pa.array(np.arange(m.size), pa.int32()), "width": pa.array([m.shape[1]] * m.size, pa.int32()), "x": m.ravel()})
+
+    found: dict[int, np.ndarray] = {}
+    parts = table.mapInArrow(run, "c int, at int, width int, x double").groupBy("c", "at", "width").agg(F.sum("x").alias("x")).toPandas()
+    for c, own in parts.groupby("c"):
+        own = own.sort_values("at")
+        found[int(c)] = own["x"].to_numpy().reshape(-1, int(own["width"].iloc[0]))
+    return found
+
+
+def _whitened(gram: np.ndarray, least: float) -> np.ndarray:
+    """What makes columns of that Gram matrix orthonormal; directions shorter than least become zero."""
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    lengths = np.sqrt(np.maximum(values, 0))
+    return np.where(lengths > least, vectors / np.where(lengths > least, lengths, 1), 0.0)
+
+
+def eigenvector(oe: DataFrame, dims: int | dict[int, int], which: int = 0, tolerance: float = 1e-9) -> DataFrame:
+    """(chr_idx, bin, value): of each map's Pearson matrix the which-th eigenvector by falling eigenvalue, its component of largest size being positive.
+
+    The Pearson matrix is never formed: with the rows centred and of unit length it is Z times Z transposed, and a product with
+    it is two sums over the sparse cells. A block Lanczos iteration with full reorthogonalisation takes such products; its
+    vectors are a row a bin in the shared folder, and only the small matrices of their inner products
+    go to the driver. It ends when the residual is below tolerance times the eigenvalue, or the space is exhausted.
+    Rows without spread are left out.
     """
-    spark = correlations.sparkSession
-    n = correlations.where("row = col AND value > 0.999").count()
-    if n > EIGEN_MOST:
-        raise ValueError(f"{n} rows are more than {EIGEN_MOST}; use a coarser bin size")
-    cells = correlations.toPandas()
-    bins = np.sort(cells.loc[(cells["row"] == cells["col"]) & (cells["value"] > 0.999), "row"].unique())
-    at = {b: i for i, b in enumerate(bins.tolist())}
-    cells = cells[cells["row"].isin(at) & cells["col"].isin(at)]
-    dense = np.zeros((len(bins), len(bins)))
-    dense[cells["row"].map(at), cells["col"].map(at)] = np.nan_to_num(cells["value"])
-    if not len(bins):
-        return spark.createDataFrame([], "bin int, value double")
-    vector = np.linalg.eigh(dense)[1][:, ::-1][:, which]
-    vector = vector * np.sign(vector[np.abs(vector).argmax()])
-    return spark.createDataFrame([(int(b), float(v)) for b, v in zip(bins, vector)], "bin int, value double")
+    cells = checkpointed(_cells(oe))
+    m, rows = _centred(cells, dims)
+    length = F.sqrt(F.greatest(F.lit(0.0), F.col("q") - F.col("s") * F.col("s") / _dim(dims)))
+    rows = rows.select("c", "i", length.alias("d"), (F.col("s") / _dim(dims)).alias("r")).where("d > 1e-9")
+    rows, m = checkpointed(rows), checkpointed(m)
+    width = max(BLOCK, 2 * which + 2)
+    each = range(width)
+    listed = lambda f: F.array(*(f(j) for j in each))
+
+    def times(v: DataFrame) -> DataFrame:
+        """c, i, w: the matrix times v (c, i, v)."""
+        scaled = v.join(rows, ["c", "i"]).select("c", "i", "r", F.transform("v", lambda x: x / F.col("d")).alias("v"))
+        sums = scaled.groupBy("c").agg(listed(lambda j: F.sum(F.col("v")[j])).alias("sv"), listed(lambda j: F.sum(F.col("r") * F.col("v")[j])).alias("srv"))
+        down = cells.join(scaled.select("c", "i", "v"), ["c", "i"]).groupBy("c", "k").agg(listed(lambda j: F.sum(F.col("a") * F.col("v")[j])).alias("av"))
+        # columns without cells have -srv each; a row a chromosome is joined
+        u = m.join(down, ["c", "k"], "left").join(sums, "c").select("c", "k", "m", "srv", listed(lambda j: F.coalesce(F.col("av")[j], F.lit(0.0)) - F.col("m") * F.col("sv")[j] - F.col("srv")[j]).alias("u"))
+        u = checkpointed(u)
+        more = u.groupBy("c").agg(listed(lambda j: F.sum(F.col("m") * F.col("u")[j])).alias("mu"), listed(lambda j: F.sum(F.col("u")[j]) - (F.first(_dim(dims)) - F.count("*")) * F.first(F.col("srv")[j])).alias("su"))
+        across = cells.join(u.select("c", "k", "u"), ["c", "k"]).groupBy("c", "i").agg(listed(lambda j: F.sum(F.col("a") * F.col("u")[j])).alias("au"))
+        return rows.join(across, ["c", "i"]).join(more, "c").select("c", "i", listed(lambda j: (F.col("au")[j] - F.col("mu")[j] - F.col("r") * F.col("su")[j]) / F.col("d")).alias("w"))
+
+    def mapped(table: DataFrame, make: Callable[[int, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
+        """c, i, q: a row of a matrix made of the columns q and w."""
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for c, at in _by_chromosome(batch):
+                    out = make(c, _rows(batch["q"], at), _rows(batch["w"], at))
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, out.shape[1]), pa.int32()), pa.array(out.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array([c] * len(at), pa.int32()), batch["i"].take(pa.array(at)), lists], names=["c", "i", "q"])
+
+        return table.mapInArrow(run, "c int, i int, q array<double>")
+
+    start = checkpointed(rows.select("c", "i", F.array().cast("array<double>").alias("q"), listed(lambda j: F.xxhash64("i", F.lit(j)) / F.lit(2.0**63)).alias("w")))
+    first = {c: _whitened(g, 0.0) for c, g in _products(start, lambda c, q, w: (w, w)).items()}
+    q = mapped(start, lambda c, q, w: w @ first[c])
+    small = {c: np.zeros((0, 0)) for c in first}
+    chosen: dict[int, np.ndarray] = {}
+    for step in range(MOST_STEPS):
+        done = step * width
+        after = checkpointed(q.join(times(q.select("c", "i", F.slice("q", done + 1, width).alias("v"))), ["c", "i"]))
+        h = _products(after, lambda c, q, w: (q, w))
+        again = _products(after, lambda c, q, w: (np.hstack([q, w - q @ h[c]]), w - q @ h[c]))
+        rest, whiten = {c: x[: done + width] for c, x in again.items()}, {}
+        for c, x in again.items():
+            column = h[c] + rest[c]
+            gram = x[done + width :] - rest[c].T @ rest[c]
+            t = np.zeros((done + width,) * 2)
+            t[:done, :done] = small[c]
+            t[:, done:], t[done:, :done] = column, column[:done].T
+            t[done:, done:] = (column[done:] + column[done:].T) / 2
+            small[c] = t
+            values, vectors = np.linalg.eigh(t)
+            y = vectors[:, ::-1][:, min(which, len(values) - 1)]
+            left = float(np.sqrt(max(0.0, y[done:] @ gram @ y[done:])))
+            whiten[c] = _whitened(gram, 1e-10 * abs(values).max())
+            if c not in chosen and (left <= tolerance * abs(values[::-1][min(which, len(values) - 1)]) or not whiten[c].any()):
+                chosen[c] = y
+        if len(chosen) == len(small) or step == MOST_STEPS - 1:
+            break
+        q = mapped(after, lambda c, q, w, h=h, rest=rest, whiten=whiten: np.hstack([q, (w - q @ h[c] - q @ rest[c]) @ whiten[c]]))
+    if not small:
+        return rows.select(F.col("c").alias("chr_idx"), F.col("i").alias("bin"), F.col("d").alias("value")).limit(0)
+    if len(chosen) < len(small):
+        raise ArithmeticError(f"no eigenvector within {MOST_STEPS} steps for chromosomes {sorted(set(small) - set(chosen))}")
+    weights = {c: np.concatenate([y, np.zeros(done + width - len(y))])[:, None] for c, y in chosen.items()}
+    found = checkpointed(mapped(after, lambda c, q, w: q @ weights[c]).select("c", "i", F.col("q")[0].alias("value")))
+    sign = found.groupBy("c").agg(F.signum(F.max_by("value", F.struct(F.abs("value"), -F.col("i")))).alias("sign"))
+    return found.join(sign, "c").select(F.col("c").alias("chr_idx"), F.col("i").alias("bin"), (F.col("value") * F.col("sign")).alias("value"))

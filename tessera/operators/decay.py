@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,10 +33,9 @@ def densify(vector: DataFrame, n: int) -> DataFrame:
 
 def with_expected(contacts: DataFrame, vector: DataFrame, factors: DataFrame) -> DataFrame:
     """contacts and expected: the vector at the distance, beyond its end at the last place, over the chromosome's factor (1 without one)."""
-    n = vector.agg(F.max("dist")).first()[0]
-    if n is None:
-        raise ValueError("the expected vector is empty")
-    at = contacts.withColumn("dist", F.least(F.abs(F.col("bin_x") - F.col("bin_y")), F.lit(n)))
+    end = vector.agg(F.max("dist").alias("__n"))  # one row
+    last = F.coalesce("__n", F.raise_error(F.lit("the expected vector is empty")).cast("int"))
+    at = contacts.join(F.broadcast(end), F.lit(True)).withColumn("dist", F.least(F.abs(F.col("bin_x") - F.col("bin_y")), last)).drop("__n")
     joined = at.join(vector.select("dist", F.col("value").alias("__e")), "dist", "left").join(factors.select(F.col("chr_idx").alias("chr1_idx"), "factor"), "chr1_idx", "left")
     return joined.withColumn("expected", ieee_div(F.col("__e"), F.coalesce("factor", F.lit(1.0)))).drop("__e", "factor")
 
@@ -45,23 +45,51 @@ def with_factors(vector: DataFrame, factors: DataFrame) -> DataFrame:
     return vector.join(F.broadcast(factors), F.lit(True)).select("chr_idx", "dist", (F.col("value") * ieee_div(F.lit(1.0), F.col("factor"))).alias("value"))  # factors: a row a chromosome
 
 
-def rolling_median(vector: DataFrame, w: int, *keys: str) -> DataFrame:
+def _medians(values: np.ndarray, first: int, z: np.ndarray, w: int, n: int) -> np.ndarray:
+    """Medians around places z of a vector of n places, of which values are those from first on."""
+    out = np.empty(len(z), np.float32)
+    low = np.where(z < w, 0, z - w)
+    high = np.minimum(np.where(z < w, 2 * z, z + w), n - 1)
+    size = high - low + 1
+    for k in np.unique(size).tolist():
+        windows = np.lib.stride_tricks.sliding_window_view(values, k)
+        at = np.flatnonzero(size == k)
+        for some in np.array_split(at, max(1, len(at) * k // 4_000_000)):
+            own = np.sort(windows[low[some] - first], axis=1).astype(np.float64)
+            out[some] = (own[:, (k - 1) // 2] + own[:, k // 2]) / 2
+    return out
+
+
+def rolling_median(vector: DataFrame, w: int, *keys: str, run: int = 65_536) -> DataFrame:
     """Medians over w places on both sides, single precision; near the start over as many as there are on the left.
 
-    A frame of rows is gathered for each place, so a vector is gone over once; w below 1 or not below the length
-    leaves it as it is.
+    Places are numbered within each key and dealt to runs, which overlap by w on both sides, so neither a frame a place
+    nor a whole vector is held; w below 1 or not below the length leaves it as it is.
     """
-    order = Window.partitionBy(*keys).orderBy("dist")
-    n = F.count("*").over(Window.partitionBy(*keys))
-    z = F.row_number().over(order) - 1
-    frame = F.collect_list(F.col("value").cast("float")).over(order.rowsBetween(-w, w))
-    got = vector.withColumns({"__n": n, "__z": z, "__f": frame})
-    near = F.array_sort(F.when(F.col("__z") < w, F.slice("__f", F.lit(1), F.least(2 * F.col("__z") + 1, F.size("__f")))).otherwise(F.col("__f")))
-    got = got.withColumn("__s", near)
-    k = F.size("__s")
-    middle = (F.get("__s", F.floor((k - 1) / 2).cast("int")).cast("double") + F.get("__s", F.floor(k / 2).cast("int")).cast("double")) / 2
-    same = (F.lit(w) < 1) | (F.lit(w) >= F.col("__n"))
-    return got.withColumn("value", F.when(same, F.col("value")).otherwise(middle.cast("float").cast("double"))).drop("__n", "__z", "__f", "__s")
+    if w < 1:
+        return vector
+    run = max(run, 2 * w)
+    by = Window.partitionBy(*keys)
+    placed = vector.withColumns({"__n": F.count("*").over(by), "__z": F.row_number().over(by.orderBy("dist")) - 1})
+    home = F.floor(F.col("__z") / run).cast("int")
+    runs = F.sequence(F.greatest(F.lit(0), F.floor((F.col("__z") - w) / run)).cast("int"), F.floor((F.col("__z") + w) / run).cast("int"))
+    dealt = placed.withColumn("__own", home).withColumn("__run", F.explode(runs))
+
+    columns = vector.columns
+
+    def medians(table: pa.Table) -> pa.Table:
+        table = table.sort_by("__z")
+        z, n = np.asarray(table["__z"]).astype(np.int64), int(table["__n"][0].as_py())
+        mine = np.asarray(table["__own"]) == np.asarray(table["__run"])
+        kept = table.filter(pa.array(mine))
+        if w < n and kept.num_rows:
+            values = np.asarray(table["value"]).astype(np.float32)
+            found = _medians(values, int(z[0]), z[mine], w, n).astype(np.float64)
+            kept = kept.set_column(kept.schema.get_field_index("value"), "value", pa.array(found))
+        return kept.select(columns)
+
+    schema = vector.withColumn("value", F.col("value").cast("double")).schema
+    return dealt.withColumn("value", F.col("value").cast("double")).groupBy(*keys, "__run").applyInArrow(medians, schema)
 
 
 def rolling_mean(vector: DataFrame, w: int, start: int, *keys: str) -> DataFrame:

@@ -78,25 +78,50 @@ def _reach(features: DataFrame) -> DataFrame:
     return features.withColumns({"lo1": m1 - half1, "hi1": m1 + half1, "lo2": m2 - half2, "hi2": m2 + half2})
 
 
-def _tiled(features: DataFrame, low: str, high: str, tile: int) -> DataFrame:
-    return features.withColumn("tile", F.explode(F.sequence(F.floor(F.col(low) / tile), F.floor(F.col(high) / tile))))
+def _level(low: Column, high: Column, tile: int) -> Column:
+    """How many times tiles of that width must grow fourfold to be as wide as what lies from low to high."""
+    return F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(F.lit(1), high - low + 1) / tile))).cast("int")
 
 
-def hits(a: DataFrame, b: DataFrame, tile: int = 1 << 17) -> DataFrame:
+def _levels(features: DataFrame, low: Column, high: Column, tile: int) -> Column:
+    """The levels that features have: a few numbers, as widths grow fourfold from one to the next."""
+    return F.array(*(F.lit(r[0]) for r in sorted(features.select(_level(low, high, tile)).distinct().collect()))).cast("array<int>")
+
+
+def _tiled(features: DataFrame, low: str, high: str, levels: Column, tile: int) -> DataFrame:
+    """own (the level) and at (level, tile): the tiles that each covers, two or one, at its own level and those above it."""
+    low_, high_ = F.col(low), F.col(high)
+    own = features.withColumn("own", _level(low_, high_, tile)).withColumn("level", F.explode(levels)).where("level >= own")
+    width = F.lit(tile) * F.pow(F.lit(4.0), F.col("level"))
+    return own.withColumn("tile", F.explode(F.sequence(F.floor(low_ / width), F.floor(high_ / width))))
+
+
+def _met(a: DataFrame, b: DataFrame, tile: int) -> tuple[DataFrame, DataFrame, Column]:
+    """Both sides in tiles, and when a pair meets: at the level of the wider one, where neither covers more than two tiles."""
+    mine = _reach(a).select("feature_id", *KEY, "lo1", "hi1", "lo2", "hi2")
+    other = b.select(F.col("feature_id").alias("other_id"), *(F.col(k).alias(f"o_{k}") for k in KEY), "start1", "end1", "start2", "end2")
+    levels = F.array_distinct(F.concat(_levels(mine, F.col("lo1"), F.col("hi1"), tile), _levels(other, F.col("start1"), F.col("end1"), tile)))
+    mine = _tiled(mine, "lo1", "hi1", levels, tile)
+    other = _tiled(other, "start1", "end1", levels, tile).select("other_id", *(f"o_{k}" for k in KEY), "start1", "end1", "start2", "end2", F.col("own").alias("o_own"), F.col("level").alias("o_level"), F.col("tile").alias("o_tile"))
+    same = (F.col("level") == F.col("o_level")) & (F.col("tile") == F.col("o_tile")) & (F.greatest("own", "o_own") == F.col("level"))
+    for k in KEY:
+        same = same & (F.col(k) == F.col(f"o_{k}"))
+    return mine, other, same & (F.col("hi1") >= F.col("start1")) & (F.col("lo1") <= F.col("end1")) & (F.col("hi2") >= F.col("start2")) & (F.col("lo2") <= F.col("end2"))
+
+
+def hits(a: DataFrame, b: DataFrame, tile: int = 1 << 14) -> DataFrame:
     """(feature_id, other_id): features of a whose midpoint lies in a rectangle of b widened by half of a's widths.
 
-    Both are dealt to the tiles that they cover on the first axis; so the join has an equal key, and the exact
-    test follows.
+    Both are dealt to tiles of the first axis that fit their widths; so the join has equal keys, and the exact test follows.
     """
-    mine = _tiled(_reach(a).select("feature_id", *KEY, "lo1", "hi1", "lo2", "hi2"), "lo1", "hi1", tile)
-    other = _tiled(b.select(F.col("feature_id").alias("other_id"), *KEY, "start1", "end1", "start2", "end2"), "start1", "end1", tile)
-    meet = (F.col("hi1") >= F.col("start1")) & (F.col("lo1") <= F.col("end1")) & (F.col("hi2") >= F.col("start2")) & (F.col("lo2") <= F.col("end2"))
-    return mine.join(other, [*KEY, "tile"]).where(meet).select("feature_id", "other_id")
+    mine, other, meet = _met(a, b, tile)
+    return mine.join(other, meet).select("feature_id", "other_id").distinct()
 
 
-def overlap(a: DataFrame, b: DataFrame, tile: int = 1 << 17) -> DataFrame:
-    """Features of a that overlap some feature of b."""
-    return a.join(hits(a, b.dropDuplicates(BOUNDS), tile).select("feature_id").distinct(), "feature_id", "left_semi")
+def overlap(a: DataFrame, b: DataFrame, tile: int = 1 << 14) -> DataFrame:
+    """Features of a that overlap some feature of b; a feature's search ends with the first."""
+    mine, other, meet = _met(a, b.dropDuplicates(BOUNDS), tile)
+    return a.join(mine.join(other, meet, "left_semi").select("feature_id").distinct(), "feature_id", "left_semi")
 
 
 def intersection(a: DataFrame, b: DataFrame, tolerance: int = 0) -> DataFrame:
@@ -138,10 +163,12 @@ def add_unique(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select(columns).unionByName(free).unionByName(b.select(columns).join(accepted, "feature_id", "left_semi"))
 
 
-def containing(features: DataFrame, points: DataFrame, tile: int = 1 << 17) -> DataFrame:
+def containing(features: DataFrame, points: DataFrame, tile: int = 1 << 14) -> DataFrame:
     """points (point_id, chr1_idx, chr2_idx, x, y) with the features whose closed rectangles hold them."""
-    tiled = features.select("feature_id", *BOUNDS, F.explode(F.sequence(F.floor(F.col("start1") / tile), F.floor(F.col("end1") / tile))).alias("tile"))
-    return points.withColumn("tile", F.floor(F.col("x") / tile)).join(tiled, [*KEY, "tile"]).where("x BETWEEN start1 AND end1 AND y BETWEEN start2 AND end2").select("point_id", "feature_id")
+    levels = _levels(features, F.col("start1"), F.col("end1"), tile)
+    tiled = _tiled(features.select("feature_id", *BOUNDS), "start1", "end1", levels, tile).where("level = own")
+    placed = points.withColumn("level", F.explode(levels)).withColumn("tile", F.floor(F.col("x") / (F.lit(tile) * F.pow(F.lit(4.0), F.col("level")))))
+    return placed.join(tiled, [*KEY, "level", "tile"]).where("x BETWEEN start1 AND end1 AND y BETWEEN start2 AND end2").select("point_id", "feature_id")
 
 
 def without_first(features: DataFrame, gone: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.semantics import clamp, ieee_div, signum_clean
+from tessera.plans.lineage import in_ranges
 
 
 def _v() -> Column:
@@ -124,12 +125,15 @@ def normalise_by_sums(m: DataFrame, by: str = "row") -> DataFrame:
 def percentile_bounds(m: DataFrame, low: float = 5.0, high: float = 95.0) -> DataFrame:
     """Percentiles at p (n + 1) / 100, between the two ranks next to it, over the numbers.
 
-    The ranks come from counts of equal values and their running sum, so equal values cost one row; different
-    values are summed in order in one pass of small rows.
+    Different values with their counts are dealt to ranges; a value's rank is the number of values in lower ranges, a sum
+    over a row a range, and the running count within its own.
     """
-    counts = _numbers(m).groupBy("value").agg(F.count("*").alias("c"))
-    upto = counts.withColumn("last", F.sum("c").over(Window.orderBy("value").rowsBetween(Window.unboundedPreceding, 0)))
-    n = counts.agg(F.sum("c")).first()[0] or 0
+    counts = in_ranges(_numbers(m).groupBy("value").agg(F.count("*").alias("c")), "value")
+    sizes = counts.groupBy("range").agg(F.sum("c").alias("n"))
+    lower = sizes.select("range", F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)).alias("lower"))  # a row a range
+    within = F.sum("c").over(Window.partitionBy("range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0))
+    upto = counts.join(F.broadcast(lower), "range").select("value", (within + F.coalesce("lower", F.lit(0))).alias("last"))
+    n = sizes.agg(F.sum("n")).first()[0] or 0
     if not n:
         return m.sparkSession.createDataFrame([(None, None)], "lower double, upper double")
 
@@ -249,5 +253,9 @@ def partitions(n: int, size: int) -> list[tuple[int, int]]:
 
 def monotone(points: DataFrame) -> DataFrame:
     """(x, y) in the order of ord without those whose x is not above the one before."""
-    before = F.lag("x").over(Window.orderBy("ord"))
-    return points.withColumn("__b", before).where("__b IS NULL OR x > __b").drop("__b")
+    dealt = in_ranges(points, "ord")
+    lasts = dealt.groupBy("range").agg(F.max_by("x", "ord").alias("x"))
+    carried = lasts.select("range", F.lag("x").over(Window.orderBy("range")).alias("carried"))  # a row a range
+    within = F.lag("x").over(Window.partitionBy("range").orderBy("ord"))
+    joined = dealt.join(F.broadcast(carried), "range").withColumn("before", F.coalesce(within, "carried"))
+    return joined.where("before IS NULL OR x > before").select(points.columns)

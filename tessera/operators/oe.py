@@ -44,7 +44,7 @@ def inter_expected(average: Column) -> Column:
 
 def expected_region(spark, vector: DataFrame, x0: int, y0: int, rows: int, cols: int) -> DataFrame:
     """The expected value of every cell of a region, looked up by |x - y|."""
-    last = vector.agg(F.max("dist")).first()[0]
+    end = vector.agg(F.max("dist").alias("__n"))  # one row
     cells = spark.range(rows * cols).select(F.expr(f"cast(id div {cols} as int)").alias("row"), (F.col("id") % cols).cast("int").alias("col"))
-    at = cells.withColumn("dist", F.least(F.abs((F.col("row") + x0) - (F.col("col") + y0)), F.lit(last)))
+    at = cells.join(F.broadcast(end), F.lit(True)).withColumn("dist", F.least(F.abs((F.col("row") + x0) - (F.col("col") + y0)), F.col("__n")))
     return at.join(vector.select("dist", "value"), "dist", "left").select("row", "col", "value")
