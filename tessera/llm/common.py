@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+BROADCAST_ROWS = 1 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A table of the data folder, with only the columns asked for (all, if none)."""
@@ -51,6 +53,14 @@ def drop_saved(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def beside(saved: DataFrame) -> DataFrame:
+    """A saved table as the side of a join: broadcast if it has few rows (of a few numbers each), otherwise left to the planner.
+
+    Without the hint both sides are shuffled before the planner learns how small one is.
+    """
+    return F.broadcast(saved) if saved.count() <= BROADCAST_ROWS else saved
+
+
 def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -3,15 +3,17 @@
 A document is its set of shingles of SHINGLE_WORDS words (64-bit hashes; a shorter text is one shingle). Its sketch is
 a wide SimHash: for each of SEGMENTS x 23 places how far the ones and zeros of the shingles' hashes are apart. Each
 segment is decoded to its NEAREST codewords of the Golay code, margins counted, and a key is made of the codewords of
-every TOGETHER segments. Errors cannot be in all segments alike: two sets of similarity 0.8 share a codeword in more
-than half of their segments, as a rule, and TOGETHER are enough. Expected recall is 0.98 at similarity 0.8, 0.995 at 0.85
-and above that at 0.9 (README). Sketches of candidates are compared, then the shingle sets in full, so no pair below LEAST is
-linked. A pair of similarity 0.8 has sketches of cosine 0.889 or more, give or take 0.016; ALIKE is seven times that below.
-
-Equal sets are one from the start. Where PAIRED sets or fewer share a key all pairs are candidates. Where more do, they
-are compared with the smallest of them, then those of other groups with one more; last, each set of that key outside its
-largest group is compared with all that are in another group than its own. A pair is left out only if links already
-join it, so groups are those of all candidates.
+every TOGETHER segments, so a set has several keys. Errors cannot be in all segments alike: of 14 segments two sets of similarity 0.8 share
+the codeword of a quarter, and TOGETHER are enough. Expected recall is 0.93 at similarity 0.8, 0.97 at 0.85, 0.99 at 0.9 and 1.00
+at 0.95; more segments or codewords raise it. Sketches of candidates are compared, then the shingle sets in full, so no pair below
+LEAST is linked. A pair of similarity 0.8 has sketches of cosine 0.889 or more, give or take 0.012; ALIKE is seven times
+that below.
+
+Equal sets are one from the start. All sets that share a key are candidates, but a pair is compared only if no links join
+it already. First each set is compared with one other: of the sets that come first under its keys that with which it shares most
+keys. Then those of different groups are, in another order. Last, under each key the sets outside its largest group are
+compared with all that are in another group than their own. So groups are those of all candidates, and a large group
+costs a few comparisons for each of its sets.
 
 Texts without words are one group. Sets of three shingles or fewer are similar to equal ones only and have no keys. Rows
 that share doc_id and text are one document; rows that share only doc_id are different ones. A group's first document is that
@@ -36,10 +38,9 @@ from tessera.llm.components import components
 SHINGLE_WORDS = 5
 LEAST = 0.8
 SEED = 42
-SEGMENTS, NEAREST, TOGETHER = 7, 2, 2
+SEGMENTS, NEAREST, TOGETHER = 14, 1, 2
 PLACES = SEGMENTS * 23
-ALIKE = 0.78
-PAIRED = 32
+ALIKE = 0.8
 FANOUT = 1000  # pairs of one set that are compared in one task
 PIECE = 1_000_000
 #: For each byte a word with its bits in eight lanes of a byte.
@@ -165,7 +166,9 @@ def _both(pairs: DataFrame, values: DataFrame) -> DataFrame:
 def links(sets: DataFrame, shingled: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
     """Pairs (a, b) of similar sets whose components are those of all candidates. sets: key, n, sketch, each key once; shingled: key, value for a table of keys."""
     fuzzy = common.save(sets.where("n > 3").select("sketch", "key", "n").mapInArrow(_keyed, "s long, key long, n int"), "fuzzy-keys")
-    shared = common.save(fuzzy.groupBy("s").agg(F.count("*").alias("size")).where("size > 1"), "shared-keys")
+    shared = fuzzy.groupBy("s").agg(F.count("*").alias("size")).where("size > 1").select("s")
+    keyed = common.save(fuzzy.join(shared, "s"), "shared-keys")
+    common.drop_saved(fuzzy)
     fits = (F.col("an") >= F.col("bn") * least - 1e-6) & (F.col("bn") >= F.col("an") * least - 1e-6)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -179,10 +182,12 @@ def links(sets: DataFrame, shingled: Callable[[DataFrame], DataFrame], least: fl
         return pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def to_leader(rows: DataFrame, order) -> DataFrame:
-        """Each row's set with the one of its key that order puts first, unless they are in one group already."""
+        """Each set with one of another group: of those that order puts first under its keys that with which it shares most of them."""
         leader = rows.groupBy("s").agg(F.min(F.struct(order.alias("o"), "key", "n", "root")).alias("l")).select("s", "l.*").drop("o")
         leader = leader.toDF("s", "a", "an", "aroot")
-        return ordered(rows.select("s", F.col("key").alias("b"), F.col("n").alias("bn"), "root").join(leader, "s").where(F.col("root") != F.col("aroot")))
+        met = rows.select("s", F.col("key").alias("b"), F.col("n").alias("bn"), "root").join(leader, "s").where(F.col("root") != F.col("aroot")).where(fits)
+        most = met.groupBy("a", "b").count().groupBy("b").agg(F.max(F.struct("count", "a")).alias("m"))
+        return most.select(F.least("b", "m.a").alias("a"), F.greatest("b", "m.a").alias("b")).distinct()
 
     def across_groups(rows: DataFrame) -> DataFrame:
         """All pairs of a key's sets that are in different groups: the sets outside the key's largest group with all others."""
@@ -190,23 +195,17 @@ def links(sets: DataFrame, shingled: Callable[[DataFrame], DataFrame], least: fl
         outside = rows.join(largest, "s").where(F.col("root") != F.col("main")).select("s", F.col("key").alias("a"), F.col("n").alias("an"), F.col("root").alias("aroot"))
         return ordered(outside.join(rows.select("s", F.col("key").alias("b"), F.col("n").alias("bn"), "root"), "s").where(F.col("root") != F.col("aroot")))
 
-    few = fuzzy.join(shared.where(f"size <= {PAIRED}").select("s"), "s").groupBy("s").agg(F.sort_array(F.collect_list(F.struct("key", "n"))).alias("all"))
-    few = few.select("all", F.posexplode("all").alias("i", "one")).select("one", F.explode(F.slice("all", F.col("i") + 2, PAIRED)).alias("two"))
-    few = few.select(F.col("one.key").alias("a"), F.col("one.n").alias("an"), F.col("two.key").alias("b"), F.col("two.n").alias("bn")).where(fits).select("a", "b").distinct()
-    many = common.save(fuzzy.join(shared.where(f"size > {PAIRED}").select("s"), "s"), "hot-keys")
-    tried = common.save(few.unionByName(to_leader(many.withColumn("root", F.col("key")), F.col("key"))).distinct(), "compared-pairs")
-    common.drop_saved(fuzzy, shared)
+    tried = common.save(to_leader(keyed.withColumn("root", F.col("key")), F.col("key")), "compared-pairs")
     found = verified(tried)
-    if many.isEmpty():
-        return found
     for step in (lambda rows: to_leader(rows, F.xxhash64("key")), across_groups):
-        rows = many.join(components(found), F.col("key") == F.col("node"), "left").select("s", "key", "n", F.coalesce("root", "key").alias("root"))
+        rows = keyed.join(components(found), F.col("key") == F.col("node"), "left").select("s", "key", "n", F.coalesce("root", "key").alias("root"))
         rows = common.save(rows, "grouped-sets")
         still = rows.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
         more = common.save(step(rows.join(still, "s")).join(tried, ["a", "b"], "left_anti"), "compared-pairs")
         common.drop_saved(rows)
         if not more.isEmpty():
             tried, found = tried.unionByName(more), found.unionByName(verified(more))
+    common.drop_saved(keyed)
     return found
 
 
@@ -218,8 +217,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, least: float =
     groups = common.save(rows.groupBy("key").agg(F.min(place).alias("first"), F.min("n").alias("n"), F.min("sketch").alias("sketch")), "different-sets")
 
     def shingled(keys: DataFrame) -> DataFrame:
-        wanted = groups.join(keys, "key").select("key", F.col("first.doc_id").alias("d"), F.col("first.t").alias("dt"))
-        texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt"))).select("key", "text")
+        wanted = common.save(groups.join(keys, "key").select("key", F.col("first.doc_id").alias("d"), F.col("first.t").alias("dt")), "wanted-texts")
+        texts = docs.join(common.beside(wanted), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt"))).select("key", "text")
         return texts.mapInArrow(_sets(width), "key long, value binary").dropDuplicates(["key"])
 
     linked = components(links(groups, shingled, least)).withColumnRenamed("node", "key")
