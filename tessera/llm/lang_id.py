@@ -83,7 +83,7 @@ def fit_text(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarr
     rows = rows.where("lang IS NOT NULL")
     in_order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
     chosen = rows.select("key", "lang").distinct().withColumn("at", F.row_number().over(in_order)).where(F.col("at") <= sample).select("key", "lang")
-    picked = rows.join(chosen, ["key", "lang"])
+    picked = rows.join(common.beside(common.save(chosen, "sampled-keys")), ["key", "lang"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[str, np.ndarray] = {}
