@@ -17,6 +17,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     now = common.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = None
+    if now.isEmpty():
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     while True:
         sides = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = sides.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))

@@ -42,7 +42,8 @@ SEGMENTS, NEAREST, TOGETHER = 14, 1, 2
 PLACES = SEGMENTS * 23
 ALIKE = 0.8
 FANOUT = 1000  # pairs of one set that are compared in one task
-PIECE = 1_000_000
+PIECE = 500_000  # bytes of text at once
+PARTS = 128
 #: For each byte a word with its bits in eight lanes of a byte.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
 
@@ -74,13 +75,18 @@ def sketches(sets: list[np.ndarray]) -> np.ndarray:
     some = np.flatnonzero(sizes)
     if len(some):
         flat = np.concatenate(sets)
-        words = np.stack([mixed(flat, i) for i in range(-(-PLACES // 64))], axis=1)
         ends = np.cumsum(sizes[some])
-        # sums of up to 255 rows fit a lane
+        # sums of up to 255 rows fit a lane; of those parts a few at a time are spread to lanes
         parts = [np.arange(e - n, e, 255) for e, n in zip(ends.tolist(), sizes[some].tolist())]
-        lanes = np.add.reduceat(LANES[words.view(np.uint8)], np.concatenate(parts), axis=0).view(np.uint8)
+        starts = np.append(np.concatenate(parts), len(flat))
+        ones = np.empty((len(starts) - 1, 64 * -(-PLACES // 64)), np.uint8)
+        for one in range(0, len(ones), PARTS):
+            last = min(len(ones), one + PARTS)
+            rows = flat[starts[one] : starts[last]]
+            words = np.stack([mixed(rows, i) for i in range(-(-PLACES // 64))], axis=1)
+            ones[one:last] = np.add.reduceat(LANES[words.view(np.uint8)], starts[one:last] - starts[one], axis=0).view(np.uint8)
         first = np.concatenate([[0], np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))[:-1]])
-        margins = 2 * np.add.reduceat(lanes, first, axis=0, dtype=np.int64)[:, :PLACES] - sizes[some, None]
+        margins = 2 * np.add.reduceat(ones, first, axis=0, dtype=np.int64)[:, :PLACES] - sizes[some, None]
         out[some] = np.rint(margins * np.minimum(1, 127 / np.maximum(1, np.abs(margins).max(axis=1, keepdims=True))))
     return out.astype(np.int8)
 
@@ -97,11 +103,6 @@ def fuzzy_keys(margins: np.ndarray) -> np.ndarray:
     return np.concatenate(found, axis=1)
 
 
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both + 1e-9 >= least * (len(a) + len(b) - both)
-
-
 def _sketched(width: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -136,16 +137,8 @@ def _sets(width: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in pieces_of(whole, PIECE):
-                yield pa.RecordBatch.from_arrays([batch["key"], pa.array([shingles(t.as_py(), width).tobytes() for t in batch["text"]], pa.binary())], names=["key", "own"])
-
-    return run
-
-
-def _compare(least: float) -> Callable:
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), least) for x, y in zip(batch["x"], batch["y"])]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+                sets = [shingles(t.as_py(), width).view(np.int64) for t in batch["text"]]
+                yield pa.RecordBatch.from_arrays([batch["key"], pa.array(sets, pa.list_(pa.int64()))], names=["key", "value"])
 
     return run
 
@@ -169,12 +162,16 @@ def links(sets: DataFrame, shingled: Callable[[DataFrame], DataFrame], least: fl
     shared = fuzzy.groupBy("s").agg(F.count("*").alias("size")).where("size > 1").select("s")
     keyed = common.save(fuzzy.join(shared, "s"), "shared-keys")
     common.drop_saved(fuzzy)
+    if keyed.isEmpty():
+        return keyed.select(F.col("key").alias("a"), F.col("key").alias("b"))
     fits = (F.col("an") >= F.col("bn") * least - 1e-6) & (F.col("bn") >= F.col("an") * least - 1e-6)
 
     def verified(pairs: DataFrame) -> DataFrame:
         near = common.save(_both(pairs, sets.select("key", F.col("sketch").alias("value"))).mapInArrow(_alike, "a long, b long"), "alike-pairs")
         owned = common.save(shingled(near.select(F.explode(F.array("a", "b")).alias("key")).distinct()), "shingle-sets")
-        found = common.save(_both(near, owned).mapInArrow(_compare(least), "a long, b long"), "similar-pairs")
+        shared_by_both = F.size(F.array_intersect("x", "y"))
+        similar = shared_by_both + 1e-9 >= least * (F.size("x") + F.size("y") - shared_by_both)
+        found = common.save(_both(near, owned).where(similar).select("a", "b"), "similar-pairs")
         common.drop_saved(near, owned)
         return found
 
@@ -200,7 +197,9 @@ def links(sets: DataFrame, shingled: Callable[[DataFrame], DataFrame], least: fl
     for step in (lambda rows: to_leader(rows, F.xxhash64("key")), across_groups):
         rows = keyed.join(components(found), F.col("key") == F.col("node"), "left").select("s", "key", "n", F.coalesce("root", "key").alias("root"))
         rows = common.save(rows, "grouped-sets")
-        still = rows.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
+        still = common.save(rows.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s"), "open-keys")
+        if still.isEmpty():
+            break
         more = common.save(step(rows.join(still, "s")).join(tried, ["a", "b"], "left_anti"), "compared-pairs")
         common.drop_saved(rows)
         if not more.isEmpty():
@@ -219,7 +218,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, least: float =
     def shingled(keys: DataFrame) -> DataFrame:
         wanted = common.save(groups.join(keys, "key").select("key", F.col("first.doc_id").alias("d"), F.col("first.t").alias("dt")), "wanted-texts")
         texts = docs.join(common.beside(wanted), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt"))).select("key", "text")
-        return texts.mapInArrow(_sets(width), "key long, value binary").dropDuplicates(["key"])
+        return texts.mapInArrow(_sets(width), "key long, value array<long>").dropDuplicates(["key"])
 
     linked = components(links(groups, shingled, least)).withColumnRenamed("node", "key")
     named = groups.join(linked, "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))

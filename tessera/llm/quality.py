@@ -33,7 +33,7 @@ PLACES = 1 << 18
 KINDS = 5
 SAMPLE = 6000
 THRESHOLD = 0.3
-PIECE = 1_000_000  # bytes of text at once
+PIECE = 500_000  # bytes of text at once
 EPOCHS = 4
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-4
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -51,7 +51,7 @@ _known: dict[str, tuple[int, int]] = {}
 def _word(word: str) -> tuple[int, int]:
     got = _known.get(word)
     if got is None:
-        if len(_known) > 100_000:
+        if len(_known) > 50_000:
             _known.clear()
         got = _known[word] = (xxhash.xxh64_intdigest(word.lower()), xxhash.xxh64_intdigest(_shape(word)))
     return got
