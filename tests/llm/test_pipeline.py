@@ -23,13 +23,13 @@ def odd(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(150).collect()
     rows = [(*(r[c] for c in ("doc_id", "text", "lang", "source", "n_chars")), *EXTRA) for r in docs]
     rows += [(None, docs[0]["text"] + " and more", "en", None, 1, *EXTRA), (None, "another without an id", "en", None, 1, *EXTRA), rows[5], (rows[6][0], "other text of that id", None, None, None, *EXTRA)]
-    rows += [(9000, None, "en", "a.b", 0, *EXTRA), (9001, "", "en", "a.b", 0, *EXTRA), (9002, docs[1]["text"] * 200, "en", "a.b", 1, *EXTRA)]
+    rows += [(9000, None, "en", "a.b", 0, *EXTRA), (9001, "", "en", "a.b", 0, *EXTRA), (9002, docs[1]["text"] * 50, "en", "a.b", 1, *EXTRA)]
     return spark.createDataFrame(rows, CLASHING).cache()
 
 
 @pytest.mark.parametrize("name", KEEPING)
 def test_stages_keep_rows_and_columns(spark, odd, name):
-    got = STAGES[name](spark, odd, DATA)
+    got = STAGES[name](spark, odd, DATA).cache()
     assert got.columns == odd.columns and got.dtypes == odd.dtypes
     kept = got.select("doc_id", "row", "key", "score", "lang_id", "n_removed", "d", "t", "id", "a", "n", "copies")
     assert kept.subtract(odd.select(kept.columns)).count() == 0  # other columns as they were
@@ -55,7 +55,7 @@ def test_near_duplicates_are_dropped_by_row(spark):
     texts = {k: " ".join(words(200)) for k in "bcdef"}
     rows = [(1, " ".join(a)), (3, " ".join(near)), (3, texts["b"]), (5, texts["c"]), (5, texts["d"]), (None, texts["e"]), (None, texts["f"]), (7, " ".join(a)), (7, " ".join(a))]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for n in (1, 4, 9):
+    for n in (1, 9):
         got = sorted((-1 if x["doc_id"] is None else x["doc_id"], x["text"]) for x in corpus_pipeline.dedup_near(spark, df.repartition(n), "").collect())
         assert got == sorted([(1, rows[0][1]), (3, texts["b"]), (5, texts["c"]), (5, texts["d"]), (-1, texts["e"]), (-1, texts["f"])])
 
