@@ -124,3 +124,23 @@ def next_zoom(zooms: DataFrame) -> DataFrame:
 
 def zoom_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.select("unit", "bin_size").intersect(b.select("unit", "bin_size"))
+
+
+def all_resolutions(base_pairs: list[int], derived: list[int], fragments: list[int]) -> list[tuple[str, int]]:
+    """Every zoom: those of base pairs, those derived from them, those of fragments."""
+    return [*(("BP", b) for b in [*base_pairs, *derived]), *(("FRAG", f) for f in fragments)]
+
+
+def zoom_number(matrices: DataFrame, unit: str, at: int = 0) -> DataFrame:
+    """Of each pair's maps of a unit the one at a place, coarsest first (2: the first one whose correlations are taken)."""
+    order = F.row_number().over(Window.partitionBy("chr1_idx", "chr2_idx").orderBy(F.desc("bin_size")))
+    return matrices.where(F.col("unit") == unit).withColumn("place", order - 1).where(F.col("place") == at).drop("place")
+
+
+def zoom_of(matrices: DataFrame, unit: str, bin_size: int) -> DataFrame:
+    """The maps of that bin size; of the whole genome's own map, pair (0, 0), the nearest one, the coarser if two are as near."""
+    own = matrices.where(F.col("unit") == unit)
+    apart = F.abs(F.col("bin_size") - bin_size)
+    order = F.row_number().over(Window.partitionBy("chr1_idx", "chr2_idx").orderBy(apart, F.desc("bin_size")))
+    whole = (F.col("chr1_idx") == 0) & (F.col("chr2_idx") == 0)
+    return own.withColumns({"place": order, "apart": apart}).where((F.col("apart") == 0) | (whole & (F.col("place") == 1))).drop("place", "apart")
