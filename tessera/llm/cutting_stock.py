@@ -4,8 +4,8 @@ The linear program asks for the fewest bins of a capacity such that the patterns
 often as demanded. Its columns are generated: the duals of the patterns at hand price the sizes, an unbounded
 knapsack over the capacity finds the pattern worth most, and it enters by a simplex step. Prices are drawn
 towards those of the best lower bound so far, at first the sizes themselves, which spares most steps. This goes
-on until no pattern is worth more than a bin, or until the bins are within GAP of the lower bound.
-The histogram has at most as many sizes as the capacity, so the work does not grow with what it counts.
+on until no pattern is worth more than a bin, until the bins are within GAP of the lower bound or no more than it rounded
+up to whole bins (which nothing can undercut), or for MOST_STEPS. The histogram has at most as many sizes as the capacity, so the work does not grow with what it counts.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ import numpy as np
 
 GAP = 5e-4
 SMOOTHING = 0.7
-MOST_STEPS = 6000
+MOST_STEPS = 1500
 
 
 def best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -89,7 +89,7 @@ def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple
     center, bound = sizes / capacity, float(sizes @ demand) / capacity
     for _ in range(MOST_STEPS):
         worth = inverse.sum(axis=0)
-        if bins.sum() <= bound * (1 + GAP):
+        if bins.sum() <= max(bound * (1 + GAP), np.ceil(bound - 1e-9)):
             break
         for near in (SMOOTHING, 0.0):
             asked = near * center + (1 - near) * worth
