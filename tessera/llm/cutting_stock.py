@@ -81,11 +81,26 @@ def first_patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tupl
     return columns, bins
 
 
+def inverted(square: np.ndarray) -> np.ndarray:
+    """The inverse by elimination, without the threads of a linear algebra library: a driver under load may wait for those for minutes."""
+    m = len(square)
+    both = np.hstack([square.astype(float), np.eye(m)])
+    for i in range(m):
+        at = i + int(np.abs(both[i:, i]).argmax())
+        both[[i, at]] = both[[at, i]]
+        both[i] /= both[i, i]
+        factors = both[:, i].copy()
+        factors[i] = 0
+        some = np.flatnonzero(factors)
+        both[some] -= factors[some, None] * both[i]
+    return both[:, m:]
+
+
 def patterns(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
     """(how many of each size, how many bins) for the patterns of the linear program's solution."""
     m = len(sizes)
     columns, bins = first_patterns(sizes, demand, capacity)
-    inverse = np.linalg.inv(columns)
+    inverse = inverted(columns)
     center, bound = sizes / capacity, float(sizes @ demand) / capacity
     for _ in range(MOST_STEPS):
         worth = inverse.sum(axis=0)
