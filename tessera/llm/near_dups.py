@@ -11,9 +11,9 @@ that below.
 
 Equal sets are one from the start. All sets that share a key are candidates, but a pair is compared only if no links join
 it already. First each set is compared with one other: of the sets that come first under its keys that with which it shares most
-keys. Then those of different groups are, in another order. Last, under each key the sets outside its largest group are
-compared with all that are in another group than their own. So groups are those of all candidates, and a large group
-costs a few comparisons for each of its sets.
+keys. Then it is compared with up to LEADERS sets of other groups, each key putting another set first, and that TURNS times. Last,
+under each key the sets outside its largest group are compared with all that are in another group than their own. So groups are those of
+all candidates, and a large group costs a few comparisons for each of its sets, also where many of its pairs are not similar.
 
 Texts without words are one group. Sets of three shingles or fewer are similar to equal ones only and have no keys. Rows
 that share doc_id and text are one document; rows that share only doc_id are different ones. A group's first document is that
@@ -28,7 +28,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import common, golay
@@ -41,8 +41,10 @@ SEED = 42
 SEGMENTS, NEAREST, TOGETHER = 14, 1, 2
 PLACES = SEGMENTS * 23
 ALIKE = 0.8
+LEADERS, TURNS = 8, 2
 FANOUT = 1000  # pairs of one set that are compared in one task
-PIECE = 500_000  # bytes of text at once
+PIECE = 250_000  # bytes of text at once
+ROWS = 2048  # sketches at once
 PARTS = 128
 #: For each byte a word with its bits in eight lanes of a byte.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
@@ -119,15 +121,19 @@ def _margins(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.int8).reshape(-1, PLACES)
 
 
+def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (whole.slice(first, ROWS) for whole in batches for first in range(0, whole.num_rows, ROWS))
+
+
 def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         found = fuzzy_keys(_margins(batch["sketch"]))
         every = pa.array(np.repeat(np.arange(batch.num_rows), found.shape[1]))
         yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), batch["key"].take(every), batch["n"].take(every)], names=["s", "key", "n"])
 
 
 def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         x, y = _margins(batch["x"]).astype(np.float32), _margins(batch["y"]).astype(np.float32)
         cosine = (x * y).sum(axis=1) / np.maximum(1e-9, np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1)))
         yield batch.select(["a", "b"]).filter(pa.array(cosine >= ALIKE))
@@ -178,13 +184,14 @@ def links(sets: DataFrame, shingled: Callable[[DataFrame], DataFrame], least: fl
     def ordered(pairs: DataFrame) -> DataFrame:
         return pairs.where(fits).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def to_leader(rows: DataFrame, order) -> DataFrame:
-        """Each set with one of another group: of those that order puts first under its keys that with which it shares most of them."""
+    def to_leaders(rows: DataFrame, order, most: int) -> DataFrame:
+        """Each set with some of other groups: of those that order puts first under its keys the ones with which it shares most of them."""
         leader = rows.groupBy("s").agg(F.min(F.struct(order.alias("o"), "key", "n", "root")).alias("l")).select("s", "l.*").drop("o")
         leader = leader.toDF("s", "a", "an", "aroot")
         met = rows.select("s", F.col("key").alias("b"), F.col("n").alias("bn"), "root").join(leader, "s").where(F.col("root") != F.col("aroot")).where(fits)
-        most = met.groupBy("a", "b").count().groupBy("b").agg(F.max(F.struct("count", "a")).alias("m"))
-        return most.select(F.least("b", "m.a").alias("a"), F.greatest("b", "m.a").alias("b")).distinct()
+        counted = met.groupBy("a", "b").count()
+        best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("count"), F.xxhash64("a", "b")))
+        return counted.withColumn("at", best).where(F.col("at") <= most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
     def across_groups(rows: DataFrame) -> DataFrame:
         """All pairs of a key's sets that are in different groups: the sets outside the key's largest group with all others."""
@@ -192,9 +199,10 @@ def links(sets: DataFrame, shingled: Callable[[DataFrame], DataFrame], least: fl
         outside = rows.join(largest, "s").where(F.col("root") != F.col("main")).select("s", F.col("key").alias("a"), F.col("n").alias("an"), F.col("root").alias("aroot"))
         return ordered(outside.join(rows.select("s", F.col("key").alias("b"), F.col("n").alias("bn"), "root"), "s").where(F.col("root") != F.col("aroot")))
 
-    tried = common.save(to_leader(keyed.withColumn("root", F.col("key")), F.col("key")), "compared-pairs")
+    tried = common.save(to_leaders(keyed.withColumn("root", F.col("key")), F.col("key"), 1), "compared-pairs")
     found = verified(tried)
-    for step in (lambda rows: to_leader(rows, F.xxhash64("key")), across_groups):
+    by_turns = lambda turn: lambda rows: to_leaders(rows, F.xxhash64("key", "s", F.lit(turn)), LEADERS)
+    for step in (*map(by_turns, range(TURNS)), across_groups):
         rows = keyed.join(components(found), F.col("key") == F.col("node"), "left").select("s", "key", "n", F.coalesce("root", "key").alias("root"))
         rows = common.save(rows, "grouped-sets")
         still = common.save(rows.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s"), "open-keys")
