@@ -67,8 +67,8 @@ def codewords() -> np.ndarray:
 def nearest(margins: np.ndarray, k: int) -> np.ndarray:
     """Indices of the k codewords of highest correlation with each row of 23 margins, best first."""
     found = np.empty((len(margins), k), np.int64)
-    for first in range(0, len(margins), 1024):
-        some = margins[first : first + 1024].astype(np.float32) @ codewords().T
+    for first in range(0, len(margins), 256):
+        some = margins[first : first + 256].astype(np.float32) @ codewords().T
         rows = np.arange(len(some))
         for i in range(k):
             best = some.argmax(axis=1)

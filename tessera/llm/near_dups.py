@@ -41,11 +41,11 @@ SEED = 42
 SEGMENTS, NEAREST, TOGETHER = 14, 1, 2
 PLACES = SEGMENTS * 23
 ALIKE = 0.8
-LEADERS, TURNS = 8, 2
+LEADERS, TURNS = 8, 1
 FANOUT = 1000  # pairs of one set that are compared in one task
-PIECE = 250_000  # bytes of text at once
-ROWS = 2048  # sketches at once
-PARTS = 128
+PIECE = 100_000  # bytes of text at once
+ROWS = 512  # sketches at once
+PARTS = 32
 #: For each byte a word with its bits in eight lanes of a byte.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").reshape(-1).view(np.uint64)
 
@@ -108,6 +108,7 @@ def fuzzy_keys(margins: np.ndarray) -> np.ndarray:
 def _sketched(width: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
+            pa.default_memory_pool().release_unused()
             for batch in pieces_of(whole, PIECE):
                 sets = [shingles(t.as_py(), width) for t in batch["text"]]
                 keys = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
