@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -30,3 +30,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def in_ranges(df: DataFrame, *order: str) -> DataFrame:
     """df with a column range: all rows of a lower range come before those of a higher one. It is written once, so that ranges stay as they are."""
     return checkpointed(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """df with each row's place, from 0, in the order of some columns.
+
+    Rows are dealt to ranges, sorted there and written once; a place is that within the range and the number of rows in lower
+    ranges, so no task sees more than its range. Planning the ranges reads df once more: save it first where it is dear.
+    """
+    within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # Spark counts a partition's rows in the low 33 bits
+    held = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__range": F.spark_partition_id(), "__within": within}))
+    sizes = held.groupBy("__range").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    lower = sizes.select("__range", F.coalesce(before, F.lit(0)).alias("__lower"))  # a row a range
+    return held.join(F.broadcast(lower), "__range").select(*df.columns, (F.col("__lower") + F.col("__within")).alias(name))
