@@ -85,7 +85,8 @@ def test_feature_files_and_export(spark, tmp_path):
     assert len(got) == 1 and (got[0]["chr1_idx"], got[0]["start1"], got[0]["chr2_idx"], got[0]["start2"]) == (1, 30, 2, 10)
     assert got[0]["attributes"] == {"observed": "7"} and got[0]["feature_type"] == "PEAK" and got[0]["color"]["b"] == 255
     sinks.write_features(files.read_features(spark, str(path), genome), str(tmp_path / "out"))
-    assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == ["A\t30\t40\tB\t10\t20\t.\t.\t.\t.\t0,0,255\t7"]
+    header = "#chr1\tx1\tx2\tchr2\ty1\ty2\tname\tscore\tstrand1\tstrand2\tcolor\tobserved"
+    assert [r[0] for r in spark.read.text(str(tmp_path / "out")).collect()] == [header, "A\t30\t40\tB\t10\t20\t.\t.\t.\t.\t0,0,255\t7"]
 
 
 def test_chromosome_sizes(spark, tmp_path):
