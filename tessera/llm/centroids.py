@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from tessera.llm import common, vectors
 
 BLOCK, LEAF = 4096, 16
+EVEN = 32  # a ball is halved if its nearer ends would part it more unevenly
 LARGEST = 1 << 50
 PLAIN = 1 << 27  # up to here squared distances of 64 components fit a long
 LONG = (1 << 63) - 1
@@ -64,7 +65,10 @@ class Tree:
                 continue
             one = away[far.argmax()]
             other = away[((away - one) ** 2).sum(axis=1).argmax()]
-            along, half = away @ (other - one), len(own) // 2
+            along = away @ (other - one)
+            half = int((along < (along[far.argmax()] + (other @ (other - one))) / 2).sum())  # those nearer to one
+            if half * EVEN < len(own) or (len(own) - half) * EVEN < len(own):
+                half = len(own) // 2
             order[first:last] = order[first:last][np.argpartition(along, half)]
             child.append(len(balls))
             balls += [(first, first + half), (first + half, last)]
