@@ -1,4 +1,4 @@
-"""Pearson correlation of the rows of symmetric maps, without making them dense, and its eigenvectors."""
+"""Pearson correlation of the rows of symmetric maps by products of tiles, and its eigenvectors without forming it."""
 
 from __future__ import annotations
 
@@ -9,11 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.semantics import ieee_div
 from tessera.operators.contacts import mirror
 from tessera.plans.lineage import checkpointed
 
-TILE = 512
+TILE, COLUMNS, DENSE = 256, 1 << 15, 1 << 12
+MOST_PARTS = 100_000
 BLOCK = 8
 MOST_STEPS = 100
 
@@ -39,28 +39,95 @@ def _centred(a: DataFrame, dims: int | dict[int, int]) -> tuple[DataFrame, DataF
     return m, rows
 
 
-def pearson(oe: DataFrame, dims: int | dict[int, int], tile: int = TILE) -> DataFrame:
+def _tiles(a: DataFrame, rows: DataFrame, dims: int | dict[int, int], tile: int, columns: int) -> DataFrame:
+    """c, t1, t2, b, second, i, k, a: each tile of cells (tile rows by so many columns) for each pair of row tiles that it has a part in.
+
+    b is the block of columns; -1 has the rows' own sums instead. second: the tile is the pair's second one. A row is a whole tile, so
+    these are as many rows as there are tiles times row tiles.
+    """
+    t = F.floor(F.col("i") / tile).cast("int").alias("t")
+    cells = a.groupBy("c", t, F.floor(F.col("k") / columns).cast("int").alias("b")).agg(F.collect_list(F.struct("i", "k", "a")).alias("of"))
+    cells = cells.select("c", "t", "b", F.col("of.i").alias("i"), F.col("of.k").alias("k"), F.col("of.a").alias("a"))
+    own = rows.groupBy("c", t).agg(F.collect_list(F.struct("i", "sam", "s", "q")).alias("of"), F.first("smm").alias("smm"))
+    own = own.select("c", "t", F.lit(-1).alias("b"), F.col("of.i").alias("i"), F.array().cast("array<int>").alias("k"), F.concat("of.sam", "of.s", "of.q", F.array("smm")).alias("a"))
+    other = F.explode(F.sequence(F.lit(0), F.floor((_dim(dims) - 1) / tile).cast("int"))).alias("u")
+    placed = cells.unionByName(own).select("*", other)
+    return placed.select("c", F.least("t", "u").alias("t1"), F.greatest("t", "u").alias("t2"), "b", (F.col("t") > F.col("u")).alias("second"), "i", "k", "a")
+
+
+def _multiplied(dims: int | dict[int, int], tile: int) -> Callable:
+    """Correlations of the rows of two tiles, from their tiles of cells in the order of blocks: two tiles of one block are held at a time."""
+
+    def product(first: tuple[np.ndarray, ...], second: tuple[np.ndarray, ...]) -> np.ndarray:
+        total = np.zeros((tile, tile))
+        both = np.intersect1d(first[1], second[1])
+        for some in np.array_split(both, -(-len(both) // DENSE)) if len(both) else []:
+            dense = []
+            for i, k, a in (first, second):
+                at = np.minimum(np.searchsorted(some, k), len(some) - 1)
+                met = some[at] == k
+                m = np.zeros((tile, len(some)))
+                np.add.at(m, (i[met] % tile, at[met]), a[met])
+                dense.append(m)
+            total += dense[0] @ dense[1].T
+        return total
+
+    def correlated(c: int, same: bool, one: tuple, two: tuple, g: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = dims if isinstance(dims, int) else dims[c]
+        (i, sam1, s1, q1, smm), (j, sam2, s2, q2, _) = one, two
+        s12 = g[np.ix_(i % tile, j % tile)] - sam1[:, None] - sam2 + smm
+        spread = [np.sqrt(np.maximum(0, n * q - s * s)) for s, q in ((s1, q1), (s2, q2))]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            value = (n * s12 - s1[:, None] * s2) / (spread[0][:, None] * spread[1])
+        row, col = np.repeat(i, len(j)), np.tile(j, len(i))
+        if same:
+            value = np.where(i[:, None] <= j, value, value.T)
+            value[i[:, None] == j] = 1.0
+        pairs = [(row, col, value.ravel())] if same else [(row, col, value.ravel()), (col, row, value.ravel())]
+        for x, y, v in pairs:
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), c, np.int32)), pa.array(x), pa.array(y), pa.array(v)], names=["chr_idx", "row", "col", "value"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own, g, held = None, {}, None, None
+        for batch in batches:
+            for at in range(batch.num_rows):
+                c, t1, t2, b, second = (batch[name][at].as_py() for name in ("c", "t1", "t2", "b", "second"))
+                i, k, a = (np.asarray(batch[name][at].values) for name in ("i", "k", "a"))
+                if (c, t1, t2) != key:
+                    if len(own) == 2:
+                        yield from correlated(key[0], key[1] == key[2], own[False], own[True], g)
+                    key, own, g, held = (c, t1, t2), {}, np.zeros((tile, tile)), None
+                if b < 0:
+                    order = np.argsort(i)
+                    of = [a[m * len(i) : (m + 1) * len(i)][order] for m in range(3)]
+                    own[second] = (i[order], *of, a[-1])
+                    if t1 == t2:
+                        own[True] = own[False]
+                elif t1 == t2:
+                    g += product((i, k, a), (i, k, a))
+                elif not second:
+                    held = b, (i, k, a)
+                elif held and held[0] == b:
+                    g += product(held[1], (i, k, a))
+        if len(own) == 2:
+            yield from correlated(key[0], key[1] == key[2], own[False], own[True], g)
+
+    return run
+
+
+def pearson(oe: DataFrame, dims: int | dict[int, int], tile: int = TILE, columns: int = COLUMNS) -> DataFrame:
     """(chr_idx, row, col, value) over rows that have any record. oe: contacts of intra maps with a column oe; dims: bins of a map, for all or by chromosome.
 
-    Each row is centred by the columns' means over all rows, then rows are correlated. Everything comes from
-    sums of products over shared columns: a sparse self-join on the column, whose size is what the product of
-    the matrix with itself costs. Every pair of rows has a value, so pairs are formed in tiles of rows, which are
-    the keys of the join.
+    Each row is centred by the columns' means over all rows, then rows are correlated: the product of the sparse matrix with
+    its transpose, corrected by sums of rows and columns. It is taken by blocks: a pair of row tiles is one unit of work, to which come
+    the tiles of both, a block of columns after the other, and which gives the values of all pairs of their rows.
     """
-    a = _cells(oe)
+    a = checkpointed(_cells(oe))
     _, rows = _centred(a, dims)
-    products = a.alias("l").join(a.alias("r"), ["c", "k"]).where("l.i <= r.i").groupBy("c", F.col("l.i").alias("row"), F.col("r.i").alias("col")).agg(F.sum(F.col("l.a") * F.col("r.a")).alias("aa"))
-    own = F.floor(F.col("i") / tile)
-    tiles = F.floor((F.lit(_dim(dims)) - 1) / tile)
-    first = rows.select("c", F.col("i").alias("row"), "smm", F.col("s").alias("s1"), F.col("q").alias("q1"), F.col("sam").alias("sam1"), own.alias("t1"), F.explode(F.sequence(own, F.greatest(own, tiles))).alias("t2"))
-    second = rows.select("c", F.col("i").alias("col"), F.col("s").alias("s2"), F.col("q").alias("q2"), F.col("sam").alias("sam2"), own.alias("t2"), F.explode(F.sequence(F.lit(0), own)).alias("t1"))
-    every = first.join(second, ["c", "t1", "t2"]).where("row <= col")
-    full = every.join(products, ["c", "row", "col"], "left").withColumn("n", _dim(dims))
-    s12 = F.coalesce("aa", F.lit(0.0)) - F.col("sam1") - F.col("sam2") + F.col("smm")
-    spread = lambda i: F.sqrt(F.greatest(F.lit(0.0), F.col("n") * F.col(f"q{i}") - F.col(f"s{i}") * F.col(f"s{i}")))
-    value = F.when(F.col("row") == F.col("col"), F.lit(1.0)).otherwise(ieee_div(F.col("n") * s12 - F.col("s1") * F.col("s2"), spread(1) * spread(2)))
-    upper = full.select(F.col("c").alias("chr_idx"), "row", "col", value.alias("value"))
-    return upper.unionByName(upper.where("row < col").select("chr_idx", F.col("col").alias("row"), F.col("row").alias("col"), "value"))
+    sizes = dims.values() if isinstance(dims, dict) else [dims] * a.select("c").distinct().count()
+    pairs = sum((m := -(-n // tile)) * (m + 1) // 2 for n in sizes)  # a partition for each, so that few tiles are in a worker at once
+    dealt = _tiles(a, rows, dims, tile, columns).repartition(min(MOST_PARTS, max(1, pairs)), "c", "t1", "t2").sortWithinPartitions("c", "t1", "t2", "b", "second")
+    return dealt.mapInArrow(_multiplied(dims, tile), "chr_idx int, row int, col int, value double")
 
 
 def _by_chromosome(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:

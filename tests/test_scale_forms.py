@@ -33,11 +33,13 @@ def test_pearson_and_eigenvectors_of_two_maps(spark):
     for c, d in dense.items():
         kept = [i for i in range(n) if i != 5]
         want[c] = kept, np.corrcoef((d - d.mean(axis=0))[kept])
-    got = correlate.pearson(df, n, 7).collect()
-    assert len(got) == 2 * 29 * 29
-    for r in got:
-        kept, m = want[r["chr_idx"]]
-        assert abs(r["value"] - m[kept.index(r["row"]), kept.index(r["col"])]) < 1e-9
+    for tile, columns in ((7, 11), (4, 1000), (100, 100)):
+        got = correlate.pearson(df, n, tile, columns).collect()
+        assert len(got) == len({(r["chr_idx"], r["row"], r["col"]) for r in got}) == 2 * 29 * 29
+        for r in got:
+            kept, m = want[r["chr_idx"]]
+            assert abs(r["value"] - m[kept.index(r["row"]), kept.index(r["col"])]) < 1e-9
+    assert correlate.pearson(df.limit(0), n).count() == 0
     for which in (0, 1):
         found = {(r["chr_idx"], r["bin"]): r["value"] for r in correlate.eigenvector(df, {1: n, 2: n}, which).collect()}
         assert len(found) == 58
@@ -48,6 +50,17 @@ def test_pearson_and_eigenvectors_of_two_maps(spark):
     assert correlate.eigenvector(df.limit(0), n).count() == 0
 
 
+@pytest.mark.parametrize("n", [40, 80])
+def test_pearson_sends_tiles(spark, n):
+    """Rows that are sent: tiles of cells, with the sums of each row tile, times row tiles; as few for a dense map as for a sparse one."""
+    dense = spark.range(n * n).selectExpr("1 AS chr1_idx", "1 AS chr2_idx", "1 AS bin_size", f"cast(id div {n} AS int) AS bin_x", f"cast(id % {n} AS int) AS bin_y", "rand(1) AS oe").where("bin_x <= bin_y")
+    a = correlate._cells(dense)
+    tiles = n // 8
+    sent = correlate._tiles(a, correlate._centred(a, n)[1], n, 8, n)
+    assert a.count() == n * n and sent.count() == 2 * tiles * tiles
+    assert correlate.pearson(dense, n, 8).count() == n * n
+
+
 def plain_median(values, w):
     n, out = len(values), []
     for z in range(n):
