@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.semantics import ieee_div
+from tessera.plans.lineage import numbered
 
 
 def distance(x: Column, y: Column) -> Column:
@@ -63,14 +65,19 @@ def _medians(values: np.ndarray, first: int, z: np.ndarray, w: int, n: int) -> n
 def rolling_median(vector: DataFrame, w: int, *keys: str, run: int = 65_536) -> DataFrame:
     """Medians over w places on both sides, single precision; near the start over as many as there are on the left.
 
-    Places are numbered within each key and dealt to runs, which overlap by w on both sides, so neither a frame a place
+    Places are numbered by ranges of key and distance and dealt to runs, which overlap by w on both sides, so neither a frame a place
     nor a whole vector is held; w below 1 or not below the length leaves it as it is.
     """
     if w < 1:
         return vector
     run = max(run, 2 * w)
-    by = Window.partitionBy(*keys)
-    placed = vector.withColumns({"__n": F.count("*").over(by), "__z": F.row_number().over(by.orderBy("dist")) - 1})
+    counted = numbered(vector, "__at", *keys, "dist")
+    if keys:
+        each = counted.groupBy(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys))).agg(F.count("*").alias("__n"), F.min("__at").alias("__first"))
+        alike = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)])
+        placed = counted.join(each, alike).select(*vector.columns, "__n", (F.col("__at") - F.col("__first")).alias("__z"))
+    else:
+        placed = counted.withColumns({"__n": F.lit(counted.count()), "__z": F.col("__at")}).drop("__at")
     home = F.floor(F.col("__z") / run).cast("int")
     runs = F.sequence(F.greatest(F.lit(0), F.floor((F.col("__z") - w) / run)).cast("int"), F.floor((F.col("__z") + w) / run).cast("int"))
     dealt = placed.withColumn("__own", home).withColumn("__run", F.explode(runs))

@@ -8,10 +8,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import tiles
 from tessera.plans.lineage import checkpointed
 
 BOUNDS = ["chr1_idx", "start1", "end1", "chr2_idx", "start2", "end2"]
@@ -78,50 +81,29 @@ def _reach(features: DataFrame) -> DataFrame:
     return features.withColumns({"lo1": m1 - half1, "hi1": m1 + half1, "lo2": m2 - half2, "hi2": m2 + half2})
 
 
-def _level(low: Column, high: Column, tile: int) -> Column:
-    """How many times tiles of that width must grow fourfold to be as wide as what lies from low to high."""
-    return F.greatest(F.lit(0), F.ceil(F.log(4.0, F.greatest(F.lit(1), high - low + 1) / tile))).cast("int")
+def _mids(features: DataFrame) -> DataFrame:
+    """id and corners, for tiles: the midpoints give or take half the widths."""
+    return _reach(features).select(F.col("feature_id").alias("id"), F.col("chr1_idx").alias("c1"), F.col("chr2_idx").alias("c2"), *tiles.CORNERS)
 
 
-def _levels(features: DataFrame, low: Column, high: Column, tile: int) -> Column:
-    """The levels that features have: a few numbers, as widths grow fourfold from one to the next."""
-    return F.array(*(F.lit(r[0]) for r in sorted(features.select(_level(low, high, tile)).distinct().collect()))).cast("array<int>")
+def _rects(features: DataFrame) -> DataFrame:
+    """id and corners, for tiles: the bounds."""
+    bounds = zip(("start1", "end1", "start2", "end2"), tiles.CORNERS)
+    return features.select(F.col("feature_id").alias("id"), F.col("chr1_idx").alias("c1"), F.col("chr2_idx").alias("c2"), *(F.col(c).alias(k) for c, k in bounds))
 
 
-def _tiled(features: DataFrame, low: str, high: str, levels: Column, tile: int) -> DataFrame:
-    """own (the level) and at (level, tile): the tiles that each covers, two or one, at its own level and those above it."""
-    low_, high_ = F.col(low), F.col(high)
-    own = features.withColumn("own", _level(low_, high_, tile)).withColumn("level", F.explode(levels)).where("level >= own")
-    width = F.lit(tile) * F.pow(F.lit(4.0), F.col("level"))
-    return own.withColumn("tile", F.explode(F.sequence(F.floor(low_ / width), F.floor(high_ / width))))
-
-
-def _met(a: DataFrame, b: DataFrame, tile: int) -> tuple[DataFrame, DataFrame, Column]:
-    """Both sides in tiles, and when a pair meets: at the level of the wider one, where neither covers more than two tiles."""
-    mine = _reach(a).select("feature_id", *KEY, "lo1", "hi1", "lo2", "hi2")
-    other = b.select(F.col("feature_id").alias("other_id"), *(F.col(k).alias(f"o_{k}") for k in KEY), "start1", "end1", "start2", "end2")
-    levels = F.array_distinct(F.concat(_levels(mine, F.col("lo1"), F.col("hi1"), tile), _levels(other, F.col("start1"), F.col("end1"), tile)))
-    mine = _tiled(mine, "lo1", "hi1", levels, tile)
-    other = _tiled(other, "start1", "end1", levels, tile).select("other_id", *(f"o_{k}" for k in KEY), "start1", "end1", "start2", "end2", F.col("own").alias("o_own"), F.col("level").alias("o_level"), F.col("tile").alias("o_tile"))
-    same = (F.col("level") == F.col("o_level")) & (F.col("tile") == F.col("o_tile")) & (F.greatest("own", "o_own") == F.col("level"))
-    for k in KEY:
-        same = same & (F.col(k) == F.col(f"o_{k}"))
-    return mine, other, same & (F.col("hi1") >= F.col("start1")) & (F.col("lo1") <= F.col("end1")) & (F.col("hi2") >= F.col("start2")) & (F.col("lo2") <= F.col("end2"))
-
-
-def hits(a: DataFrame, b: DataFrame, tile: int = 1 << 14) -> DataFrame:
+def hits(a: DataFrame, b: DataFrame, most: int = tiles.MOST) -> DataFrame:
     """(feature_id, other_id): features of a whose midpoint lies in a rectangle of b widened by half of a's widths.
 
-    Both are dealt to tiles of the first axis that fit their widths; so the join has equal keys, and the exact test follows.
+    Both are dealt to tiles that adapt to where they lie on both axes; most: rectangles of a tile.
     """
-    mine, other, meet = _met(a, b, tile)
-    return mine.join(other, meet).select("feature_id", "other_id").distinct()
+    return tiles.pairs(_mids(a), _rects(b), most).select(F.col("a_id").alias("feature_id"), F.col("b_id").alias("other_id"))
 
 
-def overlap(a: DataFrame, b: DataFrame, tile: int = 1 << 14) -> DataFrame:
+def overlap(a: DataFrame, b: DataFrame, most: int = tiles.MOST) -> DataFrame:
     """Features of a that overlap some feature of b; a feature's search ends with the first."""
-    mine, other, meet = _met(a, b.dropDuplicates(BOUNDS), tile)
-    return a.join(mine.join(other, meet, "left_semi").select("feature_id").distinct(), "feature_id", "left_semi")
+    met = tiles.those_meeting(_mids(a), _rects(b.dropDuplicates(BOUNDS)), most)
+    return a.join(met.withColumnRenamed("id", "feature_id"), "feature_id", "left_semi")
 
 
 def intersection(a: DataFrame, b: DataFrame, tolerance: int = 0) -> DataFrame:
@@ -135,40 +117,67 @@ def intersection(a: DataFrame, b: DataFrame, tolerance: int = 0) -> DataFrame:
     return dedup(a.join(near.join(other, same, "left_semi").select("feature_id").distinct(), "feature_id", "left_semi"))
 
 
-def add_unique(a: DataFrame, b: DataFrame) -> DataFrame:
+def _decided(table: pa.Table) -> pa.Table:
+    """Of the features of a tile, in order: 0 shut out, 1 not known yet, 2 nothing here shuts it out. Those that lie in this tile alone are then accepted."""
+    table = table.sort_by("id")
+    reach = np.stack([np.asarray(table[c]) for c in tiles.CORNERS], axis=1)
+    rect = np.stack([np.asarray(table[c]) for c in ("start1", "end1", "start2", "end2")], axis=1)
+    alone = np.asarray(table["n"]) == 1
+    verdict = np.full(len(reach), 2, np.int32)
+    live, known, n = np.empty_like(rect), np.empty(len(rect), bool), 0  # those that are accepted or may be
+    for i in range(len(reach)):
+        lo1, hi1, lo2, hi2 = reach[i]
+        own = live[:n]
+        met = (own[:, 0] <= hi1) & (own[:, 1] >= lo1) & (own[:, 2] <= hi2) & (own[:, 3] >= lo2)
+        if met.any():
+            verdict[i] = 0 if known[:n][met].any() else 1
+        if verdict[i]:
+            live[n], known[n] = rect[i], alone[i] and verdict[i] == 2
+            n += 1
+    return pa.table({"id": table["id"], "verdict": pa.array(verdict)})
+
+
+def add_unique(a: DataFrame, b: DataFrame, most: int = 1 << 15) -> DataFrame:
     """a, and those of b that do not overlap what is there by then, in the order of feature_id; a key that a lacks takes all of b's.
 
-    What is accepted shuts out later ones. That is settled in rounds: a feature of which no earlier rival is
-    undecided is accepted, and then shuts out its later rivals; the rounds are as many as the longest chain of
-    rivals, and each is two joins on the pairs of rivals.
+    What is accepted shuts out later ones. That is settled tile by tile (tiles adapt to where the undecided features
+    lie): a tile's features, at most about most of them, the earliest first, are gone through in order by one task. A feature that lies in several tiles is
+    accepted once none of them has anything earlier that may shut it out, and until then it leaves those that it may shut out
+    undecided. The undecided ones are dealt anew, to fewer tiles; so a chain of rivals within a tile takes one round, however long it is.
     """
     columns = ["feature_id", *BOUNDS]
     have = a.select(*KEY).distinct()
     free = b.join(have, KEY, "left_anti").select(columns)
     left = b.join(have, KEY, "left_semi").select(columns)
-    left = checkpointed(left.join(hits(left, a).select("feature_id").distinct(), "feature_id", "left_anti"))
-    rivals = checkpointed(hits(left, left).where("other_id < feature_id").distinct())  # the other one is the earlier
+    out = tiles.those_meeting(_mids(left), _rects(a.dropDuplicates(BOUNDS))).withColumnRenamed("id", "feature_id")
+    left = checkpointed(left.join(out, "feature_id", "left_anti"))
     taken = []
-    while True:
-        ready = left.select("feature_id").join(rivals.select("feature_id").distinct(), "feature_id", "left_anti")
-        ready = checkpointed(ready)
-        taken.append(ready)
-        if rivals.isEmpty():
-            break
-        out = rivals.join(ready.select(F.col("feature_id").alias("other_id")), "other_id", "left_semi").select("feature_id").distinct()
-        left = checkpointed(left.join(out.unionByName(ready), "feature_id", "left_anti"))
-        live = rivals.join(out, "feature_id", "left_anti").join(out.withColumnRenamed("feature_id", "other_id"), "other_id", "left_anti")
-        rivals = checkpointed(live.select("feature_id", "other_id"))
-    accepted = reduce(DataFrame.unionByName, taken)
-    return a.select(columns).unionByName(free).unionByName(b.select(columns).join(accepted, "feature_id", "left_semi"))
-
-
-def containing(features: DataFrame, points: DataFrame, tile: int = 1 << 14) -> DataFrame:
+    while not left.isEmpty():
+        low, high = (lambda i: F.least(f"lo{i}", f"start{i}").alias(f"lo{i}")), (lambda i: F.greatest(f"hi{i}", f"end{i}").alias(f"hi{i}"))
+        hull = _reach(left).select(F.col("feature_id").cast("long").alias("id"), F.lit(0).alias("side"), F.col("chr1_idx").cast("int").alias("c1"), F.col("chr2_idx").cast("int").alias("c2"), *(f(i).cast("long").alias(k) for k, f, i in zip(tiles.CORNERS, (low, high, low, high), (1, 1, 2, 2))))
+        placed = checkpointed(tiles.dealt(hull, tiles.quadtrees(hull, most)).select("id", *tiles.TILE))
+        counts = placed.groupBy(*tiles.TILE).agg(F.count("*").alias("size"))
+        hot = counts.where(F.col("size") > 2 * most).select(*tiles.TILE, "size")
+        cut = placed.join(hot, tiles.TILE).groupBy(*tiles.TILE).agg(F.expr(f"percentile_approx(id, array({', '.join(str(2.0**-k) for k in range(32))}), 10000)").alias("ids"), F.first("size").alias("size"))
+        cut = cut.select(*tiles.TILE, F.element_at("ids", F.greatest(F.lit(1), F.least(F.lit(32), F.ceil(F.log2(F.col("size") / most)).cast("int") + 1))).alias("upto"))
+        every = placed.groupBy("id").agg(F.count("*").alias("n"))
+        now = placed.join(cut, tiles.TILE, "left").where("upto IS NULL OR id <= upto").join(every, "id")
+        now = now.join(_reach(left).select(F.col("feature_id").cast("long").alias("id"), *tiles.CORNERS, "start1", "end1", "start2", "end2"), "id")
+        found = now.groupBy(*tiles.TILE).applyInArrow(_decided, "id long, verdict int").groupBy("id").agg(F.min("verdict").alias("verdict"), F.count("*").alias("m"))
+        found = checkpointed(found.join(every, "id").select("id", F.when(F.col("verdict") == 0, 0).when((F.col("verdict") == 2) & (F.col("m") == F.col("n")), 2).otherwise(1).alias("verdict")).where("verdict <> 1"))
+        accepted = left.join(found.where("verdict = 2").select(F.col("id").alias("feature_id")), "feature_id", "left_semi")
+        taken.append(accepted)
+        left = checkpointed(left.join(found.select(F.col("id").alias("feature_id")), "feature_id", "left_anti"))
+        if not left.isEmpty():
+            out = tiles.those_meeting(_mids(left), _rects(accepted), earlier=True).withColumnRenamed("id", "feature_id")
+            left = checkpointed(left.join(out, "feature_id", "left_anti"))
+    return reduce(DataFrame.unionByName, [a.select(columns), free, *taken])
+
+
+def containing(features: DataFrame, points: DataFrame, most: int = tiles.MOST) -> DataFrame:
     """points (point_id, chr1_idx, chr2_idx, x, y) with the features whose closed rectangles hold them."""
-    levels = _levels(features, F.col("start1"), F.col("end1"), tile)
-    tiled = _tiled(features.select("feature_id", *BOUNDS), "start1", "end1", levels, tile).where("level = own")
-    placed = points.withColumn("level", F.explode(levels)).withColumn("tile", F.floor(F.col("x") / (F.lit(tile) * F.pow(F.lit(4.0), F.col("level")))))
-    return placed.join(tiled, [*KEY, "level", "tile"]).where("x BETWEEN start1 AND end1 AND y BETWEEN start2 AND end2").select("point_id", "feature_id")
+    asked = points.select(F.col("point_id").alias("id"), F.col("chr1_idx").alias("c1"), F.col("chr2_idx").alias("c2"), *(F.col(p).alias(k) for p, k in zip("xxyy", tiles.CORNERS)))
+    return tiles.pairs(asked, _rects(features), most).select(F.col("a_id").alias("point_id"), F.col("b_id").alias("feature_id"))
 
 
 def without_first(features: DataFrame, gone: DataFrame) -> DataFrame:

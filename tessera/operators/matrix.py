@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.semantics import clamp, ieee_div, signum_clean
-from tessera.plans.lineage import in_ranges
+from tessera.plans.lineage import cumulated, in_ranges
 
 
 def _v() -> Column:
@@ -113,7 +113,17 @@ def abs_column_sums(m: DataFrame) -> DataFrame:
 
 
 def row_medians(m: DataFrame) -> DataFrame:
-    return m.groupBy("row").agg(F.median("value").alias("value"))
+    """Of an even number of cells the mean of the two in the middle; NaN counts as above all numbers.
+
+    Different values of a row with their counts are dealt to ranges of (row, value). A value's rank is the number of cells in lower
+    ranges and the running count within its own, less what lower rows have; so a row may be spread over many tasks, and none holds its values.
+    """
+    per = cumulated(m.where("value IS NOT NULL").groupBy("row", "value").agg(F.count("*").alias("c")), "c", "before", "row", "value")
+    rows = per.groupBy("row").agg(F.min("before").alias("first"), F.sum("c").alias("n"))
+    low, high = F.col("first") + F.expr("(n - 1) div 2"), F.col("first") + F.expr("n div 2")
+    holds = lambda at: (F.col("before") <= at) & (at < F.col("before") + F.col("c"))
+    middle = per.join(rows, "row").select("row", F.when(holds(low), _v()).alias("a"), F.when(holds(high), _v()).alias("b")).where("a IS NOT NULL OR b IS NOT NULL")
+    return middle.groupBy("row").agg(F.max("a").alias("a"), F.max("b").alias("b")).select("row", ((F.col("a") + F.col("b")) / 2).alias("value"))
 
 
 def normalise_by_sums(m: DataFrame, by: str = "row") -> DataFrame:

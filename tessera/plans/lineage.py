@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -32,6 +32,12 @@ def in_ranges(df: DataFrame, *order: str) -> DataFrame:
     return checkpointed(df.repartitionByRange(*order).withColumn("range", F.spark_partition_id()))
 
 
+def _lower(held: DataFrame, size: Column) -> DataFrame:
+    """For each range the sum over the ranges before it: a row a range."""
+    before = F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    return held.groupBy("__range").agg(size.alias("n")).select("__range", F.coalesce(before, F.lit(0)).alias("__lower"))
+
+
 def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     """df with each row's place, from 0, in the order of some columns.
 
@@ -40,7 +46,13 @@ def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
     """
     within = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # Spark counts a partition's rows in the low 33 bits
     held = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__range": F.spark_partition_id(), "__within": within}))
-    sizes = held.groupBy("__range").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    lower = sizes.select("__range", F.coalesce(before, F.lit(0)).alias("__lower"))  # a row a range
+    lower = _lower(held, F.count("*"))
     return held.join(F.broadcast(lower), "__range").select(*df.columns, (F.col("__lower") + F.col("__within")).alias(name))
+
+
+def cumulated(df: DataFrame, weight: str, name: str, *order: str) -> DataFrame:
+    """df with the sum of weight over all rows before each, in the order of some columns that tell rows apart; dealt as in numbered()."""
+    held = checkpointed(df.repartitionByRange(*order).withColumn("__range", F.spark_partition_id()))
+    lower = _lower(held, F.sum(weight))
+    within = F.sum(weight).over(Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    return held.withColumn("__within", F.coalesce(within, F.lit(0))).join(F.broadcast(lower), "__range").select(*df.columns, (F.col("__lower") + F.col("__within")).alias(name))

@@ -99,6 +99,48 @@ def test_percentiles_and_monotone_points_by_ranges(spark):
     assert kept == [i for i, x in enumerate(xs) if i == 0 or x > xs[i - 1]]
 
 
+def rows_of_tasks(df):
+    """The most rows of any partition that df's last shuffle fills."""
+    return max(r["n"] for r in df.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect())
+
+
+def test_row_medians_by_ranges(spark):
+    r = np.random.default_rng(4)
+    rows = {0: r.normal(size=501).tolist(), 1: [1.0] * 400, 2: [3.0], 3: [2.0, 5.0], 4: [1.0, float("nan"), float("nan")], 5: r.integers(0, 3, 100).astype(float).tolist()}
+    m = spark.createDataFrame([(k, j, x) for k, v in rows.items() for j, x in enumerate(v)] + [(6, 0, None)], "row int, col int, value double").repartition(5)
+    got = {x["row"]: x["value"] for x in matrix.row_medians(m).collect()}
+    assert math.isnan(got.pop(4)) and got == {k: pytest.approx(float(np.median(v))) for k, v in rows.items() if k != 4}
+    assert matrix.row_medians(m.limit(0)).count() == 0
+
+
+def test_a_row_is_spread_over_tasks(spark):
+    """One row of many cells: the ranges from which its median comes hold a part of it each."""
+    from tessera.plans import lineage
+
+    m = spark.range(400_000).selectExpr("0 AS row", "cast(id AS int) AS col", "cast((id * 7919) % 400009 AS double) AS value")
+    spark.conf.set("spark.sql.shuffle.partitions", 16)
+    try:
+        per = lineage.cumulated(m.groupBy("row", "value").agg(F.count("*").alias("c")), "c", "before", "row", "value")
+        assert per.count() == 400_000 and rows_of_tasks(per) < 200_000
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert matrix.row_medians(m).first()["value"] == pytest.approx(float(np.median((np.arange(400_000) * 7919) % 400009)))
+
+
+def test_places_of_one_long_vector(spark):
+    from tessera.plans import lineage
+
+    n = 300_000
+    v = spark.range(n).selectExpr("cast((id * 7919) % 300007 AS int) AS dist", "cast(id % 1000 AS double) AS value").repartition(6)
+    placed = lineage.numbered(v, "place", "dist")
+    assert rows_of_tasks(placed) < 0.5 * n
+    got = [x["place"] for x in placed.orderBy("dist").select("place").collect()]
+    assert got == list(range(n))
+    smooth = decay.rolling_median(v, 2).orderBy("dist").limit(2000).collect()
+    values = [x["value"] for x in v.orderBy("dist").limit(2010).collect()]
+    assert [x["value"] for x in smooth] == plain_median(values, 2)[:2000]
+
+
 def test_overlap_of_features_of_all_widths(spark):
     r = random.Random(3)
 
@@ -163,3 +205,80 @@ def test_exports(spark, tmp_path):
     one = spark.createDataFrame([(2, 5, 6), (1, 7, 9)], "chr_idx int, start long, end long")
     sinks.write_one_dimensional(one, str(tmp_path / "g"))
     assert sorted(r["value"] for r in spark.read.text(str(tmp_path / "g")).collect()) == ["1\t7\t9", "2\t5\t6"]
+
+
+def meets(x, y):
+    m1, m2, w1, w2 = x[2] + (x[3] - x[2]) // 2, x[5] + (x[6] - x[5]) // 2, (x[3] - x[2]) // 2, (x[6] - x[5]) // 2
+    return x[1] == y[1] and y[2] - w1 <= m1 <= y[3] + w1 and y[5] - w2 <= m2 <= y[6] + w2
+
+
+def crowd(n, first, seed):
+    """Nine of ten in one small place, the others anywhere."""
+    r = random.Random(seed)
+    at = lambda: 500_000 + r.randrange(0, 3000) if r.random() < 0.9 else r.randrange(0, 50_000_000)
+    return [(first + i, 1, x := at(), x + r.randrange(1, 60), 1, y := (at() if x > 600_000 else 500_000 + r.randrange(0, 3000)), y + r.randrange(1, 60)) for i in range(n)]
+
+
+def test_tiles_of_a_crowded_place(spark):
+    a, b = crowd(600, 0, 1), crowd(600, 10_000, 2)
+    left, right = spark.createDataFrame(a, BOUNDS), spark.createDataFrame(b, BOUNDS)
+    want = {(x[0], y[0]) for x in a for y in b if meets(x, y)}
+    for most in (20, 200):
+        got = [tuple(x) for x in features.hits(left, right, most).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert {x["feature_id"] for x in features.overlap(left, right, most).collect()} == {x for x, _ in want}
+    points = [(i, 1, 1, x[2] + i % 7, x[5] + i % 3) for i, x in enumerate(a)]
+    asked = spark.createDataFrame(points, "point_id long, chr1_idx int, chr2_idx int, x long, y long")
+    inside = {(p[0], f[0]) for p in points for f in b if f[2] <= p[3] <= f[3] and f[5] <= p[4] <= f[6]}
+    assert {tuple(x) for x in features.containing(right, asked, 50).collect()} == inside and inside
+    stacked = spark.createDataFrame([(i, 1, 0, 1_000_000, 1, 0, 1_000_000) for i in range(150)], BOUNDS)  # one tile, cut into runs
+    assert features.hits(stacked, stacked, 20).distinct().count() == features.hits(stacked, stacked, 20).count() == 150 * 150
+
+
+def test_comparisons_grow_with_the_crowd(spark):
+    """Four times as many in the same density: about four times as many comparisons; the search for any partner needs fewer."""
+    from tessera.operators import tiles
+
+    made = []
+    for n in (500, 2000):
+        r = random.Random(n)
+        side = int(3000 * (n / 500) ** 0.5)
+        rows = [(i, 1, x := 500_000 + r.randrange(0, side), x + 40, 1, y := 500_000 + r.randrange(0, side), y + 40) for i in range(n)] + [(n, 1, 90_000_000, 90_000_001, 1, 90_000_000, 90_000_001)]
+        df = spark.createDataFrame(rows, BOUNDS)
+        mids, rects = features._mids(df), features._rects(df)
+        made.append([f(mids, rects, 100, counted=True).groupBy().sum("compared").first()[0] for f in (tiles.pairs, tiles.those_meeting)])
+    assert made[1][0] < 6 * made[0][0] and made[1][1] < 6 * made[0][1] and made[1][0] < 2000 * 2000 / 20
+    dense = spark.createDataFrame([(i, 1, 0, 1000 + i, 1, 0, 1000) for i in range(3000)], BOUNDS)
+    assert tiles.those_meeting(features._mids(dense), features._rects(dense), 500, counted=True).groupBy().sum("compared").first()[0] <= 3000 * 4 * 6
+
+
+def plain_unique(a, b):
+    have = {(x[1], x[4]) for x in a}
+    there, out = list(a), []
+    for f in sorted(b):
+        if (f[1], f[4]) not in have or not any(meets(f, e) for e in there if e[4] == f[4]):
+            out.append(f[0])
+            if (f[1], f[4]) in have:
+                there.append(f)
+    return {x[0] for x in a} | set(out)
+
+
+@pytest.mark.parametrize("most", [16, 1 << 15])
+def test_unique_features_of_a_crowd(spark, most):
+    a, b = crowd(40, 0, 5), crowd(500, 1000, 6)
+    b += [(9000 + i, 3, i, i + 5, 3, i, i + 5) for i in range(4)]  # a key that a lacks
+    got = features.add_unique(spark.createDataFrame(a, BOUNDS), spark.createDataFrame(b, BOUNDS), most)
+    assert {r["feature_id"] for r in got.collect()} == plain_unique(a, b)
+
+
+def test_a_long_chain_of_rivals_takes_few_jobs(spark):
+    """Each feature meets the one before and the one after; every other one stays."""
+    n = 10_000
+    chain = spark.range(n).selectExpr("id AS feature_id", "1 AS chr1_idx", "id * 10 AS start1", "id * 10 + 12 AS end1", "1 AS chr2_idx", "id * 10 AS start2", "id * 10 + 12 AS end2")
+    far = spark.createDataFrame([(n, 1, 10**9, 10**9 + 1, 1, 10**9, 10**9 + 1)], BOUNDS)
+    spark.sparkContext.setJobGroup("chain", "chain")
+    got = features.add_unique(far, chain)
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("chain"))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert jobs <= 60
+    assert sorted(r["feature_id"] for r in got.collect()) == [*range(0, n, 2), n]
