@@ -119,11 +119,13 @@ def test_a_row_is_spread_over_tasks(spark):
 
     m = spark.range(400_000).selectExpr("0 AS row", "cast(id AS int) AS col", "cast((id * 7919) % 400009 AS double) AS value")
     spark.conf.set("spark.sql.shuffle.partitions", 16)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         per = lineage.cumulated(m.groupBy("row", "value").agg(F.count("*").alias("c")), "c", "before", "row", "value")
         assert per.count() == 400_000 and rows_of_tasks(per) < 200_000
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", 4)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert matrix.row_medians(m).first()["value"] == pytest.approx(float(np.median((np.arange(400_000) * 7919) % 400009)))
 
 
