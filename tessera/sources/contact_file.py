@@ -3,11 +3,12 @@
     register(spark)
     spark.read.format("contactmap").option("table", "contacts").load(path)
 
-path is a file, a folder of files or a list of paths in JSON; each file is read for itself. Tables:
+path is a file, a folder of files, a URL (http or https) or a list of paths in JSON; each file is read for itself. Tables:
 
     chromosomes       idx, name, length
     resolutions       unit, bin_size
     attributes        key, value
+    graphs            section, row, col, value
     matrices          chr1_idx, chr2_idx, unit, bin_size, sum_counts, block_bin_count, block_column_count, n_blocks
     contacts          chr1_idx, chr2_idx, unit, bin_size, bin_x, bin_y, counts
     norm_vectors      norm, chr_idx, unit, bin_size, bin, value
@@ -15,12 +16,15 @@ path is a file, a folder of files or a list of paths in JSON; each file is read
     expected_factors  norm, unit, bin_size, chr_idx, factor
     fragments         chr_idx, site, position
 
-The driver reads headers, footers and the heads of the zoom records: a few rows for each pair of chromosomes, bin size
-and vector. The index of blocks stays where it is: a task is given a run of at most BLOCKS index entries, reads them,
-leaves out blocks outside the region asked for, and decodes the others into Arrow batches. Filters on chr1_idx, chr2_idx, unit,
+Planning reads headers and footers: a few numbers for each pair of chromosomes and each vector. What is found elsewhere, the heads of zoom
+records and of vectors and the index of blocks, is read by tasks, which are given slices of the footer's index; a pair with many blocks is
+given to several tasks, by the size that the footer states, each of which takes a run of about BLOCKS blocks. Only where HEADS pairs or fewer are asked for
+are their zoom records looked up beforehand, so that other bin sizes take no tasks. A task leaves out blocks outside the region asked for and
+decodes the others into Arrow batches. Filters on chr1_idx, chr2_idx, unit,
 bin_size, norm, chr_idx and on bounds of bin_x, bin_y, bin and dist are used to leave out maps, blocks and parts of vectors; Spark applies them again
 to the rows. Versions 6 to 9 are read; anything else is an error when the table is loaded. Missing cells of dense
-blocks and vectors without any number give no rows. An empty map gives an empty table.
+blocks, vectors without any number and expected vectors without factors give no rows. An empty map gives an empty table. graphs are the three sections of numbers in the attribute of
+that name; a text that breaks off gives no rows.
 """
 
 from __future__ import annotations
@@ -37,14 +41,20 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual
 
+from tessera.sources.http import HttpFile
+
 #: The magic string, the versions that are read, and what a dense block holds where there is no record.
 MAGIC, OLDEST, NEWEST, NO_COUNT = "HIC", 6, 9, -32768
 BLOCKS = 256
 VALUES = 1 << 20
+HEADS, SLICE = 64, 1024  # pairs that are looked up when planning; pairs or vectors of a task
+#: The sections of the attribute graphs, with their rows and columns.
+GRAPHS = (("fragment_distance", 2000, 1), ("mapping_quality", 201, 3), ("distance_by_orientation", 100, 4))
 SCHEMAS = {
     "chromosomes": "idx int, name string, length long",
     "resolutions": "unit string, bin_size int",
     "attributes": "key string, value string",
+    "graphs": "section string, row int, col int, value long",
     "matrices": "chr1_idx int, chr2_idx int, unit string, bin_size int, sum_counts double, block_bin_count int, block_column_count int, n_blocks int",
     "contacts": "chr1_idx int, chr2_idx int, unit string, bin_size int, bin_x int, bin_y int, counts float",
     "norm_vectors": "norm string, chr_idx int, unit string, bin_size int, bin long, value double",
@@ -55,7 +65,9 @@ SCHEMAS = {
 TYPES = {"int": pa.int32(), "long": pa.int64(), "float": pa.float32(), "double": pa.float64(), "string": pa.string()}
 
 
-def opened(path: str) -> pa.NativeFile:
+def opened(path: str) -> pa.NativeFile | HttpFile:
+    if path.startswith(("http://", "https://")):
+        return HttpFile(path)
     scheme, _, rest = path.partition(":")
     system, inner = fs.FileSystem.from_uri(f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme)}:{rest}" if rest else path)
     return system.open_input_file(inner)
@@ -64,7 +76,7 @@ def opened(path: str) -> pa.NativeFile:
 class Cursor:
     """Reads little-endian values on from a place, a buffer at a time."""
 
-    def __init__(self, file: pa.NativeFile, at: int = 0, ahead: int = 1 << 16) -> None:
+    def __init__(self, file: pa.NativeFile | HttpFile, at: int = 0, ahead: int = 1 << 16) -> None:
         self.file, self.at, self.ahead, self.end = file, at, ahead, file.size()
         self.buffer, self.first = b"", at
 
@@ -89,7 +101,7 @@ class Cursor:
 
 @dataclass
 class Vector:
-    """Where a vector's values are: those from first to last (excluded) of n."""
+    """Where a vector's values are: those from first to last (excluded) of n. n below 0: its head at that place says how many, and all that are asked for are meant."""
 
     path: str
     labels: tuple
@@ -128,10 +140,10 @@ class Layout:
     chromosomes: list[tuple[int, str, int]] = field(default_factory=list)
     resolutions: list[tuple[str, int]] = field(default_factory=list)
     fragments: list[Vector] = field(default_factory=list)
-    matrices: dict[str, int] = field(default_factory=dict)
+    matrices: dict[str, tuple[int, int]] = field(default_factory=dict)
     expected: list[Vector] = field(default_factory=list)
     factors: list[tuple] = field(default_factory=list)
-    vectors: list[tuple[tuple, int]] = field(default_factory=list)
+    vectors: list[tuple[tuple, int, int]] = field(default_factory=list)
 
     @property
     def float_kind(self) -> str:
@@ -168,15 +180,15 @@ def layout_of(path: str) -> Layout:
         c = Cursor(file, footer)
         vectors_at = c.value(own.size_kind) + c.at
         for _ in range(c.value("i")):
-            key, at, _ = c.text(), c.value("q"), c.value("i")
-            own.matrices[key] = at
+            key = c.text()
+            own.matrices[key] = c.value("q"), c.value("i")
         _expected(own, c, False)
         if vectors_at < file.size():
             c.at = vectors_at
             _expected(own, c, True)
             for _ in range(c.value("i")):
-                norm, chr_idx, unit, bin_size, at, _ = c.text(), c.value("i"), c.text(), c.value("i"), c.value("q"), c.value(own.size_kind)
-                own.vectors.append(((norm, chr_idx, unit, bin_size), at))
+                labels = c.text(), c.value("i"), c.text(), c.value("i")
+                own.vectors.append((labels, c.value("q"), c.value(own.size_kind)))
     return own
 
 
@@ -184,30 +196,43 @@ def _expected(own: Layout, c: Cursor, labelled: bool) -> None:
     for _ in range(c.value("i")):
         labels = (c.text() if labelled else "NONE", c.text(), c.value("i"))
         n = c.value(own.size_kind)
-        own.expected.append(Vector(own.path, labels, c.at, n, own.float_kind, 0, n))
+        vector = Vector(own.path, labels, c.at, n, own.float_kind, 0, n)
         c.at += n * struct.calcsize(own.float_kind)
-        own.factors += [(*labels, c.value("i"), c.value(own.float_kind)) for _ in range(c.value("i"))]
+        factors = [(*labels, c.value("i"), c.value(own.float_kind)) for _ in range(c.value("i"))]
+        own.expected += [vector] if factors else []
+        own.factors += factors
 
 
-def zooms_of(own: Layout, wanted) -> Iterator[Zoom]:
-    """The maps of the pairs for which wanted(chr1, chr2) holds."""
-    with opened(own.path) as file:
-        for key, at in own.matrices.items():
-            first, _, second = key.partition("_")
-            if first.isdigit() and second.isdigit() and not wanted(int(first), int(second)):
-                continue
-            c = Cursor(file, at, 256)
-            chr1, chr2 = c.value("i"), c.value("i")
-            if not (0 <= chr1 < len(own.chromosomes) and 0 <= chr2 < len(own.chromosomes)):
-                continue
-            for _ in range(c.value("i")):
-                unit = c.text()
-                c.take(4)
-                total = c.value("f")
-                c.take(12)
-                bin_size, block_bins, columns, n = (c.value("i") for _ in range(4))
-                yield Zoom(own.path, own.version, chr1, chr2, unit, bin_size, float(total), block_bins, columns, n, c.at)
-                c.at += 16 * n
+def zooms_at(file: pa.NativeFile | HttpFile, path: str, version: int, n_chromosomes: int, at: int) -> Iterator[Zoom]:
+    """The maps of a pair whose record is at a place; none for a pair of unknown chromosomes."""
+    c = Cursor(file, at, 256)
+    chr1, chr2 = c.value("i"), c.value("i")
+    if not (0 <= chr1 < n_chromosomes and 0 <= chr2 < n_chromosomes):
+        return
+    for _ in range(c.value("i")):
+        unit = c.text()
+        c.take(4)
+        total = c.value("f")
+        c.take(12)
+        bin_size, block_bins, columns, n = (c.value("i") for _ in range(4))
+        yield Zoom(path, version, chr1, chr2, unit, bin_size, float(total), block_bins, columns, n, c.at)
+        c.at += 16 * n
+
+
+def graphs_of(text: str) -> list[tuple[str, int, int, int]]:
+    """section, row, col, value of the numbers after each opening bracket; nothing if any is missing or no whole number."""
+    words, at, rows = text.split(), 0, []
+    try:
+        for name, n_rows, n_columns in GRAPHS:
+            at = words.index("[", at) + 1
+            numbers = [int(w) for w in words[at : at + n_rows * n_columns]]
+            if len(numbers) < n_rows * n_columns or not all(-(1 << 63) <= x < 1 << 63 for x in numbers):
+                return []
+            rows += [(name, i // n_columns, i % n_columns, x) for i, x in enumerate(numbers)]
+            at += len(numbers)
+    except ValueError:
+        return []
+    return rows
 
 
 def decoded(block: bytes, version: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -272,6 +297,18 @@ class Blocks(InputPartition):
     y: tuple[float, float]
 
 
+@dataclass
+class Pairs(InputPartition):
+    """Records of pairs of chromosomes; of their blocks, counted over all of them, those from first to last (None: the end)."""
+
+    path: str
+    version: int
+    n_chromosomes: int
+    records: list[int]
+    first: int = 0
+    last: int | None = None
+
+
 @dataclass
 class Values(InputPartition):
     vectors: list[Vector]
@@ -319,30 +356,59 @@ class ContactMapReader(DataSourceReader):
                 yield Rows(own.attributes)
             case "expected_factors":
                 yield Rows(own.factors)
+            case "graphs":
+                yield Rows([r for key, text in own.attributes if key == "graphs" for r in graphs_of(text)])
             case "matrices" | "contacts":
-                zooms = zooms_of(own, lambda a, b: self._asked(chr1_idx=a, chr2_idx=b))
-                zooms = [z for z in zooms if self._asked(chr1_idx=z.chr1, chr2_idx=z.chr2, unit=z.unit, bin_size=z.bin_size)]
-                if self.table == "matrices":
-                    yield Rows([(z.chr1, z.chr2, z.unit, z.bin_size, z.sum_counts, z.block_bins, z.columns, z.n_blocks) for z in zooms])
-                    return
-                everything = (-np.inf, np.inf)
-                for z in zooms:
-                    for first in range(0, z.n_blocks, BLOCKS):
-                        yield Blocks(z, first, min(z.n_blocks, first + BLOCKS), self.bounds.get("bin_x", everything), self.bounds.get("bin_y", everything))
+                wanted = [(at, size) for key, (at, size) in own.matrices.items() if self._named(key)]
+                yield from self._looked_up(own, wanted) if len(wanted) <= HEADS and self.table == "contacts" else self._dealt(own, wanted)
             case "fragments":
                 yield from (p for v in own.fragments if self._asked(chr_idx=v.labels[0]) for p in self._parts([v], "site", False))
             case "expected":
                 wanted = [v for v in own.expected if self._asked(norm=v.labels[0], unit=v.labels[1], bin_size=v.labels[2])]
                 yield from self._parts(wanted, "dist", False)
             case "norm_vectors":
-                wanted = [(labels, at) for labels, at in own.vectors if self._asked(norm=labels[0], chr_idx=labels[1], unit=labels[2], bin_size=labels[3])]
-                with opened(own.path) as file:
-                    found = []
-                    for labels, at in wanted:
-                        c = Cursor(file, at, 16)
-                        n = c.value(own.size_kind)
-                        found.append(Vector(own.path, labels, c.at, n, own.float_kind, 0, n))
-                yield from self._parts(found, "bin", True)
+                wanted = [(labels, at, size) for labels, at, size in own.vectors if self._asked(norm=labels[0], chr_idx=labels[1], unit=labels[2], bin_size=labels[3])]
+                some, held = [], 0
+                for labels, at, size in wanted:
+                    some.append(Vector(own.path, labels, at, -1, own.size_kind + own.float_kind))
+                    held += max(size, 0)
+                    if held >= VALUES * struct.calcsize(own.float_kind) or len(some) == SLICE:
+                        yield Values(some, True)
+                        some, held = [], 0
+                if some:
+                    yield Values(some, True)
+
+    def _named(self, key: str) -> bool:
+        """Whether a pair, as the footer names it, may be asked for."""
+        first, _, second = key.partition("_")
+        return not (first.isdigit() and second.isdigit()) or self._asked(chr1_idx=int(first), chr2_idx=int(second))
+
+    def _wanted(self, z: Zoom) -> bool:
+        return self._asked(chr1_idx=z.chr1, chr2_idx=z.chr2, unit=z.unit, bin_size=z.bin_size)
+
+    def _looked_up(self, own: Layout, wanted: list[tuple[int, int]]) -> Iterator[Blocks]:
+        everything = (-np.inf, np.inf)
+        with opened(own.path) as file:
+            for z in (z for at, _ in wanted for z in zooms_at(file, own.path, own.version, len(own.chromosomes), at) if self._wanted(z)):
+                for first in range(0, z.n_blocks, BLOCKS):
+                    yield Blocks(z, first, min(z.n_blocks, first + BLOCKS), self.bounds.get("bin_x", everything), self.bounds.get("bin_y", everything))
+
+    def _dealt(self, own: Layout, wanted: list[tuple[int, int]]) -> Iterator[Pairs]:
+        """Records in slices of about BLOCKS blocks; a larger one is shared out. A record's size is hardly more than its blocks' entries in the index."""
+        made = lambda records, *run: Pairs(own.path, own.version, len(own.chromosomes), records, *run)
+        some, held = [], 0
+        for at, size in wanted:
+            shares = -(-size // (16 * BLOCKS)) if self.table == "contacts" else 1
+            if shares > 1:
+                yield from (made([at], i * BLOCKS, (i + 1) * BLOCKS if i < shares - 1 else None) for i in range(shares))
+                continue
+            some.append(at)
+            held += max(size, 0) // 16 if self.table == "contacts" else 0
+            if held >= BLOCKS or len(some) == SLICE:
+                yield made(some)
+                some, held = [], 0
+        if some:
+            yield made(some)
 
     def _parts(self, vectors: list[Vector], place: str, absent_if_nan: bool) -> Iterator[Values]:
         """Vectors cut to the places asked for and dealt to parts of about VALUES values; one that may be absent is not split."""
@@ -368,10 +434,37 @@ class ContactMapReader(DataSourceReader):
             yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(columns, schema)], schema=schema)
         elif isinstance(partition, Values):
             for v in partition.vectors:
-                yield from self._values(v, schema, partition.absent_if_nan)
+                yield from self._values(self._headed(v) if v.n < 0 else v, schema, partition.absent_if_nan)
+        elif isinstance(partition, Pairs):
+            yield from self._records(partition, schema)
         elif isinstance(partition, Blocks):
             yield from self._blocks(partition, schema)
 
+    def _headed(self, v: Vector) -> Vector:
+        low, high = self.bounds.get("bin", (-np.inf, np.inf))
+        with opened(v.path) as file:
+            c = Cursor(file, v.at, 16)
+            n = c.value(v.kind[0])
+        first, last = int(max(0, low)), int(min(n, high + 1))
+        return Vector(v.path, v.labels, c.at, n, v.kind[1], first, max(first, last))
+
+    def _records(self, part: Pairs, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        everything = (-np.inf, np.inf)
+        region = self.bounds.get("bin_x", everything), self.bounds.get("bin_y", everything)
+        rows, done = [], 0
+        with opened(part.path) as file:
+            for z in (z for at in part.records for z in zooms_at(file, part.path, part.version, part.n_chromosomes, at)):
+                first, last = max(part.first - done, 0), z.n_blocks if part.last is None else min(z.n_blocks, part.last - done)
+                done += z.n_blocks
+                if not self._wanted(z):
+                    continue
+                if self.table == "matrices":
+                    rows.append((z.chr1, z.chr2, z.unit, z.bin_size, z.sum_counts, z.block_bins, z.columns, z.n_blocks))
+                elif first < last:
+                    yield from self._blocks(Blocks(z, first, last, *region), schema)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), schema)], schema=schema)
+
     @staticmethod
     def _values(v: Vector, schema: pa.Schema, absent_if_nan: bool) -> Iterator[pa.RecordBatch]:
         dtype = np.dtype("<" + {"i": "i4", "f": "f4", "d": "f8"}[v.kind])
@@ -416,6 +509,8 @@ class ContactMapSource(DataSource):
 
 def paths_of(path: str) -> list[str]:
     """The files that a path means: itself, a folder's files in the order of their names, or a JSON list's."""
+    if path.startswith(("http://", "https://")):
+        return [path]
     if path.startswith("["):
         return [p for one in json.loads(path) for p in paths_of(one)]
     scheme, colon, rest = path.partition(":")
