@@ -12,8 +12,10 @@ that below.
 Equal sets are one from the start. All sets that share a key are candidates, but a pair is compared only if no links join
 it already. First each set is compared with one other: of the sets that come first under its keys that with which it shares most
 keys. Then it is compared with up to LEADERS sets of other groups, each key putting another set first, and that TURNS times. Last,
-under each key the sets outside its largest group are compared with all that are in another group than their own. So groups are those of
-all candidates, and a large group costs a few comparisons for each of its sets, also where many of its pairs are not similar.
+under each key of up to FEW sets those outside its largest group are compared with all that are in another group than their own. Sets
+of more crowded keys meet at their rare shingles instead: in the order of how many of these sets have a shingle, similar sets share one among the
+first ones, and have enough left after it. That loses no pair, and pages of one template, which share only what all of them have, are not compared at all. So groups are those of
+all candidates, and a large group costs a few comparisons for each of its sets.
 
 Texts without words are one group. Sets of three shingles or fewer are similar to equal ones only and have no keys. Rows
 that share doc_id and text are one document; rows that share only doc_id are different ones. A group's first document is that
@@ -42,6 +44,7 @@ SEGMENTS, NEAREST, TOGETHER = 14, 1, 2
 PLACES = SEGMENTS * 23
 ALIKE = 0.8
 LEADERS, TURNS = 8, 1
+FEW = 8  # sets of a key of which all pairs may be compared
 FANOUT = 1000  # pairs of one set that are compared in one task
 PIECE = 100_000  # bytes of text at once
 ROWS = 512  # sketches at once
@@ -194,16 +197,43 @@ def links(sets: DataFrame, shingled: Callable[[DataFrame], DataFrame], least: fl
         best = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("count"), F.xxhash64("a", "b")))
         return counted.withColumn("at", best).where(F.col("at") <= most).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
-    def across_groups(rows: DataFrame) -> DataFrame:
-        """All pairs of a key's sets that are in different groups: the sets outside the key's largest group with all others."""
+    def across_groups(rows: DataFrame, more: tuple[str, ...] = (), meet=F.lit(True)) -> DataFrame:
+        """All pairs of a key's sets that are in different groups and meet: the sets outside the key's largest group with all others. rows: s, key, n, root and more."""
         largest = rows.groupBy("s", "root").count().groupBy("s").agg(F.max(F.struct("count", "root")).alias("l")).select("s", F.col("l.root").alias("main"))
-        outside = rows.join(largest, "s").where(F.col("root") != F.col("main")).select("s", F.col("key").alias("a"), F.col("n").alias("an"), F.col("root").alias("aroot"))
-        return ordered(outside.join(rows.select("s", F.col("key").alias("b"), F.col("n").alias("bn"), "root"), "s").where(F.col("root") != F.col("aroot")))
+        outside = rows.join(largest, "s").where(F.col("root") != F.col("main")).select("s", F.col("key").alias("a"), *(F.col(c).alias("a" + c) for c in ("n", "root", *more)))
+        return ordered(outside.join(rows.select("s", F.col("key").alias("b"), F.col("n").alias("bn"), "root", *(F.col(c).alias("b" + c) for c in more)), "s").where((F.col("root") != F.col("aroot")) & meet & fits))
+
+    def by_rare_shingles(rows: DataFrame) -> DataFrame:
+        """Pairs of sets (key, n, root) in different groups that may be similar, by their rare shingles.
+
+        A set's shingles are put in the order of how many of the sets have them. Two sets share no shingle before their first common one, at places
+        i and j; so they share at most one and what both have after it, which for similar sets is enough. That
+        shingle is among the first ones, one more than a similar set may lack.
+        """
+        own = rows.groupBy("key", "n", "root").count().drop("count")
+        each = common.save(shingled(own.select("key")).select("key", F.explode("value").alias("s")), "shingles")
+        shared = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
+        known = each.join(shared, "s").join(own, "key")  # those of one set alone come first and meet nothing
+        place = F.row_number().over(Window.partitionBy("key").orderBy("df", "s"))
+        alone = F.col("n") - F.count("*").over(Window.partitionBy("key"))
+        most = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-6) + 1
+        kept = common.save(known.withColumn("at", alone + place).where(F.col("at") <= most).select("s", "key", "n", "root", "at"), "rare-shingles")
+        common.drop_saved(each)
+        after = F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat"))
+        return across_groups(kept, ("at",), 1 + after + 1e-6 >= least / (1 + least) * (F.col("an") + F.col("bn")))
+
+    def across(rows: DataFrame) -> DataFrame:
+        """The pairs of keys of few sets; the sets of crowded keys meet at rare shingles, which unlike sets of one template don't share."""
+        sized = rows.join(rows.groupBy("s").agg(F.count("*").alias("size")), "s")
+        crowd = common.save(sized.where(F.col("size") > FEW).select("key", "n", "root").distinct(), "crowded-sets")
+        few = sized.where(F.col("size") <= FEW).drop("size").join(crowd.select("key", F.lit(1).alias("crowded")), "key", "left").fillna(0, ["crowded"])
+        pairs = across_groups(few, ("crowded",), F.col("acrowded") + F.col("bcrowded") < 2)
+        return pairs if crowd.isEmpty() else pairs.unionByName(by_rare_shingles(crowd))
 
     tried = common.save(to_leaders(keyed.withColumn("root", F.col("key")), F.col("key"), 1), "compared-pairs")
     found = verified(tried)
     by_turns = lambda turn: lambda rows: to_leaders(rows, F.xxhash64("key", "s", F.lit(turn)), LEADERS)
-    for step in (*map(by_turns, range(TURNS)), across_groups):
+    for step in (*map(by_turns, range(TURNS)), across):
         rows = keyed.join(components(found), F.col("key") == F.col("node"), "left").select("s", "key", "n", F.coalesce("root", "key").alias("root"))
         rows = common.save(rows, "grouped-sets")
         still = common.save(rows.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s"), "open-keys")

@@ -5,6 +5,7 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pytest
 
 from tessera.llm import golay, near_dups
 
@@ -69,6 +70,27 @@ def test_a_large_group_costs_few_comparisons(spark, monkeypatch):
     assert sum(compared) <= 8 * len(texts)
 
 
+@pytest.mark.parametrize("n", [150, 600])
+def test_pages_of_a_template_are_not_compared_in_pairs(spark, monkeypatch, n):
+    """150 words of a template and 40 of their own: similarity 0.65, so keys are crowded and nothing is to be linked. A few pairs of similarity above 0.8 are."""
+    r = random.Random(n)
+    template = [f"t{i}" for i in range(150)]
+    texts = [" ".join(template[:75] + [f"w{r.randrange(10**9)}" for _ in range(40)] + template[75:]) for _ in range(n)]
+    twins = [texts[i] + " more" for i in range(0, n, 30)]
+    compared = []
+    both = near_dups._both
+
+    def counted(pairs, values):
+        compared.append(pairs.count())
+        return both(pairs, values)
+
+    monkeypatch.setattr(near_dups, "_both", counted)
+    got = near_dups.near_duplicates(spark.createDataFrame(list(enumerate(texts + twins)), "doc_id long, text string")).collect()
+    first = {x["doc_id"]: x["first_id"] for x in got}
+    assert [first[n + k] for k in range(len(twins))] == list(range(0, n, 30)) and all(first[i] == i for i in range(n))
+    assert sum(compared) <= 30 * n  # with each turn's leaders, for both measures of likeness
+
+
 def test_sketches_and_keys():
     r = np.random.default_rng(0)
     sets = [np.unique(r.integers(0, 2**63, n).astype(np.uint64)) for n in (1, 3, 255, 256, 5000, 70_000, 0, 510)]
