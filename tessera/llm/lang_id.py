@@ -12,7 +12,8 @@ A language is the first part of a declaration, of two or three letters ("de" of
 other declarations are one more kind of declaration and no language. The trigram model is fitted on SAMPLE rows
 at most of each language, those of smallest hashed key, however rare it is; all counts and priors are over all rows. The
 model has MODEL numbers at most: many languages share fewer trigram places. Without declared languages
-no row has a language and all are rejected. Missing declarations, hosts and suffixes are no evidence; a null or empty text
+no row has a language and all are rejected. Shares, priors and declarations are kept as rows of (language, count) that occur; the
+driver sees a number a language. Missing declarations, hosts and suffixes are no evidence; a null or empty text
 is rejected. Texts have a space before and after them, so a single letter is a trigram. Rows are judged each for
 itself, so repeated rows agree. The priors are a table of one row a host, joined as its size allows. The result has the input's
 columns and lang_id, lang_posterior and lang_kept, which replace those of their names.
@@ -38,6 +39,8 @@ TEMPER = 50
 STRENGTH = 20.0  # texts that a prior one level up counts as
 KEEP = 0.6
 PIECE = 500_000
+NUMBERS = 1 << 21
+LEAST_SHARE = 1e-6  # of a text's probability; less is not counted
 SPACE = 0x20
 ADDED = ("lang_id", "lang_posterior", "lang_kept")
 
@@ -81,8 +84,12 @@ def declared_language(declared: Column) -> Column:
 def fit_text(rows: DataFrame, sample: int = SAMPLE) -> tuple[list[str], np.ndarray]:
     """The languages and, for each of them, the log probabilities of all trigram places. rows: key, lang, text."""
     rows = rows.where("lang IS NOT NULL")
+    # languages with many keys are cut by a share of the hashes first, twice the room that counting them roughly needs, so that no task sorts a language
+    many = rows.groupBy("lang").agg(F.approx_count_distinct("key", 0.02).alias("keys"))
+    small = (F.xxhash64("key") / F.lit(2.0**64) + 0.5) * F.col("keys") <= 1.25 * sample + 50
     in_order = Window.partitionBy("lang").orderBy(F.xxhash64("key"), "key")
-    chosen = rows.select("key", "lang").distinct().withColumn("at", F.row_number().over(in_order)).where(F.col("at") <= sample).select("key", "lang")
+    keys = rows.select("key", "lang").join(F.broadcast(many), "lang").where(small).select("key", "lang").distinct()  # many: a row a language
+    chosen = keys.withColumn("at", F.row_number().over(in_order)).where(F.col("at") <= sample).select("key", "lang")
     picked = rows.join(common.beside(common.save(chosen, "sampled-keys")), ["key", "lang"])
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,6 +133,21 @@ def _fuse(texts: pa.Array, model: np.ndarray, prior: np.ndarray) -> tuple[np.nda
     return total / total.sum(axis=1, keepdims=True), np.concatenate(letters)
 
 
+def _runs(rows: int, n: int) -> list[slice]:
+    """Rows a few at a time, so that a number a row and language fits."""
+    step = max(1, NUMBERS // max(1, n))
+    return [slice(at, min(rows, at + step)) for at in range(0, rows, step)]
+
+
+def _dense(lists: pa.Array, n: int) -> np.ndarray:
+    """A row of n numbers of each list of (l, n); null is an empty list."""
+    lists = pc.if_else(pc.is_valid(lists), lists, pa.scalar([], lists.type))
+    out, entries = np.zeros((len(lists), n)), lists.flatten()
+    row = np.repeat(np.arange(len(lists)), np.asarray(lists.value_lengths()))
+    out[row, np.asarray(entries.field("l"))] = np.asarray(entries.field("n"))
+    return out
+
+
 def identify(docs: DataFrame, key: str, text: Column, declared: Column, host: Column) -> DataFrame:
     """docs with lang_id (null if there is none), lang_posterior and lang_kept."""
     spark, columns = docs.sparkSession, docs.columns
@@ -138,50 +160,58 @@ def identify(docs: DataFrame, key: str, text: Column, declared: Column, host: Co
     shared = spark.sparkContext.broadcast(model)  # MODEL numbers at most
     index = {lang: i for i, lang in enumerate(languages)}
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf("array<struct<l:int,p:double>>")
     def by_text(texts: pa.Array) -> pa.Array:
-        p, letters = _fuse(texts, shared.value, np.zeros(n))
-        return pa.FixedSizeListArray.from_arrays(pa.array((p * letters[:, None]).ravel()), n).cast(pa.list_(pa.float64()))
+        parts = []
+        for some in _runs(len(texts), n):
+            p, letters = _fuse(texts[some], shared.value, np.zeros(n))
+            row, at = np.nonzero((p > LEAST_SHARE) & letters[:, None])
+            ends = np.searchsorted(row, np.arange(len(p) + 1))
+            entries = pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(p[row, at])], names=["l", "p"])
+            parts.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), entries))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.struct([("l", pa.int32()), ("p", pa.float64())])))
 
     suffix = F.regexp_extract("host", r"\.([A-Za-z]+)(?::\d+)?$", 1)
-    sums = [F.sum(F.get("p", F.lit(i))).alias(f"n{i}") for i in range(n)]
-    again = [F.sum(f"n{i}").alias(f"n{i}") for i in range(n)]
     known = F.coalesce("lang", F.when(F.col("declared").isNotNull(), F.lit("?")))
-    first = docs.select("host", suffix.alias("suffix"), known.alias("declared"), by_text("text").alias("p"))
-    counts = common.save(first.groupBy("suffix", "host", "declared").agg(*sums), "language-counts")
-    by_suffix = counts.groupBy(F.coalesce("suffix", F.lit("")).alias("suffix")).agg(*again)
-    said = {r["declared"]: np.array([r[f"n{i}"] for i in range(n)]) for r in counts.where("declared IS NOT NULL").groupBy("declared").agg(*again).collect()}  # a row a language
-    whole = counts.agg(*again).first()
-    everywhere = np.array([whole[i] or 0.0 for i in range(n)]) + 1
-    everywhere /= everywhere.sum()
-    says = np.zeros((n + 2, n))  # a row for each declared language, any other, and none
-    for name, row in [*index.items(), ("?", n)]:
-        says[row] = said.get(name, 0.0)
-    says[: n + 1] = np.log((says[: n + 1] + 1) / (says[: n + 1] + 1).sum(axis=0))
+    first = docs.select("host", suffix.alias("suffix"), known.alias("declared"), F.explode(by_text("text")).alias("p"))
+    counts = common.save(first.groupBy("suffix", "host", "declared", "p.l").agg(F.sum("p.p").alias("n")), "language-counts")
+    listed = F.collect_list(F.struct("l", "n"))  # an entry a language at most
 
-    def smoothed(up) -> Column:
-        total = sum((F.col(f"n{i}") for i in range(1, n)), F.col("n0"))
-        return F.array(*((F.col(f"n{i}") + STRENGTH * up(i)) / (total + STRENGTH) for i in range(n)))
+    def by_language(rows: DataFrame) -> np.ndarray:
+        out = np.zeros(n)
+        for r in rows.groupBy("l").agg(F.sum("n").alias("n")).collect():  # a row a language
+            out[r["l"]] = r["n"]
+        return out
 
-    suffixes = by_suffix.select("suffix", smoothed(lambda i: F.lit(float(everywhere[i]))).alias("up"))
-    hosts = counts.where("host IS NOT NULL").groupBy("suffix", "host").agg(*again).join(suffixes, "suffix")
-    priors = common.save(hosts.select("host", smoothed(lambda i: F.get("up", F.lit(i))).alias("prior")), "language-priors")
+    everywhere = by_language(counts) + 1
+    everywhere /= everywhere.sum()
+    told = counts.where("declared IS NOT NULL")
+    base = -np.log(by_language(told) + n + 1)  # of a declaration that no text of the language has
+    says = common.save(told.groupBy("declared", "l").agg(F.sum("n").alias("n")).groupBy("declared").agg(listed.alias("says")), "declarations").withColumnRenamed("declared", "known")
+    by_suffix = counts.groupBy(F.coalesce("suffix", F.lit("")).alias("suffix"), "l").agg(F.sum("n").alias("n")).groupBy("suffix").agg(F.sum("n").alias("of_suffix"), listed.alias("at_suffix"))
+    by_host = counts.where("host IS NOT NULL").groupBy("suffix", "host", "l").agg(F.sum("n").alias("n")).groupBy("suffix", "host").agg(F.sum("n").alias("of_host"), listed.alias("at_host"))
+    priors = common.save(by_host.join(by_suffix, "suffix").drop("suffix"), "language-priors")
 
     @F.arrow_udf("lang_id string, lang_posterior double, lang_kept boolean")
-    def judge(texts: pa.Array, declared: pa.Array, prior: pa.Array) -> pa.Array:
-        log_prior = np.tile(np.log(everywhere), (len(texts), 1))
-        has = np.asarray(pc.is_valid(prior))
-        if has.any():
-            log_prior[has] = np.log(np.asarray(prior.flatten(), np.float64).reshape(-1, n))
-        row = [n + 1 if d is None else index.get(d, n) for d in declared.to_pylist()]
-        p, letters = _fuse(texts, shared.value, log_prior + says[row])
-        best = p.argmax(axis=1) if len(p) else np.empty(0, np.int64)
-        most = p[np.arange(len(p)), best]
-        names = pa.array(np.array(languages, object)[best], pa.string(), mask=~letters) if len(p) else pa.array([], pa.string())
-        return pa.StructArray.from_arrays([names, pa.array(np.where(letters, most, 0.0)), pa.array(letters & (most >= KEEP))], names=["lang_id", "lang_posterior", "lang_kept"])
-
-    joined = docs.join(priors, "host", "left").withColumn("known", known)
-    return common.together(joined.select("row", judge("text", "known", "prior").alias("got")).select("row", "got.*"), columns, *ADDED)
+    def judge(texts: pa.Array, declared: pa.Array, said: pa.Array, of_host: pa.Array, at_host: pa.Array, of_suffix: pa.Array, at_suffix: pa.Array) -> pa.Array:
+        parts = []
+        for some in _runs(len(texts), n):
+            one, two = (STRENGTH / (np.asarray(pc.fill_null(x[some], 0.0))[:, None] + STRENGTH) for x in (of_host, of_suffix))
+            up = (_dense(at_suffix[some], n) / STRENGTH + everywhere) * two
+            prior = (_dense(at_host[some], n) / STRENGTH + np.where(np.asarray(pc.is_valid(of_host[some]))[:, None], up, everywhere)) * one
+            log_prior = np.log(prior)
+            log_prior[np.asarray(pc.is_valid(declared[some]))] += base
+            p, letters = _fuse(texts[some], shared.value, log_prior + np.log1p(_dense(said[some], n)))
+            best = p.argmax(axis=1) if len(p) else np.empty(0, np.int64)
+            most = p[np.arange(len(p)), best]
+            names = pa.array(np.array(languages, object)[best], pa.string(), mask=~letters)
+            parts.append(pa.StructArray.from_arrays([names, pa.array(np.where(letters, most, 0.0)), pa.array(letters & (most >= KEEP))], names=["lang_id", "lang_posterior", "lang_kept"]))
+        return pa.concat_arrays(parts) if parts else pa.array([], pa.struct([("lang_id", pa.string()), ("lang_posterior", pa.float64()), ("lang_kept", pa.bool_())]))
+
+    joined = docs.withColumn("known", known).join(priors, "host", "left")
+    joined = joined.join(F.broadcast(says) if counts.count() <= common.BROADCAST_ROWS else says, "known", "left")
+    judged = judge("text", "known", "says", "of_host", "at_host", "of_suffix", "at_suffix").alias("got")
+    return common.together(joined.select("row", judged).select("row", "got.*"), columns, *ADDED)
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
