@@ -115,10 +115,11 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int = SAMPLE) -> np.ndarray:
-    """Weights learnt from at most sample labelled rows that are not held out."""
-    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label")).where("label IS NOT NULL AND id IS NOT NULL")
-    chosen = known.where(~held_out(F.col("id"))).groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    """Weights learnt from at most sample labelled rows of docs that are not held out."""
     own = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label")).where("label IS NOT NULL AND id IS NOT NULL")
+    known = known.where(~held_out(F.col("id"))).join(own.select("id"), "id", "left_semi")  # labels of other documents use up no part of the sample
+    chosen = known.groupBy("id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("id"), "id").limit(sample)
     rows = own.join(F.broadcast(chosen), "id")  # sample rows of two numbers at most
 
     def extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
