@@ -42,6 +42,7 @@ SAMPLE = 65_536
 MEMBERS_A_LIST = 16  # of the sample's first half, at least
 REPLICAS = 4
 BOUNDARY = 1.15
+FARTHEST = 1e300  # a ratio that any list is within
 TARGET = 0.94
 NEIGHBOURS = 24
 WALK = 32  # centroids that a walk keeps in view
@@ -152,13 +153,16 @@ def _calibrate(index: Index, x: np.ndarray, k: int, target: float) -> dict[int,
         holds[first + row, at] = True
     d = index.distances(index.split(asked)[0])
     reach = index.reference(d)
-    needed = np.stack([np.where(holds[b], one, np.inf).min(axis=1) / r for b, one, r in zip(back.reshape(true.shape), d, reach)])
+    nearest = np.stack([np.where(holds[b], one, np.inf).min(axis=1) for b, one in zip(back.reshape(true.shape), d)])
+    # one that lies on a centroid is at no distance from its own lists and infinitely far from all others
+    needed = np.divide(nearest, reach[:, None], out=np.where(nearest > 0, np.inf, 1.0), where=reach[:, None] > 0)
     of_shell = shells[back.reshape(true.shape)]
     ratios = {}
     for s in np.unique(of_shell):
         own = needed[of_shell == s]
         # few neighbours tell little about the rest of their shell, so more of them must be found
-        ratios[int(s)] = float(np.quantile(own, min(1.0, target + 0.5 / math.sqrt(len(own))))) + 1e-9
+        least = np.sort(own)[math.ceil(min(1.0, target + 0.5 / math.sqrt(len(own))) * (len(own) - 1))]
+        ratios[int(s)] = min(float(least), FARTHEST) + 1e-9
     return ratios
 
 
