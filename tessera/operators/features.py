@@ -198,8 +198,16 @@ def set_attribute(features: DataFrame, key: str, value: Column, only_if_missing:
     return features.withColumn("attributes", F.when(F.map_contains_key(own, F.lit(key)), own).otherwise(new) if only_if_missing else new)
 
 
-def attribute(key: str) -> Column:
-    return F.try_element_at("attributes", F.lit(key))
+def attribute(key: str, kind: str = "string") -> Column:
+    """An attribute as text, or as a number of a kind; null if it is missing or no such number."""
+    return F.try_element_at("attributes", F.lit(key)).try_cast(kind)
+
+
+def with_defaults(features: DataFrame, defaults: dict[str, str]) -> DataFrame:
+    """Features as they are added to a list that has default attributes: those that are missing get them."""
+    for key, value in defaults.items():
+        features = set_attribute(features, key, F.lit(value), only_if_missing=True)
+    return features
 
 
 def attribute_keys() -> Column:
