@@ -11,7 +11,7 @@ from tessera.plans.lineage import new_folder
 from tessera.plans.register import query
 from tessera.sinks import contact_file as sink
 from tessera.sources import contact_file, derived
-from tessera.sources.derived import CONTACTS
+from tessera.sources.derived import CONTACTS, MONTHS
 
 
 def _files(spark: SparkSession, d: str, version: int) -> str:
@@ -39,6 +39,9 @@ def contact_file_matrices(spark: SparkSession, d: str) -> DataFrame:
     return contact_file.read(spark, _files(spark, d, 9), "matrices").groupBy("chr1_idx", "chr2_idx", "bin_size").agg(F.sum("sum_counts").alias("sum_counts"))
 
 
-@query("SELECT idx::INTEGER AS idx, name, length::BIGINT AS length FROM (VALUES (0, 'ALL', 0), (1, 'click', 2592000), (2, 'error', 2592000), (3, 'purchase', 2592000), (4, 'signup', 2592000), (5, 'view', 2592000)) t(idx, name, length)")
+@query(f"WITH {MONTHS} SELECT 0 AS idx, 'ALL' AS name, 0::BIGINT AS length UNION ALL SELECT * FROM chromosomes")
 def contact_file_chromosomes(spark: SparkSession, d: str) -> DataFrame:
-    return contact_file.read(spark, _files(spark, d, 8), "chromosomes").distinct()
+    """The genome of months, as the headers of files have it."""
+    months = [(r["name"], r["length"]) for r in derived.months(spark, d).orderBy("idx").collect()]  # a row a chromosome
+    written = sink.write_contacts(derived.contacts(spark, d), [("ALL", 0), *months], new_folder(spark), "months", 8, 64)
+    return contact_file.read(spark, [r[0] for r in written.collect()], "chromosomes").distinct()

@@ -21,6 +21,29 @@ def chromosomes(spark: SparkSession) -> DataFrame:
 CHROMOSOMES = "chromosomes AS (SELECT idx::INTEGER AS idx, name, 2592000::BIGINT AS length FROM (VALUES (1, 'click'), (2, 'error'), (3, 'purchase'), (4, 'signup'), (5, 'view')) t(idx, name))"
 
 
+def months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A genome whose chromosomes are the months of orders, as long as they have orders; Decembers stand for sex chromosomes."""
+    ym = F.year("o_orderdate") * 100 + F.month("o_orderdate")
+    n = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(ym.alias("ym")).agg((F.count("*") * 10007).alias("length"))
+    name = F.concat(F.when(F.col("ym") % 100 == 12, "X").otherwise("chr"), F.col("ym").cast("string"))
+    return n.select(F.row_number().over(Window.orderBy("ym")).alias("idx"), name.alias("name"), "length")  # a row a month
+
+
+MONTHS = """chromosomes AS (
+  SELECT (row_number() OVER (ORDER BY ym))::INTEGER AS idx, CASE WHEN ym % 100 = 12 THEN 'X' ELSE 'chr' END || ym AS name, n * 10007 AS length
+  FROM (SELECT year(o_orderdate) * 100 + month(o_orderdate) AS ym, count(*)::BIGINT AS n FROM orders GROUP BY 1)
+)"""
+
+
+def zooms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """unit, bin_size: the sizes of parts, those of even keys in base pairs, those of odd ones in fragments."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select(F.when(F.col("p_partkey") % 2 == 0, "BP").otherwise("FRAG").alias("unit"), (F.col("p_size").cast("int") * 500).alias("bin_size"), "p_brand").dropDuplicates()
+
+
+ZOOMS = "zooms AS (SELECT DISTINCT CASE WHEN p_partkey % 2 = 0 THEN 'BP' ELSE 'FRAG' END AS unit, (p_size * 500)::INTEGER AS bin_size, p_brand FROM part)"
+
+
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """event_id, chr1_idx, pos1, chr2_idx, pos2, the lower chromosome (or place) first."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
