@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import numpy as np
 
-GAP = 5e-4
+GAP = 1e-5
 SMOOTHING = 0.7
 MOST_STEPS = 1500
 

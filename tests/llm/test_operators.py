@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import math
 import random
 import zlib
 
@@ -80,6 +81,45 @@ def test_packing_holds_every_id_once(docs, none):
     assert packing.pack(none, WORD, 1).count() == 0
 
 
+def test_packing_of_whole_sequences(spark):
+    """The real capacity: each document's pieces tile it, their checksums are those of its ids, sequences have no gaps."""
+    r = random.Random(4)
+    texts = ["word " * n for n in (0, 1, 2046, 2047, 2048, 4095, 5000, 20_000)] + [" ".join(r.choice(["some", "other", "words", "hereabouts"]) for _ in range(r.randrange(1, 4000))) for _ in range(60)]
+    library = Tokenizer.from_file(WORD)
+    ids = {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORD, 1).collect()
+    for i, own in ids.items():
+        at = 0
+        for p in sorted((p for p in rows if p["doc_id"] == i), key=lambda p: p["start"]):
+            assert p["start"] == at and p["doc_tokens"] == len(own) and p["ids_crc32"] == zlib.crc32(np.array(own[at : at + p["length"]], "<u4").tobytes())
+            at += p["length"]
+        assert at == len(own)
+    used = {}
+    for p in rows:
+        used.setdefault(p["sequence_id"], []).append((p["offset"], p["length"]))
+    for own in used.values():
+        own.sort()
+        assert [o for o, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
+    assert sorted(used) == list(range(len(used))) and sum(map(len, ids.values())) / (2048 * len(used)) > 0.93
+
+
+def test_the_linear_program_decides(monkeypatch):
+    """Sizes of which greedy patterns waste much: columns are generated until the program is within GAP of a proven bound, here that of all patterns."""
+    sizes, demand, capacity = np.array([26, 34, 35, 45, 51]), np.array([97.0, 610.0, 395.0, 211.0, 301.0]), 100
+    calls = []
+    plain = cutting_stock.best_pattern
+    monkeypatch.setattr(cutting_stock, "best_pattern", lambda *a: calls.append(1) or plain(*a))
+    found = cutting_stock.patterns(sizes, demand, capacity)
+    assert len(calls) >= 3 and all(sizes @ p <= capacity for p, _ in found) and np.allclose(sum(p * n for p, n in found), demand)
+    start, bins = cutting_stock.first_patterns(sizes, demand, capacity)
+    assert sum(n for _, n in found) < bins.sum() - 1  # the start is improved on
+    # all patterns of a hundred places, and dual prices that prove the value: none of them is worth more than a bin
+    every = [p for p in itertools.product(*(range(capacity // s + 1) for s in sizes)) if 0 < np.dot(p, sizes) <= capacity]
+    worth = np.linalg.lstsq(np.array([p for p, n in found if n > 1e-9]), np.ones(sum(n > 1e-9 for _, n in found)), rcond=None)[0]
+    scale = max(1.0, max(np.dot(p, worth) for p in every))
+    assert sum(n for _, n in found) <= worth @ demand / scale * (1 + cutting_stock.GAP) + 1e-6 or sum(n for _, n in found) <= np.ceil(worth @ demand / scale)
+
+
 def least_bins(histogram, capacity):
     """A lower bound that counts what large pieces leave free."""
     best = 0
@@ -171,6 +211,43 @@ def test_exact_top_k(spark):
         assert sorted(got[q]) == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
 
 
+def test_updates_of_the_regularised_leader():
+    """Example after example, weight after weight."""
+    r = np.random.default_rng(3)
+    examples = []
+    for _ in range(60):
+        places = np.sort(r.choice(quality.PLACES, 6, replace=False)).astype(np.int32) if r.random() < 0.5 else np.sort(r.choice(12, 6, replace=False)).astype(np.int32)
+        examples.append((places, r.random(6).astype(np.float32), int(r.random() < 0.5)))
+    z, n = {}, {}
+
+    def weight(i):
+        own, seen = z.get(i, 0.0), n.get(i, 0.0)
+        return 0.0 if abs(own) <= quality.L1 else -(own - math.copysign(quality.L1, own)) / ((quality.BETA + math.sqrt(seen)) / quality.ALPHA + quality.L2)
+
+    for _ in range(2):
+        for places, values, label in examples:
+            row = [*zip(places.tolist(), map(float, values)), (quality.PLACES, 1.0)]
+            w = {i: weight(i) for i, _ in row}
+            p = 1 / (1 + math.exp(-sum(w[i] * x for i, x in row)))
+            for i, x in row:
+                g = (p - label) * x
+                z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / quality.ALPHA * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    got = quality.train(examples, 2)
+    assert np.flatnonzero(got).size and all(got[i] == pytest.approx(weight(i), rel=1e-4, abs=1e-6) for i in [*range(12), *z, quality.PLACES])
+    assert set(np.flatnonzero(got).tolist()) <= set(z)
+
+
+def test_labels_of_other_documents_use_up_no_sample(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "train", lambda examples: seen.append(len(examples)) or np.zeros(quality.PLACES + 1, np.float32))
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(200)], "doc_id long, text string")
+    labels = spark.range(20_000).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality")
+    for own in (labels.where("doc_id < 200"), labels):
+        quality.fit(docs, own, sample=300)
+    assert seen[0] == seen[1] > 140
+
+
 def test_quality_learns_and_scores_all(spark, docs, none):
     labels = spark.createDataFrame([(i, 1 if i % 2 else 0) for i in range(200)], "doc_id long, quality int")
     texts = spark.createDataFrame([(i, "A fine sentence about rivers." if i % 2 else "click 555 !!! buy $$$ 999") for i in range(200)], "doc_id long, text string")

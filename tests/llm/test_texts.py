@@ -1,7 +1,9 @@
 """Operators on texts against plain versions of themselves, and on rows with odd ids, columns and texts."""
 
+import itertools
 import math
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -188,6 +190,57 @@ def test_posteriors_are_those_of_the_plain_version(spark):
             assert r["lang_id"] == langs[int(np.argmax(p))] and r["lang_posterior"] == pytest.approx(max(p), abs=1e-4)
 
 
+def test_many_declared_languages(spark, monkeypatch):
+    """Three hundred declared codes: counts and priors stay rows of what occurs, and posteriors those of the plain version."""
+    r = random.Random(5)
+    codes = ["".join(c) for c in itertools.product("bcdfg", "aeiou", "klmnprstvxyz")]
+    rows = [(i, " ".join(f"{c}{r.choice('abcdef')}{c}" for _ in range(4)), c, f"h{i % 7}.{r.choice(['org', 'com'])}") for i, c in enumerate(codes)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = []
+    save = common.save
+    monkeypatch.setattr(common, "save", lambda df, name: kept.append((name, out := save(df, name))) or out)
+    got = lang_id.identify(df, "doc_id", F.col("text"), F.col("lang"), F.col("source")).collect()
+    langs, want = plain_posteriors(rows)
+    assert len(langs) == 300 and all(x["lang_id"] == langs[int(np.argmax(want[x["doc_id"]]))] and x["lang_posterior"] == pytest.approx(max(want[x["doc_id"]]), abs=1e-3) for x in got)
+    counted = dict(kept)["language-counts"]
+    assert counted.count() < 20 * len(rows) and set(counted.columns) == {"suffix", "host", "declared", "l", "n"}
+
+
+def test_samples_are_cut_by_hash(spark):
+    """Of a language of many keys as many are taken as are asked for, those of smallest hash, however often a key occurs."""
+    rows = spark.range(30_000).selectExpr("cast(if(id % 3 = 0, 0, id) AS string) AS key", "if(id % 10 = 0, 'de', 'en') AS lang", "concat('text ', id % 100) AS text")
+    taken = []
+    beside = common.beside
+    try:
+        common.beside = lambda t: taken.append(t) or beside(t)
+        lang_id.fit_text(rows, 500)
+    finally:
+        common.beside = beside
+    keys = {(x["lang"], x["key"]) for x in taken[0].collect()}
+    for lang in ("de", "en"):
+        first = [x["key"] for x in rows.where(F.col("lang") == lang).select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(500).collect()]
+        assert {k for n, k in keys if n == lang} == set(first)
+
+
+def test_posteriors_of_pages(spark, tmp_path):
+    pages = spark.read.parquet(f"{DATA}/pages.parquet").orderBy("page_id").limit(60).collect()
+    odd = [(10_001, None, None), (10_002, "http://a.de/x", "<html lang=de></html>"), (10_003, "http://a.de/x", "<html lang='xx-long'><script>var a</script> ein Text <!-- nichts --></html>"), (10_003, "http://a.de/x", "<html lang='xx-long'><script>var a</script> ein Text <!-- nichts --></html>"), (10_004, "nowhere", "kein Markup")]
+    rows = [tuple(p) for p in pages] + odd
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    bare = lambda h: re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", h)
+    said = lambda h: (m := re.search(r"(?i)<html[^>]*\blang=[\"']?([A-Za-z]+)", h)) and m[1].lower()
+    host = lambda u: "" if not (m := re.match(r"[a-z]+://([^/?#]+)", u)) else m[1].lower()
+    plain = [(i, None if h is None else bare(h), None if h is None else said(h), None if u is None else host(u)) for i, (_, u, h) in enumerate(rows)]
+    langs, want = plain_posteriors(plain)
+    found = {}
+    for r in lang_id.pages_language_id(spark, str(tmp_path)).collect():
+        found.setdefault(r["page_id"], []).append((r["lang_id"], r["lang_posterior"]))
+    for i, (page_id, _, _) in enumerate(rows):
+        p = want[i]
+        expected = (None, 0.0) if p is None else (langs[int(np.argmax(p))], max(p))
+        assert all(x[0] == expected[0] and x[1] == pytest.approx(expected[1], abs=1e-3) for x in found[page_id]), page_id
+
+
 def test_languages_of_pages(spark):
     got = lang_id.pages_language_id(spark, DATA)
     assert got.columns == ["page_id", "url", "lang_id", "lang_posterior", "lang_kept"]
