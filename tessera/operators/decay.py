@@ -116,12 +116,25 @@ def log_bucket(dist: Column) -> Column:
     return F.when(dist == 0, 0).otherwise(1 + F.floor(F.log1p(dist.cast("double")))).cast("int")
 
 
-def moments(values: DataFrame, bucket: str, value: str) -> DataFrame:
-    """Count, mean, deviation (0 unless there are more than two), least, greatest (never below 0) and range by bucket."""
+def moments(values: DataFrame, bucket: str, value: str, lengths: DataFrame | None = None) -> DataFrame:
+    """Count, mean, deviation (0 unless there are more than two), least, greatest (never below 0) and range by bucket.
+
+    lengths (bucket, length): a bucket of fewer values than its length is filled up with zeros; one without values but with a length is all zeros.
+    """
     v = F.col(value).cast("double")
-    n = F.count(v)
-    most = F.greatest(F.max(v), F.lit(0.0))
-    return values.groupBy(bucket).agg(n.alias("n"), F.avg(v).alias("mean"), F.when(n > 2, F.stddev_samp(v)).otherwise(0.0).alias("std"), F.min(v).alias("min"), most.alias("max"), (most - F.min(v)).alias("range"))
+    per = values.groupBy(bucket).agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.var_pop(v).alias("var"), F.min(v).alias("min"), F.max(v).alias("max"))
+    if lengths is not None:
+        per = per.join(lengths.select(bucket, "length"), bucket, "full")
+        n, mean = F.coalesce("n", F.lit(0)), F.coalesce("mean", F.lit(0.0))
+        total = F.greatest(n, F.coalesce("length", F.lit(0))).cast("long")
+        zeros = total - n
+        # what n values and as many zeros spread around the mean of both
+        var = (F.coalesce("var", F.lit(0.0)) * n + mean * mean * n * zeros / total) / total
+        edge = lambda f, c: F.when(zeros > 0, f(F.coalesce(c, F.lit(0.0)), F.lit(0.0))).otherwise(F.col(c))
+        per = per.select(bucket, total.alias("n"), (mean * n / total).alias("mean"), var.alias("var"), edge(F.least, "min").alias("min"), edge(F.greatest, "max").alias("max")).where("n > 0")
+    std = F.when(F.col("n") > 2, F.sqrt(F.col("var") * F.col("n") / (F.col("n") - 1))).otherwise(0.0)
+    most = F.greatest(F.col("max"), F.lit(0.0))
+    return per.select(bucket, "n", "mean", std.alias("std"), "min", most.alias("max"), (most - F.col("min")).alias("range"))
 
 
 def zscore(value: Column, mean: Column, std: Column) -> Column:

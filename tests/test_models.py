@@ -109,6 +109,22 @@ def test_z_spline(spark, seed, far, most):
             assert r["z"] == pytest.approx((math.log1p(r["counts"]) - mean(at)) / std(at), rel=1e-5, abs=1e-7)
 
 
+def test_moments_filled_up_with_zeros(spark):
+    r = random.Random(9)
+    own = {0: [r.random() - 0.7 for _ in range(30)], 1: [5.0, 7.0], 2: [-1.0], 4: [3.0, 3.0, 3.0, 9.0]}
+    lengths = {0: 40, 1: 2, 2: 3, 3: 5, 5: 0}
+    df = spark.createDataFrame([(k, v) for k, some in own.items() for v in some], "bucket int, c double")
+    filled = decay.moments(df, "bucket", "c", spark.createDataFrame(list(lengths.items()), "bucket int, length int"))
+    for got, add in ((decay.moments(df, "bucket", "c"), {}), (filled, lengths)):
+        want = {k: own.get(k, []) + [0.0] * max(0, add.get(k, 0) - len(own.get(k, []))) for k in {*own, *add}}
+        rows = {x["bucket"]: x for x in got.collect()}
+        assert set(rows) == {k for k, v in want.items() if v}
+        for k, x in rows.items():
+            v = want[k]
+            std = float(np.std(v, ddof=1)) if len(v) > 2 else 0.0
+            assert tuple(x)[1:] == pytest.approx((len(v), float(np.mean(v)), std, min(v), max(*v, 0.0), max(*v, 0.0) - min(v)), abs=1e-12)
+
+
 def test_relevant_derivatives(spark):
     m = np.array([[1.0, 1.0, 4.0, 4.2, 9.0], [2.0, 2.0, 1.0, 1.1, -9.0]])
     df = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(2) for j in range(5)], "row int, col int, value double")
