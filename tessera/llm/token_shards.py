@@ -31,7 +31,6 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +43,8 @@ ENTRY = struct.Struct("<HHI")
 RESTART = 8
 BLOCK_BYTES = 64 << 10
 BITS_A_KEY, HASHES = 10, 7
-SHARD_BYTES = 32 << 20  # of text
+SHARD_BYTES, MOST_SHARDS = 32 << 20, 1 << 16  # of text; with more text than that shards are larger
+FINEST = 4  # ranges for each shard, which are put together by bytes
 MANIFEST = "shard int, path string, first_key binary, last_key binary, n_docs long, n_tokens long"
 
 
@@ -174,42 +174,72 @@ class Shard:
         return found
 
 
+def _place(doc_id: int | None, t: int) -> tuple[bool, int, int]:
+    return doc_id is not None, doc_id or 0, t
+
+
+def _cuts(rows: DataFrame, shard_bytes: int) -> list[tuple[bool, int, int]]:
+    """Where each shard begins: places of documents (doc_id, t, n: bytes) that part them into shards of about shard_bytes, MOST_SHARDS at most."""
+    small = common.save(rows, "sizes")
+    total = small.agg(F.sum("n")).first()[0] or 0
+    size = max(shard_bytes, -(-total // MOST_SHARDS))
+    fine = small.repartitionByRange(FINEST * (total // size + 1), "doc_id", "t").groupBy(F.spark_partition_id().alias("part"))
+    parts = fine.agg(F.min(F.struct("doc_id", "t")).alias("first"), F.sum("n").alias("n")).orderBy("part").collect()  # FINEST for each shard
+    common.drop_saved(small)
+    cuts, room = [], 0
+    for r in parts:
+        if not cuts or room + r["n"] > size:
+            cuts.append(_place(r["first"]["doc_id"], r["first"]["t"]))
+            room = 0
+        room += r["n"]
+    return cuts
+
+
 def write_shards(docs: DataFrame, tokenizer: str, end_id: int, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Encodes docs (doc_id, text), appends end_id to each, and writes them to folder in ascending doc_id order.
 
     Returns the manifest (shard, path, first and last key, n_docs, n_tokens), one row for each shard that has documents;
-    it is kept as a table, so the work is done once. Documents are dealt to shards by ranges of doc_id and the text's hash.
+    it is kept as a table, so the work is done once. Documents are dealt to shards by ranges of doc_id and the text's hash, which are
+    found from sizes alone. Texts are encoded where they are read, and ids of two or four bytes are shuffled.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("t"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    cuts = _cuts(rows.select("doc_id", "t", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n")), shard_bytes)
     system, inner = file_system(folder)
     system.create_dir(inner, recursive=True)
+    width = 2 if max(library_encoder(tokenizer).library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    dtype = np.dtype(f"<u{width}")
 
-    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(tokenizer)
-        width = 2 if max(encoder.library.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
-        dtype, out, path, keys = np.dtype(f"<u{width}"), None, "", []
-        end = np.array([end_id], dtype).tobytes()
         for whole in batches:
             for batch in pieces_of(whole):
-                if out is None and batch.num_rows:
-                    path = f"{folder}/shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst"
-                    system, inner = file_system(path)
-                    out = ShardWriter(system.open_output_stream(inner), width)
                 ids, counts = encoder.encode(batch["text"])
-                data, ends = memoryview(ids.astype(dtype).tobytes()), np.cumsum(counts) * width
-                first, doc_ids = 0, batch["doc_id"].to_pylist()
-                keys = [*keys[:1], key_of(doc_ids[0]), key_of(doc_ids[-1])]
-                for doc_id, last in zip(doc_ids, ends.tolist()):
-                    out.add(key_of(doc_id), bytes(data[first:last]) + end)
-                    first = last
+                ends = np.concatenate([[0], np.cumsum(counts + 1)])
+                ids = np.insert(ids, ends[1:] - np.arange(1, len(ends)), end_id).astype(dtype)  # each document's end id
+                offsets = pa.py_buffer((ends * width).astype(np.int32).tobytes())
+                values = pa.Array.from_buffers(pa.binary(), len(counts), [None, offsets, pa.py_buffer(ids.tobytes())])
+                shard = [bisect_right(cuts, _place(d, t)) - 1 for d, t in zip(batch["doc_id"].to_pylist(), batch["t"].to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int32()), batch["doc_id"], batch["t"], values], names=["shard", "doc_id", "t", "ids"])
+
+    def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, path, shard, keys = None, "", 0, []
+        for batch in batches:
+            if out is None and batch.num_rows:
+                shard = batch["shard"][0].as_py()
+                path = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.sst"
+                system, inner = file_system(path)
+                out = ShardWriter(system.open_output_stream(inner), width)
+            doc_ids = batch["doc_id"].to_pylist()
+            for doc_id, value in zip(doc_ids, batch["ids"]):
+                out.add(key_of(doc_id), value.as_py())
+            keys = [*keys[:1], *(key_of(d) for d in (doc_ids[:1] + doc_ids[-1:]))]
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([TaskContext.get().partitionId()], pa.int32()), "path": [path], "first_key": [keys[0]], "last_key": [keys[-1]], "n_docs": [out.n_docs], "n_tokens": [out.n_tokens]})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "first_key": [keys[0]], "last_key": [keys[-1]], "n_docs": [out.n_docs], "n_tokens": [out.n_tokens]})
 
-    in_order = rows.repartitionByRange(max(1, -(-size // shard_bytes)), "doc_id", "t").sortWithinPartitions("doc_id", "t")
-    return common.save(in_order.select("doc_id", "text").mapInArrow(write, MANIFEST), "token-shards-manifest")
+    encoded = rows.select("doc_id", "t", "text").mapInArrow(encode, "shard int, doc_id long, t long, ids binary")
+    dealt = encoded.repartitionById(max(1, len(cuts)), F.col("shard")).sortWithinPartitions("doc_id", "t")  # a task a shard
+    return common.save(dealt.mapInArrow(write, MANIFEST), "token-shards-manifest")
 
 
 def read_shards(manifest: DataFrame) -> DataFrame:
