@@ -4,11 +4,40 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+_OPEN: list[list[str]] = []
+
+
+def noted(path: str) -> str:
+    """Says that a table is being written there, to the innermost scratch() there is."""
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end the tables that were written on the way: for whoever has all that he wants from them by then.
+
+    Gives the list of their folders; what is taken out of it stays. Without it tables stay until the shared folder is cleared.
+    """
+    made: list[str] = []
+    _OPEN.append(made)
+    try:
+        yield made
+    finally:
+        _OPEN.remove(made)
+        for folder in made:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def new_folder(spark: SparkSession) -> str:
     """A name in the shared folder; a local session without spark.checkpoint.dir gets a folder of its own."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -22,7 +51,7 @@ def new_folder(spark: SparkSession) -> str:
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back."""
-    spark, path = df.sparkSession, new_folder(df.sparkSession)
+    spark, path = df.sparkSession, noted(new_folder(df.sparkSession))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
