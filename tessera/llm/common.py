@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.lineage import noted
+
 BROADCAST_ROWS = 1 << 18
 
 
@@ -40,7 +42,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def save(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back: a cut of the lineage that outlives executors."""
     spark = df.sparkSession
-    path = new_folder(spark, name)
+    path = noted(new_folder(spark, name))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
