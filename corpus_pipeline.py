@@ -2,7 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept. All but the last return
 the columns of documents; the last returns the packed pieces. run() writes each stage's result as Parquet
-in the shared folder and reads it back as the next one's docs.
+in the shared folder and reads it back as the next one's docs; what stages write on the way is deleted once their result is written.
 
 Rows are judged each for itself, so repeated ids and null ids lose no other row; rows that are equal in doc_id and text
 are one document to the near-dedup, of which one row stays. Null and empty texts pass the classifier or not by their
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import common, lang_id, line_dedup, near_dups, packing, quality
+from tessera.plans.lineage import scratch
 
 USED = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -86,7 +87,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, before = common.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES:
-        docs = common.save(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        with scratch(spark) as made:
+            docs = common.save(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+            made[-1:], before = before, made[-1:]  # the stage's own table stays until the next one is there
     return docs
