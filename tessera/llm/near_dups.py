@@ -210,14 +210,14 @@ def links(sets: DataFrame, shingled: Callable[[DataFrame], DataFrame], least: fl
         i and j; so they share at most one and what both have after it, which for similar sets is enough. That
         shingle is among the first ones, one more than a similar set may lack.
         """
-        own = rows.groupBy("key", "n", "root").count().drop("count")
-        each = common.save(shingled(own.select("key")).select("key", F.explode("value").alias("s")), "shingles")
+        each = common.save(shingled(rows.select("key")).select("key", F.size("value").alias("n"), F.explode("value").alias("s")), "shingles")
         shared = each.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-        known = each.join(shared, "s").join(own, "key")  # those of one set alone come first and meet nothing
+        known = each.join(shared, "s")  # those of one set alone come first and meet nothing
         place = F.row_number().over(Window.partitionBy("key").orderBy("df", "s"))
         alone = F.col("n") - F.count("*").over(Window.partitionBy("key"))
         most = F.col("n") - F.ceil(F.lit(least) * F.col("n") - 1e-6) + 1
-        kept = common.save(known.withColumn("at", alone + place).where(F.col("at") <= most).select("s", "key", "n", "root", "at"), "rare-shingles")
+        rare = known.withColumn("at", alone + place).where(F.col("at") <= most).select("s", "key", "n", "at")
+        kept = common.save(rare.join(rows.select("key", "root"), "key"), "rare-shingles")
         common.drop_saved(each)
         after = F.least(F.col("an") - F.col("aat"), F.col("bn") - F.col("bat"))
         return across_groups(kept, ("at",), 1 + after + 1e-6 >= least / (1 + least) * (F.col("an") + F.col("bn")))
