@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import tiles
-from tessera.plans.lineage import checkpointed
+from tessera.plans.lineage import checkpointed, numbered
 
 BOUNDS = ["chr1_idx", "start1", "end1", "chr2_idx", "start2", "end2"]
 KEY = ["chr1_idx", "chr2_idx"]
@@ -225,9 +225,20 @@ def text_line(chr1: Column, chr2: Column) -> Column:
     return F.concat_ws("\t", chr1, F.col("start1").cast("string"), F.col("end1").cast("string"), chr2, F.col("start2").cast("string"), F.col("end2").cast("string"), *[F.lit(".")] * 4, color, values)
 
 
-def process_by_key(features: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame]) -> DataFrame:
-    """A function of each pair of chromosomes' features, a pandas frame at a time. A row-wise filter is better as where()."""
-    return features.groupBy(*KEY).applyInPandas(fn, features.schema)
+def process_by_key(features: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFrame], most: int | None = None) -> DataFrame:
+    """A function of each pair of chromosomes' features, a pandas frame at a time. A row-wise filter is better as where().
+
+    most: the function is given runs of so many features of a pair at most, in the order of their starts; a pair of very many features is then the
+    work of many tasks. Without it a frame has all features of a pair.
+    """
+    if most is None:
+        return features.groupBy(*KEY).applyInPandas(fn, features.schema)
+    placed = numbered(features, "__place", *KEY, "start1", "start2", "feature_id")
+    first = placed.groupBy(*(F.col(k).alias(f"__{k}") for k in KEY)).agg(F.min("__place").alias("__first"))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in KEY])
+    runs = placed.join(first, same).withColumn("__run", F.floor((F.col("__place") - F.col("__first")) / most))
+    columns = features.columns
+    return runs.groupBy(*KEY, "__run").applyInPandas(lambda frame: fn(frame.sort_values("__place")[columns].reset_index(drop=True)), features.schema)
 
 
 def genome_wide_list(chromosomes: DataFrame, features: DataFrame) -> DataFrame:

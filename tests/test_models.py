@@ -138,6 +138,30 @@ def test_relevant_derivatives(spark):
             assert got == {(i, j): pytest.approx(own[i, j]) for i in range(2) for j in range(own.shape[1])}
 
 
+def test_functions_of_a_pairs_features(spark):
+    bounds = "feature_id long, chr1_idx int, start1 long, end1 long, chr2_idx int, start2 long, end2 long"
+    r = random.Random(2)
+    rows = [(i, 1 if i < 90 else r.choice([1, 2]), x := r.randrange(1000), x + 5, 2, 7, 9) for i in range(100)]
+    f = spark.createDataFrame(rows, bounds).repartition(3)
+
+    def sized(frame):
+        out = frame.copy()
+        out["end2"] = len(frame)
+        return out
+
+    def in_order(frame):
+        assert frame["start1"].is_monotonic_increasing
+        return sized(frame)
+
+    whole = {x["feature_id"]: x["end2"] for x in features.process_by_key(f, sized).collect()}
+    pairs = [sum(x[1] == c for x in rows) for c in (1, 2)]
+    assert whole == {x[0]: pairs[x[1] - 1] for x in rows}
+    runs = features.process_by_key(f, in_order, 20).collect()
+    assert sorted(x["feature_id"] for x in runs) == list(range(100)) and max(x["end2"] for x in runs) <= 20
+    own = sorted((x["start1"], x["feature_id"], x["end2"]) for x in runs if x["chr1_idx"] == 1)
+    assert [n for _, _, n in own] == [20] * (len(own) // 20 * 20) + [len(own) % 20] * (len(own) % 20)
+
+
 def test_lookups(spark):
     bounds = "feature_id long, chr1_idx int, start1 long, end1 long, chr2_idx int, start2 long, end2 long"
     f = spark.createDataFrame([(1, 1, 5, 9, 11, 5, 9), (2, 11, 5, 9, 11, 5, 9), (3, 1, 5, 9, 11, 5, 8)], bounds)
