@@ -125,7 +125,7 @@ class Templates:
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, line, license, dice for every unit that reaches the threshold."""
-    wanted = templates or TEMPLATES
+    wanted = TEMPLATES if templates is None else templates
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(wanted, threshold)
