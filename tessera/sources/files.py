@@ -33,6 +33,13 @@ def read_chromosomes(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(F.row_number().over(Window.orderBy("at")).alias("idx"), F.col("t")[0].alias("name"), F.col("t")[1].cast("long").alias("length"))
 
 
+def read_genomes(spark: SparkSession, folder: str, ending: str = ".chrom.sizes") -> DataFrame:
+    """genome, ord, name, length of every file of sizes in a folder, for genome.infer_genome(): a genome is called as its file, and they are tried in the order of their names."""
+    lines = spark.read.option("pathGlobFilter", f"*{ending}").text(folder).select(F.col("_metadata.file_name").alias("file"), F.split(F.trim("value"), r"\s+").alias("t")).where(F.size("t") == 2)
+    genome_name = F.substring(F.col("file"), F.lit(1), F.length("file") - len(ending))
+    return lines.select(genome_name.alias("genome"), genome_name.alias("ord"), F.col("t")[0].alias("name"), F.col("t")[1].try_cast("long").alias("length")).where("length IS NOT NULL")
+
+
 def feature_type(path: Column) -> Column:
     return F.when(path.contains("block") | path.contains("domain"), "DOMAIN").when(path.contains("peak") | path.contains("loop"), "PEAK").otherwise("GENERIC")
 

@@ -106,3 +106,15 @@ def test_attributes(spark):
     assert tuple(typed) == (1.5, None, "x")
     assert features.set_attribute(f, "b", F.lit("y")).orderBy("feature_id").first()["attributes"]["b"] == "y"
     assert [r["k"] for r in f.select(features.attribute_keys().alias("k")).collect()] == [["a", "b"], []] and features.clear_attributes(f).first()["attributes"] == {}
+
+
+def test_genomes_of_a_folder(spark, tmp_path):
+    from tessera.operators import genome as operators
+
+    (tmp_path / "b38.chrom.sizes").write_text("chr1 100\nchr2\t50\n\nthree words here\n")
+    (tmp_path / "a19.chrom.sizes").write_text("chr1 99\nchr2 50\nchrX many")
+    (tmp_path / "notes.txt").write_text("chr1 100\n")
+    known = files.read_genomes(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in known.collect()) == [("a19", "a19", "chr1", 99), ("a19", "a19", "chr2", 50), ("b38", "b38", "chr1", 100), ("b38", "b38", "chr2", 50)]
+    named = lambda rows: operators.infer_genome(spark.createDataFrame(rows, "idx int, name string, length long"), known).first()["genome"]
+    assert named([(1, "chr1", 100)]) == "b38" and named([(1, "chr1", 99), (2, "chr2", 50)]) == "a19" and named([(1, "chr2", 50)]) == "a19" and named([(1, "chr2", 51)]) is None
