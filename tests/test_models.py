@@ -7,8 +7,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.functions import catalog, kinds
-from tessera.operators import decay, features, genome, matrix
+from tessera.functions import catalog, kinds, semantics
+from tessera.operators import contacts, decay, features, genome, matrix, oe
 
 MAPS = "chr1_idx int, chr2_idx int, bin_size int, bin_x int, bin_y int, counts double"
 
@@ -189,3 +189,30 @@ def test_traits_of_matrix_kinds():
     assert {"PROB", "PROB2", "PEARSON", "VS"} <= set(of("within chromosomes only")) and "OE" not in of("within chromosomes only")
     assert {"CONTROL", "VS", "RATIO", "DIFF"} <= set(of("control without expected values")) and not {"OECTRL", "OBSERVED"} & set(of("control without expected values"))
     assert set(of("adjustable colors")) == set(kinds.LABELS) - set(of("correlation")) and {"OEV2", "DIFF"} <= set(of("colors around zero")) and "OE" not in of("colors around zero")
+
+
+def test_small_helpers(spark):
+    nan, inf = float("nan"), float("inf")
+    own = spark.createDataFrame([(0, 2.5), (1, 0.0), (2, -3.0), (3, nan), (4, inf), (5, 1.0), (6, 1e-12)], "i int, v double")
+    v = F.col("v")
+    got = own.select("i", oe.inter_expected(v).alias("e"), semantics.clamp(v, -1.0, 2.0).alias("c"), semantics.signum_clean(v).alias("s"), semantics.simple_log_clean(v).alias("l"), semantics.log_oe_plus(v, F.lit(3.0), 1.0).alias("o")).orderBy("i").collect()
+    assert [r["e"] for r in got][:3] == [2.5, 1.0, 1.0] and got[5]["e"] == 1.0
+    assert [r["c"] for r in got][:3] == [2.0, 0.0, -1.0] and math.isnan(got[3]["c"]) and got[4]["c"] == 2.0
+    assert [r["s"] for r in got] == [1.0, 0.0, -1.0, 0.0, 1.0, 1.0, 1.0]
+    assert got[0]["l"] == pytest.approx(math.log(2.5)) and all(math.isnan(got[i]["l"]) for i in (1, 2, 3, 4, 5)) and got[6]["l"] == pytest.approx(math.log(1e-12))
+    assert got[0]["o"] == pytest.approx(math.log(3.5) / math.log(4.0))
+    text = spark.createDataFrame([("abcdefghij", "a\tb\tc"), ("abcdef", "x"), ("", "")], "t string, k string")
+    assert [tuple(r) for r in text.select(semantics.middle_ellipsis(F.col("t"), 3), semantics.token_from_end(F.col("k"), 1), semantics.token_from_end(F.col("k"), 2)).collect()] == [("abc...hij", "c", "b"), ("abcdef", "x", None), ("", "", None)]
+    assert contacts.source_resolution([10, 25, 50, 100], 100) == 50 and contacts.source_resolution([10, 30, 50], 60) == 30
+    with pytest.raises(ValueError):
+        contacts.source_resolution([40], 100)
+
+
+def test_summaries_and_averages(spark):
+    cells = [(1, 1, 10, 0, 0, 2.0), (1, 1, 10, 0, 3, 5.0), (1, 1, 10, 2, 2, -1.0), (1, 1, 10, 1, 2, float("nan")), (1, 2, 10, 4, 4, 8.0)]
+    df = spark.createDataFrame(cells, MAPS)
+    got = {(r["chr1_idx"], r["chr2_idx"]): (r["n"], r["n_positive"], r["total"]) for r in contacts.summary(df.where("NOT isnan(counts)")).collect()}
+    assert got == {(1, 1): (3, 2, 2.0 + 2 * 5.0), (1, 2): (1, 1, 8.0)}  # of a record on the diagonal one triangle has it
+    lengths = spark.createDataFrame([(1, "a", 57), (2, "b", 80)], "idx int, name string, length long")
+    average = {(r["chr1_idx"], r["chr2_idx"]): r["average"] for r in contacts.average_count(df.where("chr2_idx = 2"), lengths).collect()}
+    assert average == {(1, 2): pytest.approx(8.0 / 5 / 8)}
