@@ -38,7 +38,7 @@ def with_expected(contacts: DataFrame, vector: DataFrame, factors: DataFrame) ->
     end = vector.agg(F.max("dist").alias("__n"))  # one row
     last = F.coalesce("__n", F.raise_error(F.lit("the expected vector is empty")).cast("int"))
     at = contacts.join(F.broadcast(end), F.lit(True)).withColumn("dist", F.least(F.abs(F.col("bin_x") - F.col("bin_y")), last)).drop("__n")
-    joined = at.join(vector.select("dist", F.col("value").alias("__e")), "dist", "left").join(factors.select(F.col("chr_idx").alias("chr1_idx"), "factor"), "chr1_idx", "left")
+    joined = at.join(vector.select("dist", F.col("value").alias("__e")), "dist", "left").join(F.broadcast(factors.select(F.col("chr_idx").alias("chr1_idx"), "factor")), "chr1_idx", "left")  # a row a chromosome
     return joined.withColumn("expected", ieee_div(F.col("__e"), F.coalesce("factor", F.lit(1.0)))).drop("__e", "factor")
 
 

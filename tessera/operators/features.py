@@ -243,4 +243,6 @@ def process_by_key(features: DataFrame, fn: Callable[[pd.DataFrame], pd.DataFram
 
 def genome_wide_list(chromosomes: DataFrame, features: DataFrame) -> DataFrame:
     """1-D features (chr_idx, ...) of every chromosome but All; one without features has nulls."""
-    return chromosomes.where("idx > 0").select(F.col("idx").alias("chr_idx")).join(features, "chr_idx", "left")
+    own = chromosomes.where("idx > 0").select(F.col("idx").alias("chr_idx"))
+    without = own.join(features.select("chr_idx").distinct(), "chr_idx", "left_anti")
+    return F.broadcast(own).join(features, "chr_idx").unionByName(without, allowMissingColumns=True)  # a row a chromosome: its features are not gathered in one task

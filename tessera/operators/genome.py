@@ -39,7 +39,7 @@ def name_key(name: Column) -> Column:
 def resolve_names(names: DataFrame, chromosomes: DataFrame) -> DataFrame:
     """names (name): those that the genome knows, with its idx, name and length."""
     asked = names.select(F.col("name").alias("asked"), name_key(F.col("name")).alias("k"))
-    return asked.join(chromosomes.withColumn("k", name_key(F.col("name"))), "k").drop("k")
+    return asked.join(F.broadcast(chromosomes.withColumn("k", name_key(F.col("name")))), "k").drop("k")  # a row a chromosome: names asked for often are not gathered in one task
 
 
 def is_all(name: Column) -> Column:

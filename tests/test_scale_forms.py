@@ -301,3 +301,22 @@ def test_a_long_chain_of_rivals_takes_few_jobs(spark):
     spark.sparkContext.setJobGroup("other", "other")
     assert jobs <= 60
     assert sorted(r["feature_id"] for r in got.collect()) == [*range(0, n, 2), n]
+
+
+def test_rows_of_one_chromosome_are_not_gathered(spark):
+    """Names, cells and features of a few chromosomes stay in the tasks they are in: no task gets all rows of one."""
+    chromosomes = spark.createDataFrame([(0, "All", 1), (1, "1", 5), (2, "X", 5), (3, "M", 5)], "idx int, name string, length long")
+    many = spark.range(4000, numPartitions=4).select(F.lit("chrX").alias("name"), F.lit(2).alias("chr_idx"), F.lit(2).alias("chr1_idx"), F.col("id").cast("int").alias("bin_x"), F.col("id").cast("int").alias("bin_y"))
+
+    def largest(df):
+        return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+
+    found = genome.resolve_names(many.select("name").unionByName(spark.createDataFrame([("7",), (None,)], "name string")), chromosomes)
+    assert largest(found) <= 1000 and [tuple(r) for r in found.distinct().collect()] == [("chrX", 2, "X", 5)] and found.count() == 4000
+    vector = spark.createDataFrame([(0, 6.0)], "dist int, value double")
+    factors = spark.createDataFrame([(2, 2.0)], "chr_idx int, factor double")
+    expected = decay.with_expected(many.select("chr1_idx", "bin_x", "bin_y"), F.broadcast(vector), factors)
+    assert largest(expected) <= 1000 and [r[0] for r in expected.select("expected").distinct().collect()] == [3.0] and expected.count() == 4000
+    own = features.genome_wide_list(chromosomes, many.select(F.col("bin_x").alias("feature_id"), "chr_idx"))
+    assert largest(own) <= 1000 and own.columns == ["chr_idx", "feature_id"] and own.dtypes[0][1] == "int"
+    assert {r["chr_idx"]: r["count"] for r in own.groupBy("chr_idx").count().collect()} == {1: 1, 2: 4000, 3: 1} and own.where("feature_id IS NULL").count() == 2
