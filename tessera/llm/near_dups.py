@@ -9,7 +9,12 @@ at 0.95; more segments or codewords raise it. Sketches of candidates are compare
 LEAST is linked. A pair of similarity 0.8 has sketches of cosine 0.889 or more, give or take 0.012; ALIKE is seven times
 that below.
 
-Equal sets are one from the start. All sets that share a key are candidates, but a pair is compared only if no links join
+Two sets of a large corpus can share a key by chance, and such pairs grow with the square of the corpus. So key rows carry OTHERS signs of
+the sketch, of segments that are not in the key, and a row goes on only if another one under its key differs in APART signs or fewer and in size
+by no more than LEAST allows: of pairs with a similarity of 0.8 19 signs differ, give or take 4 (24 of the smallest texts), of
+strangers 64, give or take 6. Keys of more than MEETING sets go on whole.
+
+Equal sets are one from the start. All sets that share a key and may be alike are candidates, but a pair is compared only if no links join
 it already. First each set is compared with one other: of the sets that come first under its keys that with which it shares most
 keys. Then it is compared with up to LEADERS sets of other groups, each key putting another set first, and that TURNS times. Last,
 under each key of up to FEW sets those outside its largest group are compared with all that are in another group than their own. Sets
@@ -25,7 +30,7 @@ of smallest doc_id (null last), then of smallest text hash. An empty table gives
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +48,8 @@ SEED = 42
 SEGMENTS, NEAREST, TOGETHER = 14, 1, 2
 PLACES = SEGMENTS * 23
 ALIKE = 0.8
+OTHERS, APART = 128, 50
+MEETING = 256  # sets of a key that are held against each other by their signs
 LEADERS, TURNS = 8, 1
 FEW = 8  # sets of a key of which all pairs may be compared
 FANOUT = 1000  # pairs of one set that are compared in one task
@@ -108,6 +115,57 @@ def fuzzy_keys(margins: np.ndarray) -> np.ndarray:
     return np.concatenate(found, axis=1)
 
 
+def other_signs(margins: np.ndarray) -> np.ndarray:
+    """A row for each sketch, a pair of words for each of its keys: OTHERS signs of places outside the key's segments."""
+    signs = margins > 0
+    at = [np.setdiff1d(np.arange(PLACES), np.add.outer(np.array(chosen) * 23, np.arange(23)).ravel())[::2][:OTHERS] for chosen in combinations(range(SEGMENTS), TOGETHER)]
+    every = np.repeat(np.stack(at), NEAREST**TOGETHER, axis=0)
+    return np.packbits(signs[:, every], axis=2).view(np.int64)
+
+
+def may_meet(s: np.ndarray, n: np.ndarray, signs: np.ndarray, least: float) -> np.ndarray:
+    """Which rows, sorted by s, have another one of the same s that may be similar."""
+    kept = np.zeros(len(s), bool)
+    signs = signs.view(np.uint64)
+    starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    left = np.repeat(np.append(starts[1:], len(s)), np.diff(np.append(starts, len(s)))) - np.arange(len(s))  # rows from here to the run's end
+    one = np.flatnonzero(left > 1)
+    for lag in range(1, len(s)):
+        one = one[left[one] > lag]
+        if not len(one):
+            break
+        two = one + lag
+        near = np.bitwise_count(signs[one] ^ signs[two]).sum(axis=1) <= APART
+        near &= np.minimum(n[one], n[two]) >= np.maximum(n[one], n[two]) * least - 1e-6
+        kept[one[near]] = kept[two[near]] = True
+    return kept
+
+
+def _meeting(least: float) -> Callable:
+    """Rows (s, key, n, x, y) sorted by s: those that may meet another one, by runs of s. Of a run longer than MEETING every row."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, crowded = None, None  # rows of the run that is not at its end; the key of a run that goes on whole
+        for whole in chain(batches, [None]):
+            parts = [b for b in (held, whole) if b is not None and b.num_rows]
+            if not parts:
+                continue
+            batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+            s, n, x, y = (batch[c].to_numpy() for c in ("s", "n", "x", "y"))
+            edges = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1], [True]]))
+            many = np.repeat(np.diff(edges) > MEETING, np.diff(edges))
+            if crowded is not None:
+                many |= s == crowded
+            end = len(s) if whole is None or many[-1] else int(edges[-2])
+            crowded = s[-1] if many[-1] else None
+            kept, few = many.copy(), np.flatnonzero(~many[:end])
+            kept[few] = may_meet(s[few], n[few], np.stack([x[few], y[few]], axis=1), least)
+            held = batch.slice(end) if end < len(s) else None
+            yield batch.select(["s", "key", "n"]).filter(pa.array(kept))
+
+    return run
+
+
 def _sketched(width: int) -> Callable:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -131,9 +189,10 @@ def _slices(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _slices(batches):
-        found = fuzzy_keys(_margins(batch["sketch"]))
+        margins = _margins(batch["sketch"])
+        found, signs = fuzzy_keys(margins), other_signs(margins).reshape(-1, 2)
         every = pa.array(np.repeat(np.arange(batch.num_rows), found.shape[1]))
-        yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), batch["key"].take(every), batch["n"].take(every)], names=["s", "key", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(found.ravel()), batch["key"].take(every), batch["n"].take(every), pa.array(signs[:, 0]), pa.array(signs[:, 1])], names=["s", "key", "n", "x", "y"])
 
 
 def _alike(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,10 +227,8 @@ def _both(pairs: DataFrame, values: DataFrame) -> DataFrame:
 
 def links(sets: DataFrame, shingled: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
     """Pairs (a, b) of similar sets whose components are those of all candidates. sets: key, n, sketch, each key once; shingled: key, value for a table of keys."""
-    fuzzy = common.save(sets.where("n > 3").select("sketch", "key", "n").mapInArrow(_keyed, "s long, key long, n int"), "fuzzy-keys")
-    shared = fuzzy.groupBy("s").agg(F.count("*").alias("size")).where("size > 1").select("s")
-    keyed = common.save(fuzzy.join(shared, "s"), "shared-keys")
-    common.drop_saved(fuzzy)
+    fuzzy = sets.where("n > 3").select("sketch", "key", "n").mapInArrow(_keyed, "s long, key long, n int, x long, y long")
+    keyed = common.save(fuzzy.repartition("s").sortWithinPartitions("s").mapInArrow(_meeting(least), "s long, key long, n int"), "shared-keys")
     if keyed.isEmpty():
         return keyed.select(F.col("key").alias("a"), F.col("key").alias("b"))
     fits = (F.col("an") >= F.col("bn") * least - 1e-6) & (F.col("bn") >= F.col("an") * least - 1e-6)

@@ -5,9 +5,10 @@ import random
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from tessera.llm import golay, near_dups
+from tessera.llm import components, golay, near_dups
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -104,3 +105,82 @@ def test_sketches_and_keys():
     assert np.array_equal(golay.nearest(margins.astype(np.float32), 3), best)
     assert all(golay.remainder(int(w)) == 0 for w in ((golay.codewords() > 0) << np.arange(23)).sum(axis=1))
     assert near_dups.fuzzy_keys(near_dups.sketches(sets)).shape == (8, 91)
+
+
+def test_rows_that_share_a_key_by_chance_go_no_further(spark, monkeypatch):
+    """Of 2,500 unrelated texts some share a key by chance: more, the more texts there are. The copies with a few changed words stay."""
+    r = random.Random(4)
+    texts = [[f"w{r.randrange(10**7)}" for _ in range(40)] for _ in range(2500)]
+    twins = [[*texts[i][:-1], "else"] for i in range(0, 2500, 100)]
+    rows, save = {}, near_dups.common.save
+
+    def noted(df, name):
+        saved = save(df, name)
+        rows.setdefault(name, saved.select("key").distinct().count() if name == "shared-keys" else None)
+        return saved
+
+    monkeypatch.setattr(near_dups.common, "save", noted)
+    got = near_dups.near_duplicates(spark.createDataFrame(list(enumerate(map(" ".join, texts + twins))), "doc_id long, text string")).where("NOT is_first").collect()
+    assert {(x["doc_id"], x["first_id"]) for x in got} == {(2500 + i, 100 * i) for i in range(25)}
+    assert 50 <= rows["shared-keys"] <= 55  # sets, of which 50 have a twin
+
+
+def test_runs_of_a_key_over_batches():
+    r = np.random.default_rng(5)
+    sizes = [1, 2, 3, near_dups.MEETING, near_dups.MEETING + 1, 700, 1, 5, 2, 256, 1]
+    s = np.repeat(np.arange(len(sizes)), sizes)
+    n = r.integers(50, 80, len(s)).astype(np.int32)
+    words = r.integers(-(2**63), 2**63 - 1, (len(s), 2))
+    twin = r.random(len(s)) < 0.3
+    words[1:][twin[1:]] = words[:-1][twin[1:]] ^ 7
+    want = []
+    for i in range(len(s)):
+        near = [j for j in np.flatnonzero(s == s[i]) if j != i and sum(int(x).bit_count() for x in (words[i] ^ words[j]).view(np.uint64)) <= near_dups.APART and min(n[i], n[j]) >= 0.8 * max(n[i], n[j])]
+        if near or sizes[s[i]] > near_dups.MEETING:
+            want.append(i)
+    assert 0 < len(want) < len(s)
+    whole = pa.RecordBatch.from_arrays([pa.array(x) for x in (s, np.arange(len(s)), n, words[:, 0].copy(), words[:, 1].copy())], names=["s", "key", "n", "x", "y"])
+    for rows in (1, 7, 256, 10_000):
+        got = [k for b in near_dups._meeting(0.8)(whole.slice(i, rows) for i in range(0, len(s), rows)) for k in b["key"].to_pylist()]
+        assert got == want
+    assert list(near_dups._meeting(0.8)(iter([]))) == []
+
+
+def test_signs_of_similar_sets_are_near():
+    """Sets of similarity 0.8, of all sizes, differ in fewer signs than APART, whatever the key; strangers in more, nearly always."""
+    r = np.random.default_rng(6)
+    most, far = 0, []
+    for n in (4, 5, 8, 9, 16, 45, 180, 900):
+        for _ in range(40):
+            own = r.integers(0, 2**63, 2 * n).astype(np.uint64)
+            fresh = n // 9 if n >= 9 else 0  # 8 of 9 are common to both, or one set has n / 4 more
+            a, b = (own[:n], np.concatenate([own[fresh:n], own[n : n + fresh]])) if fresh else (own[:n], own[: n + n // 4])
+            signs = near_dups.other_signs(near_dups.sketches([np.sort(a), np.sort(b), np.sort(own[n:])])).view(np.uint64)
+            most = max(most, int(np.bitwise_count(signs[0] ^ signs[1]).sum(axis=1).max()))
+            if n >= 45:
+                far.append(np.bitwise_count(signs[0] ^ near_dups.other_signs(near_dups.sketches([r.integers(0, 2**63, n).astype(np.uint64)])).view(np.uint64)[0]).sum(axis=1))
+    assert most <= near_dups.APART and np.mean(np.concatenate(far) <= near_dups.APART) < 0.03
+
+
+@pytest.mark.parametrize("coalesced", [True, False])
+def test_components_are_found_in_few_rounds(spark, monkeypatch, coalesced):
+    r = random.Random(8)
+    chain = [(i, i + 1) for i in range(200)]
+    edges = chain + [(r.randrange(1000, 1300), r.randrange(1000, 1300)) for _ in range(140)] + [(-5, 5000), (7000, -5), (9, 9), (9000, 9000)]
+    root = {}
+    for x in {x for a, b in edges if a != b for x in (a, b)}:
+        root[x] = x
+    for _ in root:
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+    written, save = [], components.common.save
+    monkeypatch.setattr(components.common, "save", lambda df, name: written.append(name) or save(df, name))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(coalesced).lower())
+    try:
+        got = components.components(spark.createDataFrame(r.sample(edges, len(edges)), "a long, b long").repartition(7)).collect()
+        assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(got) == len(root) and {x["node"]: x["root"] for x in got} == root
+    assert len(written) == 2 or not coalesced  # one for each call
