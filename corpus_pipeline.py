@@ -59,13 +59,14 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Of rows equal in doc_id and text, all of them one document, one stays: that of the smallest other columns' hash.
     """
     each = common.save(near_dups.near_duplicates(docs).select(F.col("doc_id").alias("group_id"), F.col("t").alias("group_t"), "copies", "is_first"), "groups")
-    gone = common.save(each.where("NOT is_first OR copies > 1").select("group_id", "group_t"), "gone")
-    repeated = common.save(each.where("is_first AND copies > 1").select("group_id", "group_t"), "repeated")  # few or none, as a rule
+    gone, repeated = (common.save(each.where(f).select("group_id", "group_t"), name) for f, name in (("NOT is_first OR copies > 1", "gone"), ("is_first AND copies > 1", "repeated")))
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("group_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("group_t"))
     own = aside(docs)
-    order = F.xxhash64(*(F.col(c) for c in own.columns if c != "text"))
-    one = own.join(common.beside(repeated), same, "left_semi").groupBy("doc_id", "text").agg(F.min_by(F.struct(*own.columns), order).alias("one")).select("one.*")
-    return as_before(own.join(common.beside(gone), same, "left_anti").unionByName(one), docs)
+    kept = own.join(common.beside(gone), same, "left_anti")
+    if not repeated.isEmpty():
+        order = F.xxhash64(*(F.col(c) for c in own.columns if c != "text"))
+        kept = kept.unionByName(own.join(common.beside(repeated), same, "left_semi").groupBy("doc_id", "text").agg(F.min_by(F.struct(*own.columns), order).alias("one")).select("one.*"))
+    return as_before(kept, docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

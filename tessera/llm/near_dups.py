@@ -212,25 +212,32 @@ def _sets(width: int) -> Callable:
     return run
 
 
-def _valued(pairs: DataFrame, side: str, values: DataFrame, name: str) -> DataFrame:
-    """pairs and the value of that side's set; values: key, value. A set of very many pairs is dealt over tasks."""
-    deals = pairs.groupBy(side).agg(F.ceil(F.count("*") / FANOUT).cast("int").alias("deals"))
-    dealt = pairs.join(deals, side).withColumn("deal", F.pmod(F.hash("a", "b"), "deals")).drop("deals")
-    owned = values.join(deals, F.col("key") == F.col(side)).select(side, F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), F.col("value").alias(name))
-    return dealt.join(owned, [side, "deal"]).drop("deal")
-
-
 def _both(pairs: DataFrame, values: DataFrame) -> DataFrame:
-    """a, b, x, y: pairs with the values of both sides."""
-    return _valued(_valued(pairs, "a", values, "x"), "b", values, "y").select("a", "b", "x", "y")
-
-
-def links(sets: DataFrame, shingled: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
-    """Pairs (a, b) of similar sets whose components are those of all candidates. sets: key, n, sketch, each key once; shingled: key, value for a table of keys."""
+    """a, b, x, y: pairs with the values of both sides' sets; values: key, value. Sets of more than FANOUT pairs, where there are such, are dealt over tasks."""
+    met = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.ceil(F.count("*") / FANOUT).cast("int").alias("deals"))
+    busy = met.where("deals > 1")
+    if busy.isEmpty():
+        return pairs.join(values.toDF("a", "x"), "a").join(values.toDF("b", "y"), "b").select("a", "b", "x", "y")
+    busy = common.save(busy, "busy-sets")  # a set for FANOUT pairs at most
+    deals = F.coalesce("deals", F.lit(1))
+    for side, name in (("a", "x"), ("b", "y")):
+        own = common.beside(busy).withColumnRenamed("key", side)
+        dealt = pairs.join(own, side, "left").withColumn("deal", F.pmod(F.hash("a", "b"), deals)).drop("deals")
+        owned = values.toDF(side, name).join(own, side, "left").select(side, F.explode(F.sequence(F.lit(0), deals - 1)).alias("deal"), name)
+        pairs = dealt.join(owned, [side, "deal"]).drop("deal")
+    return pairs.select("a", "b", "x", "y")
+
+
+def linked(sets: DataFrame, shingled: Callable[[DataFrame], DataFrame], least: float) -> DataFrame:
+    """(node, root) of the sets that are similar to another one, the components of all candidates. sets: key, n, sketch, each key once; shingled: key, value for a table of keys.
+
+    Whatever the corpus, there are some dozens of queries here, and the driver plans each anew as its shuffles end. So what a step reads
+    several times is saved, and groups are made anew only after links were found.
+    """
     fuzzy = sets.where("n > 3").select("sketch", "key", "n").mapInArrow(_keyed, "s long, key long, n int, x long, y long")
     keyed = common.save(fuzzy.repartition("s").sortWithinPartitions("s").mapInArrow(_meeting(least), "s long, key long, n int"), "shared-keys")
     if keyed.isEmpty():
-        return keyed.select(F.col("key").alias("a"), F.col("key").alias("b"))
+        return keyed.select(F.col("key").alias("node"), F.col("key").alias("root"))
     fits = (F.col("an") >= F.col("bn") * least - 1e-6) & (F.col("bn") >= F.col("an") * least - 1e-6)
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -284,24 +291,38 @@ def links(sets: DataFrame, shingled: Callable[[DataFrame], DataFrame], least: fl
         sized = rows.join(rows.groupBy("s").agg(F.count("*").alias("size")), "s")
         crowd = common.save(sized.where(F.col("size") > FEW).select("key", "n", "root").distinct(), "crowded-sets")
         few = sized.where(F.col("size") <= FEW).drop("size").join(crowd.select("key", F.lit(1).alias("crowded")), "key", "left").fillna(0, ["crowded"])
-        pairs = across_groups(few, ("crowded",), F.col("acrowded") + F.col("bcrowded") < 2)
+        pairs = across_groups(common.save(few, "few-sets"), ("crowded",), F.col("acrowded") + F.col("bcrowded") < 2)
         return pairs if crowd.isEmpty() else pairs.unionByName(by_rare_shingles(crowd))
 
+    def grouped(roots: DataFrame) -> DataFrame:
+        """s, key, n, root of the keys whose sets are in several groups."""
+        rows = keyed.join(roots, F.col("key") == F.col("node"), "left").select("s", "key", "n", F.coalesce("root", "key").alias("root"))
+        rows = common.save(rows, "grouped-sets")
+        still = rows.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s")
+        opened = common.save(rows.join(still, "s"), "open-keys")
+        common.drop_saved(rows)
+        return opened
+
     tried = common.save(to_leaders(keyed.withColumn("root", F.col("key")), F.col("key"), 1), "compared-pairs")
     found = verified(tried)
+    roots = components(found)
+    rows = grouped(roots)
     by_turns = lambda turn: lambda rows: to_leaders(rows, F.xxhash64("key", "s", F.lit(turn)), LEADERS)
     for step in (*map(by_turns, range(TURNS)), across):
-        rows = keyed.join(components(found), F.col("key") == F.col("node"), "left").select("s", "key", "n", F.coalesce("root", "key").alias("root"))
-        rows = common.save(rows, "grouped-sets")
-        still = common.save(rows.groupBy("s").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("s"), "open-keys")
-        if still.isEmpty():
+        if rows.isEmpty():
             break
-        more = common.save(step(rows.join(still, "s")).join(tried, ["a", "b"], "left_anti"), "compared-pairs")
-        common.drop_saved(rows)
-        if not more.isEmpty():
-            tried, found = tried.unionByName(more), found.unionByName(verified(more))
-    common.drop_saved(keyed)
-    return found
+        more = common.save(step(rows).join(tried, ["a", "b"], "left_anti"), "compared-pairs")
+        if more.isEmpty():
+            continue
+        new, tried = verified(more), tried.unionByName(more)
+        if not new.isEmpty():
+            found = found.unionByName(new)
+            roots = components(found)
+            if step is not across:
+                common.drop_saved(rows)
+                rows = grouped(roots)
+    common.drop_saved(keyed, rows)
+    return roots
 
 
 def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, least: float = LEAST) -> DataFrame:
@@ -316,8 +337,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE_WORDS, least: float =
         texts = docs.join(common.beside(wanted), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("t") == F.col("dt"))).select("key", "text")
         return texts.mapInArrow(_sets(width), "key long, value array<long>").dropDuplicates(["key"])
 
-    linked = components(links(groups, shingled, least)).withColumnRenamed("node", "key")
-    named = groups.join(linked, "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
+    named = groups.join(linked(groups, shingled, least).withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
     firsts = named.groupBy("root").agg(F.min("first").alias("of_group"))
     named = common.save(named.join(firsts, "root").select("key", "of_group"), "named-sets")
     each = rows.groupBy("doc_id", "t", "key").agg(F.count("*").alias("copies")).join(named, "key")

@@ -184,3 +184,34 @@ def test_components_are_found_in_few_rounds(spark, monkeypatch, coalesced):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert len(got) == len(root) and {x["node"]: x["root"] for x in got} == root
     assert len(written) == 2 or not coalesced  # one for each call
+
+
+@pytest.mark.parametrize("fanout", [1000, 3])
+def test_queries_are_few_and_small(spark, monkeypatch, fanout):
+    """However small the table, the driver plans a query anew whenever one of its shuffles ends: its memory goes with their number. With busy sets, too, groups are the same."""
+    r = random.Random(5)
+    texts = [[f"w{r.randrange(10**6)}" for _ in range(120)] for _ in range(40)]
+    twins = [[*texts[i % 4][: i + 1], "else", *texts[i % 4][i + 2 :]] for i in range(48)]
+    shuffles, save = {}, near_dups.common.save
+
+    def noted(df, name):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        shuffles.setdefault(name, []).append(plan.count("Exchange hashpartitioning") + plan.count("BroadcastExchange"))
+        return save(df, name)
+
+    monkeypatch.setattr(near_dups.common, "save", noted)
+    monkeypatch.setattr(near_dups, "FANOUT", fanout)
+    got = near_dups.near_duplicates(spark.createDataFrame(list(enumerate(map(" ".join, texts + twins))), "doc_id long, text string")).where("NOT is_first").collect()
+    assert {(x["doc_id"], x["first_id"]) for x in got} == {(40 + i, i % 4) for i in range(48)}
+    assert ("busy-sets" in shuffles) == (fanout == 3)
+    assert fanout == 3 or max(sum(shuffles[name]) / len(shuffles[name]) for name in ("alike-pairs", "similar-pairs")) <= 4
+    assert fanout == 3 or sum(map(sum, shuffles.values())) <= 60, shuffles
+
+
+def test_values_of_both_sides_whatever_the_fanout(spark, monkeypatch):
+    pairs = spark.createDataFrame([(0, i) for i in range(1, 30)] + [(1, 2), (5, 29), (3, 29)], "a long, b long").repartition(5)
+    values = spark.createDataFrame([(i, f"v{i}") for i in range(40)], "key long, value string").repartition(3)
+    want = sorted((p["a"], p["b"], f"v{p['a']}", f"v{p['b']}") for p in pairs.collect())
+    for fanout in (1000, 29, 2, 1):
+        monkeypatch.setattr(near_dups, "FANOUT", fanout)
+        assert sorted(map(tuple, near_dups._both(pairs, values).collect())) == want
